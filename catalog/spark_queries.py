@@ -1,0 +1,919 @@
+"""The queries: each takes (spark, sf_dir), reads whole tables and returns a DataFrame."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from catalog.inputs import Inputs
+from tradewind import operators as ops
+from tradewind.functions import (
+    blank_to_null,
+    month_index,
+    parse,
+    period,
+    rate_percent,
+    tidy_lower,
+    tidy_upper,
+    zip_prefix,
+)
+from tradewind.plans import dashboard, gold, marts, refresh, silver, staging, themes
+from tradewind.schemas import (
+    CLUSTER_KEY,
+    CLUSTER_SCHEMA,
+    MART_CHECKS,
+    RAW_TABLES,
+    SILVER_KEYS,
+    STG_FACT_ORDERS,
+)
+from tradewind.session import new_shared_path
+from tradewind.sources import Lakehouse, as_variant, project_variant, query, read_csv
+from tradewind.streaming import ingest_stream, open_csv_stream
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+FACT_MONEY = ("total_payment_value", "total_item_price", "total_freight_value")
+
+
+def money(df: DataFrame, *columns: str) -> DataFrame:
+    """Sums of doubles to four decimals, which every exact sum here has at most."""
+    return df.withColumns({c: F.round(c, 4) for c in columns})
+
+
+def _register(build: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
+    _QUERIES[build.__name__] = lambda spark, sf_dir: build(Inputs(spark, sf_dir))
+    return build
+
+
+def spark_queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def _new_lake(t: Inputs, label: str) -> Lakehouse:
+    return Lakehouse(t.spark, new_shared_path(t.spark, label))
+
+
+def _write_csv(df: DataFrame, path: str) -> None:
+    df.select(*(F.col(c).cast("string") for c in df.columns)).write.mode("append").csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+
+
+# A stored state and a later delivery of the orders table; they overlap by half a year, and
+# orders were not yet delivered when the stored state was taken.
+
+
+def _orders_before(t: Inputs) -> DataFrame:
+    earlier = t.raw_orders.filter(F.col("order_purchase_timestamp") < F.lit("1999-01-01").cast("timestamp_ntz"))
+    status = F.col("order_status")
+    return earlier.withColumn("order_status", F.when(status == "delivered", "processing").otherwise(status))
+
+
+def _orders_delivery(t: Inputs) -> DataFrame:
+    return t.raw_orders.filter(F.col("order_purchase_timestamp") >= F.lit("1998-07-01").cast("timestamp_ntz"))
+
+
+def _fct_before(t: Inputs) -> DataFrame:
+    return t.fct_orders.filter(F.col("order_date") < "2001-01-01")
+
+
+def _theme_texts(t: Inputs) -> DataFrame:
+    return t.stg_reviews.join(t.clusters.select("review_id", "cluster_id"), "review_id").select(
+        "cluster_id", "review_id", "review_text", "review_creation_date"
+    )
+
+
+def _vectors(t: Inputs) -> DataFrame:
+    return t.table("embeddings").select(
+        F.col("vec_id").alias("review_id"), array_to_vector("embedding").alias("vector")
+    )
+
+
+# -- sources and sinks -------------------------------------------------------------------
+
+
+@_register
+def s1_csv_scan(t: Inputs) -> DataFrame:
+    path = new_shared_path(t.spark, "csv")
+    columns = ["review_id", "order_id", "review_score", "review_comment_title", "review_comment_message"]
+    _write_csv(t.raw_order_reviews.select(*columns), path)
+    return read_csv(t.spark, path, free_text=True)
+
+
+@_register
+def s2_layer_scan(t: Inputs) -> DataFrame:
+    lake = _new_lake(t, "s2")
+    lake.replace("silver", "order_items", t.silver("order_items"))
+    return lake.read("silver", "order_items")
+
+
+@_register
+def s3_variant_scan(t: Inputs) -> DataFrame:
+    return money(project_variant(as_variant(t.fact_orders), STG_FACT_ORDERS), *FACT_MONEY)
+
+
+@_register
+def s4_initial_load(t: Inputs) -> DataFrame:
+    lake = _new_lake(t, "s4")
+    stored = lake.replace("bronze", "orders", t.raw_orders)
+    return stored.groupBy("order_status").agg(
+        F.count(F.lit(1)).alias("orders"), F.lit(lake.row_counts["bronze.orders"]).alias("written")
+    )
+
+
+@_register
+def s5_exists_branch(t: Inputs) -> DataFrame:
+    lake = _new_lake(t, "s5")
+    columns = ["order_id", "order_status", "order_purchase_timestamp"]
+    lake.merge("silver", "orders", _orders_before(t).select(*columns), ["order_id"])
+    return lake.merge("silver", "orders", _orders_delivery(t).select(*columns), ["order_id"])
+
+
+@_register
+def s6_schema_replacement(t: Inputs) -> DataFrame:
+    lake = _new_lake(t, "s6")
+    lake.replace("silver", "orders", t.raw_orders)
+    group = (F.col("customer_id") % 10).alias("customer_group")
+    return lake.replace("silver", "orders", lake.read("silver", "orders").select("order_id", "order_status", group))
+
+
+@_register
+def s7_refresh_external(t: Inputs) -> DataFrame:
+    lake = _new_lake(t, "s7")
+    columns = ["order_id", "order_status"]
+    delivered = F.col("order_status") == "delivered"
+    stored = lake.replace("gold", "orders", t.raw_orders.filter(delivered).select(*columns))
+    t.raw_orders.filter(~delivered).select(*columns).write.mode("append").parquet(lake.location("gold", "orders"))
+    lake.refresh("gold", "orders")
+    return stored.sparkSession.read.parquet(lake.location("gold", "orders"))
+
+
+@_register
+def s8_merge_source(t: Inputs) -> DataFrame:
+    """The merge source is a DataFrame, no staging table: waiting reviews get a row of their own."""
+    waiting = t.stg_reviews.select("review_id", F.lit("waiting").alias("cluster_label"))
+    rows = ops.insert_new(t.clusters.select("review_id", "cluster_label"), waiting, CLUSTER_KEY)
+    known = rows.join(t.stg_reviews.select("review_id"), "review_id", "left_semi")
+    return known.groupBy("cluster_label").agg(F.count(F.lit(1)).alias("reviews"))
+
+
+@_register
+def s9_create_if_absent(t: Inputs) -> DataFrame:
+    empty = _new_lake(t, "s9").read_or_empty("mart", "review_clusters", CLUSTER_SCHEMA)
+    return themes.write_back(empty, t.clusters)
+
+
+@_register
+def s10_lower_case_query(t: Inputs) -> DataFrame:
+    text = """SELECT o_orderstatus AS STATUS, count(*) AS Orders, max(o_orderdate) AS NEWEST
+        FROM {orders} GROUP BY 1"""
+    return query(t.spark, text, orders=t.table("orders"))
+
+
+# -- merges ------------------------------------------------------------------------------
+
+
+@_register
+def m1_insert_only(t: Inputs) -> DataFrame:
+    return ops.insert_new(_orders_before(t), _orders_delivery(t), ["order_id"])
+
+
+@_register
+def m2_upsert(t: Inputs) -> DataFrame:
+    return ops.upsert(_orders_before(t), _orders_delivery(t), ["order_id"])
+
+
+@_register
+def m3_partial_upsert(t: Inputs) -> DataFrame:
+    columns = ["order_id", "customer_id", "order_status"]
+    existing = _orders_before(t).select(*columns).withColumn("customer_id", -F.col("customer_id"))
+    return ops.upsert(existing, _orders_delivery(t).select(*columns), ["order_id"], update_cols=["order_status"])
+
+
+@_register
+def m4_mart_merge(t: Inputs) -> DataFrame:
+    stored = marts.agg_daily_sales(_fct_before(t))
+    recent = t.fct_orders.filter(F.col("order_date") >= "2000-12-01")
+    merged = marts.apply_increment("agg_daily_sales", stored, marts.agg_daily_sales(recent))
+    return money(merged, "revenue", "freight_revenue")
+
+
+@_register
+def m5_new_columns(t: Inputs) -> DataFrame:
+    existing = _orders_before(t).select("order_id", "order_status", "customer_id")
+    incoming = _orders_delivery(t).select("order_id", "order_status", "order_delivered_customer_date")
+    return ops.upsert(existing, incoming, ["order_id"])
+
+
+@_register
+def m6_repeated_keys(t: Inputs) -> DataFrame:
+    return ops.repeated_keys(t.raw_order_items, RAW_TABLES["order_items"].keys)
+
+
+# -- silver ------------------------------------------------------------------------------
+
+
+@_register
+def c1_clean_orders(t: Inputs) -> DataFrame:
+    return t.silver("orders")
+
+
+@_register
+def c2_clean_order_items(t: Inputs) -> DataFrame:
+    return t.silver("order_items")
+
+
+@_register
+def c3_clean_customers(t: Inputs) -> DataFrame:
+    return t.silver("customers")
+
+
+@_register
+def c4_clean_products(t: Inputs) -> DataFrame:
+    return t.silver("products")
+
+
+@_register
+def c5_clean_sellers(t: Inputs) -> DataFrame:
+    return t.silver("sellers")
+
+
+@_register
+def c6_clean_order_payments(t: Inputs) -> DataFrame:
+    return t.silver("order_payments")
+
+
+@_register
+def c7_clean_order_reviews(t: Inputs) -> DataFrame:
+    return t.silver("order_reviews")
+
+
+@_register
+def c8_clean_geolocation(t: Inputs) -> DataFrame:
+    return t.silver("geolocation")
+
+
+@_register
+def c9_clean_category_translation(t: Inputs) -> DataFrame:
+    return t.silver("category_translation")
+
+
+# -- gold --------------------------------------------------------------------------------
+
+
+@_register
+def g1_payments_per_order(t: Inputs) -> DataFrame:
+    return money(gold.payments_per_order(t.silver("order_payments")), "total_payment_value")
+
+
+@_register
+def g2_items_per_order(t: Inputs) -> DataFrame:
+    return money(gold.items_per_order(t.silver("order_items")), "total_item_price", "total_freight_value")
+
+
+@_register
+def g3_latest_review_per_order(t: Inputs) -> DataFrame:
+    return gold.latest_review_per_order(t.silver("order_reviews"))
+
+
+@_register
+def g4_order_delivery(t: Inputs) -> DataFrame:
+    return gold.with_delivery(t.silver("orders")).select("order_id", "is_delayed", "delivery_days")
+
+
+@_register
+def g5_fact_orders(t: Inputs) -> DataFrame:
+    return money(t.fact_orders, *FACT_MONEY)
+
+
+@_register
+def g6_products_with_category(t: Inputs) -> DataFrame:
+    return gold.products_with_category(t.silver("products"), t.silver("category_translation"))
+
+
+@_register
+def g7_category_per_order(t: Inputs) -> DataFrame:
+    return gold.category_per_order(
+        t.silver("order_items"), t.silver("products"), t.silver("category_translation")
+    )
+
+
+@_register
+def g8_review_texts(t: Inputs) -> DataFrame:
+    return t.review_texts
+
+
+@_register
+def g9_dim_products(t: Inputs) -> DataFrame:
+    return money(t.dim_products, "price", "freight_value")
+
+
+# -- staging and marts -------------------------------------------------------------------
+
+
+@_register
+def w1_stg_fact_orders(t: Inputs) -> DataFrame:
+    return money(t.stg_fact_orders, *FACT_MONEY)
+
+
+@_register
+def w2_stg_dim_products(t: Inputs) -> DataFrame:
+    return money(t.stg_dim_products, "price", "freight_value")
+
+
+@_register
+def w3_stg_reviews(t: Inputs) -> DataFrame:
+    return t.stg_reviews
+
+
+@_register
+def w4_fct_orders(t: Inputs) -> DataFrame:
+    return money(t.fct_orders, *FACT_MONEY, "product_revenue")
+
+
+@_register
+def w4i_fct_orders_strict(t: Inputs) -> DataFrame:
+    stored = _fct_before(t)
+    fresh = marts.fct_orders(t.stg_fact_orders, stored, mode="strict")
+    return money(marts.apply_increment("fct_orders", stored, fresh), *FACT_MONEY, "product_revenue")
+
+
+@_register
+def w4i_fct_orders_lookback(t: Inputs) -> DataFrame:
+    stored = _fct_before(t)
+    fresh = marts.fct_orders(t.stg_fact_orders, stored)
+    return money(marts.apply_increment("fct_orders", stored, fresh), *FACT_MONEY, "product_revenue")
+
+
+@_register
+def w5_dim_customers(t: Inputs) -> DataFrame:
+    return money(marts.dim_customers(t.stg_fact_orders), "lifetime_value")
+
+
+def _customers_before(t: Inputs) -> DataFrame:
+    before = t.stg_fact_orders.filter(F.col("order_date") < "2001-01-01")
+    return marts.dim_customers(before, grain="customer")
+
+
+@_register
+def w5i_touched_customers(t: Inputs) -> DataFrame:
+    return money(marts.dim_customers(t.stg_fact_orders, _customers_before(t)), "lifetime_value")
+
+
+@_register
+def w5i_dim_customers(t: Inputs) -> DataFrame:
+    stored = _customers_before(t)
+    fresh = marts.dim_customers(t.stg_fact_orders, stored)
+    return money(marts.apply_increment("dim_customers", stored, fresh), "lifetime_value")
+
+
+@_register
+def w6_agg_daily_sales(t: Inputs) -> DataFrame:
+    return money(t.agg_daily_sales, "revenue", "freight_revenue")
+
+
+@_register
+def w6i_agg_daily_sales(t: Inputs) -> DataFrame:
+    stored = marts.agg_daily_sales(_fct_before(t))
+    fresh = marts.agg_daily_sales(t.fct_orders, stored)
+    return money(marts.apply_increment("agg_daily_sales", stored, fresh), "revenue", "freight_revenue")
+
+
+@_register
+def w7_agg_category_sales(t: Inputs) -> DataFrame:
+    return money(t.agg_category_sales, "revenue", "freight_total")
+
+
+@_register
+def w7i_agg_category_sales(t: Inputs) -> DataFrame:
+    stored = marts.agg_category_sales(_fct_before(t), t.stg_dim_products)
+    fresh = marts.agg_category_sales(t.fct_orders, t.stg_dim_products, stored)
+    return money(marts.apply_increment("agg_category_sales", stored, fresh), "revenue", "freight_total")
+
+
+@_register
+def w8_agg_seller_performance(t: Inputs) -> DataFrame:
+    rows = money(marts.agg_seller_performance(t.agg_category_sales), "total_revenue")
+    return rows.withColumns(
+        {
+            "avg_review_score": F.round("avg_review_score", 8),
+            "avg_monthly_revenue": F.round("avg_monthly_revenue", 3),
+        }
+    )
+
+
+# -- dashboard ---------------------------------------------------------------------------
+
+
+@_register
+def q1_monthly_revenue(t: Inputs) -> DataFrame:
+    return money(dashboard.monthly_revenue(t.agg_daily_sales), "revenue")
+
+
+@_register
+def q2_top_categories(t: Inputs) -> DataFrame:
+    top = money(dashboard.top_categories(t.agg_category_sales), "total_revenue")
+    return top.withColumn("avg_score", F.round("avg_score", 8))
+
+
+@_register
+def q3_delay_by_state(t: Inputs) -> DataFrame:
+    return dashboard.delay_by_state(t.fct_orders)
+
+
+@_register
+def q4_theme_scatter(t: Inputs) -> DataFrame:
+    return dashboard.theme_scatter(t.clusters, t.stg_reviews)
+
+
+@_register
+def q5_theme_sizes(t: Inputs) -> DataFrame:
+    return dashboard.theme_sizes(t.clusters)
+
+
+@_register
+def q6_rfm_segments(t: Inputs) -> DataFrame:
+    return dashboard.rfm_segments(t.fct_orders)
+
+
+@_register
+def q6_rfm_customers(t: Inputs) -> DataFrame:
+    return dashboard.rfm_segments(t.fct_orders, grain=("customer_unique_id",))
+
+
+@_register
+def q7_segment_themes(t: Inputs) -> DataFrame:
+    return dashboard.segment_themes(dashboard.rfm_segments(t.fct_orders), t.clusters)
+
+
+@_register
+def q8_segment_theme_matrix(t: Inputs) -> DataFrame:
+    return dashboard.segment_theme_matrix(q7_segment_themes(t), [f"theme {i}" for i in range(10)])
+
+
+# -- relational building blocks ----------------------------------------------------------
+
+
+@_register
+def p1_keyed_dedupe(t: Inputs) -> DataFrame:
+    return ops.first_per_key(t.raw_order_payments, RAW_TABLES["order_payments"].keys)
+
+
+@_register
+def p2_null_row_drop(t: Inputs) -> DataFrame:
+    return t.raw_products.select("product_id", "product_category_name").dropna()
+
+
+@_register
+def p3_comparison_filter(t: Inputs) -> DataFrame:
+    wanted = (F.col("price") > 50000) & (F.col("freight_value") >= 100) & (F.col("seller_id") != 7)
+    return t.raw_order_items.filter(wanted).select("order_id", "order_item_id", "price", "freight_value")
+
+
+@_register
+def p4_range_filter(t: Inputs) -> DataFrame:
+    return t.raw_order_reviews.filter(F.col("review_score").between(2, 4)).select("review_id", "review_score")
+
+
+@_register
+def p5_null_predicates(t: Inputs) -> DataFrame:
+    unapproved = F.col("order_approved_at").isNull() & F.col("order_delivered_customer_date").isNotNull()
+    return t.raw_orders.filter(unapproved).groupBy("order_status").agg(F.count(F.lit(1)).alias("orders"))
+
+
+@_register
+def p6_projection(t: Inputs) -> DataFrame:
+    return (
+        t.table("orders")
+        .select(F.col("o_orderkey").alias("order_id"), "o_custkey", F.col("o_totalprice").alias("total"))
+        .withColumnRenamed("o_custkey", "customer_id")
+    )
+
+
+@_register
+def p7_derived_columns(t: Inputs) -> DataFrame:
+    price = F.col("price")
+    derived = t.raw_order_items.withColumns({"gross": price + F.col("freight_value"), "expensive": price > 50000})
+    return derived.select("order_id", "order_item_id", "gross", "expensive")
+
+
+@_register
+def p8_named_subresults(t: Inputs) -> DataFrame:
+    text = """WITH totals AS (SELECT count(*) AS n FROM {orders}),
+        per_status AS (SELECT order_status, count(*) AS orders FROM {orders} GROUP BY 1)
+        SELECT order_status, orders, orders * 1.0D / (SELECT n FROM totals) AS share FROM per_status"""
+    return query(t.spark, text, orders=t.raw_orders)
+
+
+@_register
+def j1_left_join(t: Inputs) -> DataFrame:
+    return t.raw_orders.join(t.silver("customers"), "customer_id", "left").select(
+        "order_id", "customer_id", "customer_unique_id", "customer_city"
+    )
+
+
+@_register
+def j2_inner_join(t: Inputs) -> DataFrame:
+    return t.silver("orders").join(t.silver("order_items"), "order_id").select("order_id", "product_id", "price")
+
+
+@_register
+def j3_anti_join(t: Inputs) -> DataFrame:
+    return t.stg_reviews.select("review_id").join(t.clusters.select("review_id"), "review_id", "left_anti")
+
+
+@_register
+def j4_matched_count(t: Inputs) -> DataFrame:
+    done = t.clusters.select("review_id", F.lit(1).alias("done"))
+    joined = t.stg_reviews.select("review_id", "category_en").join(done, "review_id", "left")
+    return joined.groupBy("category_en").agg(
+        F.count("review_id").alias("total"), F.count("done").alias("processed")
+    )
+
+
+@_register
+def j5_one_row_cutoff(t: Inputs) -> DataFrame:
+    placed = F.col("order_purchase_timestamp")
+    cutoff = t.raw_orders.select(F.max(placed) - F.make_dt_interval(days=F.lit(30))).scalar()
+    return t.raw_orders.filter(placed >= cutoff).select("order_id", "order_purchase_timestamp")
+
+
+@_register
+def j6_merge_match(t: Inputs) -> DataFrame:
+    stored = _orders_before(t).select("order_id", F.lit("kept").alias("outcome"))
+    incoming = _orders_delivery(t).select("order_id", F.lit("updated").alias("outcome"))
+    inserted = ops.unseen(stored, incoming, ["order_id"]).withColumn("outcome", F.lit("inserted"))
+    merged = ops.upsert(ops.upsert(stored, incoming, ["order_id"]), inserted, ["order_id"])
+    return merged.groupBy("outcome").agg(F.count(F.lit(1)).alias("orders"))
+
+
+@_register
+def a0_group_aggregates(t: Inputs) -> DataFrame:
+    placed = F.col("order_purchase_timestamp")
+    return t.raw_orders.groupBy("order_status").agg(
+        F.count(F.lit(1)).alias("orders"),
+        F.count("order_approved_at").alias("approved"),
+        F.min(placed).alias("first_order"),
+        F.max(placed).alias("last_order"),
+        F.sum("customer_id").alias("id_sum"),
+        F.avg("customer_id").alias("id_avg"),
+    )
+
+
+@_register
+def a1_count_distinct(t: Inputs) -> DataFrame:
+    return t.raw_orders.groupBy("order_status").agg(F.count_distinct("customer_id").alias("customers"))
+
+
+@_register
+def a2_conditional_rate(t: Inputs) -> DataFrame:
+    early = F.col("order_approved_at") < F.col("order_purchase_timestamp")
+    flagged = t.raw_orders.withColumn("is_early", early)
+    return flagged.groupBy("order_status").agg(
+        F.count_if("is_early").alias("early"), rate_percent("is_early").alias("early_rate")
+    )
+
+
+@_register
+def a2b_median(t: Inputs) -> DataFrame:
+    return t.raw_order_items.groupBy("seller_id").agg(F.percentile_approx("price", 0.5).alias("median_price"))
+
+
+@_register
+def a2c_first_value(t: Inputs) -> DataFrame:
+    return gold.payments_per_order(t.silver("order_payments")).select("order_id", "primary_payment_type")
+
+
+@_register
+def a2d_average_of_averages(t: Inputs) -> DataFrame:
+    return t.agg_category_sales.groupBy("category_en").agg(
+        F.round(F.avg("avg_review_score"), 8).alias("mean_score"),
+        F.count_distinct("order_month").alias("active_months"),
+    )
+
+
+@_register
+def a3_global_ntile(t: Inputs) -> DataFrame:
+    order = [F.col("order_purchase_timestamp").desc_nulls_first(), F.col("order_id").asc()]
+    rows = t.raw_orders.select("order_id", "order_purchase_timestamp")
+    return ops.global_ntile(rows, 7, order, "tile").select("order_id", "tile")
+
+
+@_register
+def a3_global_rank(t: Inputs) -> DataFrame:
+    rows = t.silver("order_items").select("order_id", "order_item_id")
+    return ops.global_rank(rows, [F.col("order_id").asc(), F.col("order_item_id").asc()], "rank")
+
+
+@_register
+def a4_top_one_per_group(t: Inputs) -> DataFrame:
+    rows = t.raw_orders.select("customer_id", "order_id", "order_purchase_timestamp")
+    newest = [F.col("order_purchase_timestamp").desc_nulls_last(), F.col("order_id").asc()]
+    return ops.top_per_group(rows, ["customer_id"], newest, 1)
+
+
+@_register
+def a5_texts_per_cluster(t: Inputs) -> DataFrame:
+    order = [F.col("review_creation_date").asc_nulls_last(), F.col("review_id").asc()]
+    return ops.top_per_group(_theme_texts(t), ["cluster_id"], order, 10, position="position").drop(
+        "review_creation_date"
+    )
+
+
+@_register
+def o1_order_by(t: Inputs) -> DataFrame:
+    return t.raw_orders.select("order_id", "order_approved_at").orderBy(
+        F.col("order_approved_at").desc_nulls_last(), "order_id"
+    )
+
+
+@_register
+def o2_top_k(t: Inputs) -> DataFrame:
+    items = t.silver("order_items").select("order_id", "order_item_id", "price")
+    return items.orderBy(F.col("price").desc(), "order_id", "order_item_id").limit(1000)
+
+
+@_register
+def u1_union(t: Inputs) -> DataFrame:
+    known = _orders_before(t).select("order_id", "order_status", "customer_id")
+    return known.unionByName(_orders_delivery(t).select("order_status", "order_id"), allowMissingColumns=True)
+
+
+# -- scalar functions --------------------------------------------------------------------
+
+
+@_register
+def f1_trim_case(t: Inputs) -> DataFrame:
+    return t.raw_customers.select(
+        "customer_id", tidy_lower("customer_city").alias("city"), tidy_upper("customer_state").alias("state")
+    )
+
+
+@_register
+def f2_zip_prefix(t: Inputs) -> DataFrame:
+    codes = t.table("orders").select("o_orderkey", (F.col("o_orderkey") * 37).alias("code"))
+    return codes.select("o_orderkey", zip_prefix("code").alias("zip"))
+
+
+@_register
+def f3_nullif(t: Inputs) -> DataFrame:
+    spaced = t.table("conversations").withColumn("text", F.replace("text", F.lit("a"), F.lit(" ")))
+    return spaced.select(
+        "conv_id", "turn", blank_to_null("text").alias("text"), F.nullif("turn", F.lit(0)).alias("later_turn")
+    )
+
+
+@_register
+def f4_coalesce(t: Inputs) -> DataFrame:
+    return t.raw_products.select(
+        "product_id", F.coalesce("product_category_name", F.lit(silver.UNKNOWN_CATEGORY)).alias("category")
+    )
+
+
+@_register
+def f5_case_when(t: Inputs) -> DataFrame:
+    score = F.col("review_score")
+    return t.raw_order_reviews.select(
+        "review_id",
+        F.when(score >= 4, "positive").when(score == 3, "neutral").otherwise("negative").alias("sentiment"),
+        F.when(score > 0, score).alias("valid_score"),
+    )
+
+
+@_register
+def f6_length(t: Inputs) -> DataFrame:
+    chars = F.length("text")
+    return t.table("documents").select(
+        "doc_id", chars.cast("bigint").alias("chars"), (chars > staging.MIN_TEXT_LENGTH).alias("long_enough")
+    )
+
+
+@_register
+def f7_safe_cast(t: Inputs) -> DataFrame:
+    texts = t.table("events").select(
+        "event_id", "event_type", "props", *(F.col(c).cast("string").alias(c) for c in ("value", "ts"))
+    )
+    return texts.select(
+        "event_id",
+        parse("event_type", "int").alias("bad_int"),
+        parse("value", "double").alias("value"),
+        parse("ts", "timestamp").alias("ts"),
+        parse("props", "timestamp").alias("bad_ts"),
+    )
+
+
+@_register
+def f8_variant_path(t: Inputs) -> DataFrame:
+    values = t.table("events").select("event_id", F.parse_json("props").alias("value"))
+    return values.select(
+        "event_id",
+        F.try_variant_get("value", "$.k", "int").alias("k"),
+        F.try_variant_get("value", "$.absent", "string").alias("missing"),
+    )
+
+
+@_register
+def f9_date_parts(t: Inputs) -> DataFrame:
+    return t.table("events").select(
+        "event_id", F.to_date("ts").alias("day"), F.year("ts").alias("year"), F.month("ts").alias("month")
+    )
+
+
+@_register
+def f10_datediff(t: Inputs) -> DataFrame:
+    days = F.datediff("order_delivered_customer_date", "order_purchase_timestamp")
+    return t.raw_orders.select("order_id", days.alias("days"))
+
+
+@_register
+def f11_day_before(t: Inputs) -> DataFrame:
+    return t.raw_orders.select("order_id", F.date_sub("order_purchase_timestamp", 1).alias("day_before"))
+
+
+@_register
+def f12_arithmetic(t: Inputs) -> DataFrame:
+    placed = F.col("order_purchase_timestamp")
+    return t.raw_orders.select(
+        "order_id",
+        (F.year(placed) * 100 + F.month(placed)).alias("yyyymm"),
+        month_index(F.year(placed), F.month(placed)).alias("month_index"),
+        (F.col("customer_id") / F.nullif("order_id", F.lit(0))).alias("ratio"),
+    )
+
+
+@_register
+def f13_round(t: Inputs) -> DataFrame:
+    return t.table("part").select("p_partkey", F.round(F.col("p_retailprice") / 8, 1).alias("eighth"))
+
+
+@_register
+def f14_period(t: Inputs) -> DataFrame:
+    placed = F.col("order_purchase_timestamp")
+    parts = t.raw_orders.select("order_id", F.year(placed).alias("y"), F.month(placed).alias("m"))
+    return parts.select("order_id", period("y", "m").alias("period"))
+
+
+@_register
+def f15_boolean_logic(t: Inputs) -> DataFrame:
+    approved, placed = F.col("order_approved_at"), F.col("order_purchase_timestamp")
+    usable = (approved.isNull() | (approved >= placed)) & ~(F.col("order_status") == "processing")
+    return t.raw_orders.select("order_id", usable.alias("usable"))
+
+
+# -- themes ------------------------------------------------------------------------------
+
+
+@_register
+def t1_backlog_counts(t: Inputs) -> DataFrame:
+    return themes.backlog_counts(t.stg_reviews, t.clusters)
+
+
+@_register
+def t2_next_batch(t: Inputs) -> DataFrame:
+    return themes.next_batch(t.stg_reviews, t.clusters)
+
+
+@_register
+def t3_early_exit(t: Inputs) -> DataFrame:
+    counts = themes.backlog_counts(t.stg_reviews, t.clusters)
+    return counts.select((F.col("unprocessed") == 0).alias("nothing_to_do"))
+
+
+@_register
+def t4_embed_texts(t: Inputs) -> DataFrame:
+    vectors = themes.embed_texts(t.stg_reviews.select("review_id", "review_text"))
+    return vectors.select("review_id", themes.vector_to_array("vector").alias("vector"))
+
+
+@_register
+def t5_projection(t: Inputs) -> DataFrame:
+    return themes.project_2d(_vectors(t)).drop("vector")
+
+
+@_register
+def t6_kmeans(t: Inputs) -> DataFrame:
+    model = themes.fit_clusters(_vectors(t), k=10, restarts=2)
+    return themes.assign_clusters(_vectors(t), model).groupBy("cluster_id").count()
+
+
+def _silhouettes(t: Inputs, measure: str) -> DataFrame:
+    choice = themes.choose_k(_vectors(t), range(3, 7), "review_id", measure=measure, restarts=1)
+    rows = [(k, score, k == choice.k) for k, score in choice.scores.items()]
+    return t.spark.createDataFrame(rows, "k int, silhouette double, chosen boolean")
+
+
+@_register
+def t7_choose_k_sample(t: Inputs) -> DataFrame:
+    return _silhouettes(t, "sample")
+
+
+@_register
+def t7_choose_k_all_rows(t: Inputs) -> DataFrame:
+    return _silhouettes(t, "all")
+
+
+@_register
+def t8_k_range(t: Inputs) -> DataFrame:
+    candidates = themes.k_values(t.table("embeddings").count())
+    return t.spark.range(candidates.start, candidates.stop).toDF("k")
+
+
+@_register
+def t9_assign_clusters(t: Inputs) -> DataFrame:
+    model = themes.fit_clusters(_vectors(t), k=5, restarts=1)
+    return themes.assign_clusters(_vectors(t), model).select("review_id", "cluster_id")
+
+
+@_register
+def t10_representative_texts(t: Inputs) -> DataFrame:
+    return themes.representative_texts(_theme_texts(t), order="fetch")
+
+
+@_register
+def t11_cluster_terms(t: Inputs) -> DataFrame:
+    return themes.cluster_terms(_theme_texts(t)).withColumn("score", F.round("score", 6))
+
+
+@_register
+def t11_cluster_labels(t: Inputs) -> DataFrame:
+    return themes.label_clusters(_theme_texts(t))
+
+
+@_register
+def t12_attach_labels(t: Inputs) -> DataFrame:
+    top = themes.cluster_terms(_theme_texts(t), n=1).select("cluster_id", F.col("term").alias("cluster_label"))
+    return themes.attach_labels(t.clusters.select("review_id", "cluster_id"), top)
+
+
+@_register
+def t13_write_back(t: Inputs) -> DataFrame:
+    renumbered = t.clusters.withColumns(
+        {"cluster_id": F.col("cluster_id") + 100, "order_id": F.lit("not taken on a match")}
+    )
+    return themes.write_back(t.clusters, renumbered)
+
+
+@_register
+def t14_review_themes(t: Inputs) -> DataFrame:
+    run = themes.discover_themes(t.stg_reviews, t.clusters, limit=None, restarts=1, candidates=[3, 4, 5])
+    return themes.write_back(t.clusters, run.rows)
+
+
+# -- quality checks ----------------------------------------------------------------------
+
+
+@_register
+def d1_not_null(t: Inputs) -> DataFrame:
+    return ops.check_not_null(t.raw_orders, ["order_id", "order_approved_at"], "raw_orders")
+
+
+@_register
+def d2_unique(t: Inputs) -> DataFrame:
+    return ops.check_unique(t.raw_order_items, "order_id", "raw_order_items")
+
+
+@_register
+def d3_check_report(t: Inputs) -> DataFrame:
+    tables = {
+        "fct_orders": t.fct_orders,
+        "dim_customers": marts.dim_customers(t.stg_fact_orders, grain="customer"),
+        "agg_daily_sales": t.agg_daily_sales,
+    }
+    report = ops.run_checks(tables, MART_CHECKS)
+    ops.require_clean(report)
+    return report
+
+
+@_register
+def d4_row_counts(t: Inputs) -> DataFrame:
+    lake = _new_lake(t, "d4")
+    for name in silver.CLEANERS:
+        lake.merge("silver", name, t.silver(name), SILVER_KEYS[name], unique=True)
+    return t.spark.createDataFrame(list(lake.row_counts.items()), "`table` string, rows bigint")
+
+
+# -- streaming and the whole refresh -----------------------------------------------------
+
+
+@_register
+def r1_stream_ingest(t: Inputs) -> DataFrame:
+    lake, folder = _new_lake(t, "r1"), new_shared_path(t.spark, "r1-arrivals")
+    columns = ["order_id", "customer_id", "order_status"]
+    for delivery in (_orders_before(t), _orders_delivery(t)):
+        _write_csv(delivery.select(*columns), folder)
+        stream = open_csv_stream(t.spark, folder, columns)
+        ingest_stream(stream, lake, "orders", ["order_id"], f"{folder}-checkpoint").awaitTermination()
+    return lake.read("bronze", "orders")
+
+
+@_register
+def r2_full_refresh(t: Inputs) -> DataFrame:
+    lake, raw_dir = _new_lake(t, "r2"), new_shared_path(t.spark, "r2-raw")
+    for name, raw in RAW_TABLES.items():
+        _write_csv(getattr(t, f"raw_{name}"), f"{raw_dir}/{raw.stem}.csv")
+    refresh.refresh(t.spark, raw_dir, lake.root, with_themes=False)
+    return money(lake.read("mart", "agg_daily_sales"), "revenue", "freight_revenue")
