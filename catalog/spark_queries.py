@@ -121,7 +121,8 @@ def s4_initial_load(t: Inputs) -> DataFrame:
     lake = _new_lake(t, "s4")
     stored = lake.replace("bronze", "orders", t.raw_orders)
     return stored.groupBy("order_status").agg(
-        F.count(F.lit(1)).alias("orders"), F.lit(lake.row_counts["bronze.orders"]).alias("written")
+        F.count(F.lit(1)).alias("orders"),
+        F.lit(lake.row_counts["bronze.orders"]).cast("bigint").alias("written"),
     )
 
 
@@ -914,6 +915,8 @@ def r1_stream_ingest(t: Inputs) -> DataFrame:
 def r2_full_refresh(t: Inputs) -> DataFrame:
     lake, raw_dir = _new_lake(t, "r2"), new_shared_path(t.spark, "r2-raw")
     for name, raw in RAW_TABLES.items():
-        _write_csv(getattr(t, f"raw_{name}"), f"{raw_dir}/{raw.stem}.csv")
+        # Copies of a key go here, where keys still compare as numbers, as in the SQL.
+        rows = ops.first_per_key(getattr(t, f"raw_{name}"), raw.keys)
+        _write_csv(rows, f"{raw_dir}/{raw.stem}.csv")
     refresh.refresh(t.spark, raw_dir, lake.root, with_themes=False)
     return money(lake.read("mart", "agg_daily_sales"), "revenue", "freight_revenue")

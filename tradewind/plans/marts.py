@@ -59,6 +59,16 @@ def _stored_day(existing: DataFrame, column: str) -> Column:
     return _stored_max(existing, F.col(column), F.lit("1000-01-01").cast("date"))
 
 
+def _from_day(orders: DataFrame, day: Column) -> DataFrame:
+    """Orders placed on or after `day`.
+
+    The month is compared as well: order_year and order_month are what the order tables are
+    partitioned by, so whole months before the cutoff are never read.
+    """
+    first_month = month_index(F.year(day), F.month(day))
+    return orders.filter((F.col("order_date") >= day) & (month_index("order_year", "order_month") >= first_month))
+
+
 def _order_count(keyed: bool) -> Column:
     return F.count("order_id") if keyed else F.count_distinct("order_id")
 
@@ -79,9 +89,9 @@ def fct_orders(
     if existing is not None:
         newest = _stored_day(existing, "order_date")
         if mode == "strict":
-            orders = orders.filter(F.col("order_date") > newest)
+            orders = _from_day(orders, F.date_add(newest, 1))
         elif mode == "lookback":
-            orders = orders.filter(F.col("order_date") >= F.date_sub(newest, lookback_days))
+            orders = _from_day(orders, F.date_sub(newest, lookback_days))
         else:
             raise ValueError(f"unknown mode {mode!r}")
     return orders.select(
@@ -153,8 +163,7 @@ def agg_daily_sales(
 ) -> DataFrame:
     """Sales per day. Incremental: whole days again, from `lookback_days` before the newest stored one."""
     if existing is not None:
-        newest = _stored_day(existing, "order_date")
-        fct = fct.filter(F.col("order_date") >= F.date_sub(newest, lookback_days))
+        fct = _from_day(fct, F.date_sub(_stored_day(existing, "order_date"), lookback_days))
     return fct.groupBy("order_date", "order_month", "order_year").agg(
         _order_count(keyed).alias("order_count"),
         F.sum("product_revenue").alias("revenue"),
