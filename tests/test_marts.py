@@ -1,0 +1,213 @@
+"""Marts: stored mart plus increment equals the full rebuild, including late data."""
+
+import datetime as dt
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from tradewind.plans import dashboard, marts, staging
+from tradewind.schemas import STG_DIM_PRODUCTS, STG_FACT_ORDERS, STG_REVIEWS
+
+FACT = ", ".join(f"{c} {t}" for c, t in STG_FACT_ORDERS.items())
+PRODUCTS = ", ".join(f"{c} {t}" for c, t in STG_DIM_PRODUCTS.items())
+
+
+def order(key, day, customer="u", status="delivered", state="SP", paid=10.0, score=4.0, delayed=False):
+    values = {
+        "order_id": key,
+        "customer_id": f"c{key}",
+        "customer_unique_id": customer,
+        "order_status": status,
+        "order_date": day,
+        "order_month": day.month,
+        "order_year": day.year,
+        "order_purchase_timestamp": dt.datetime(day.year, day.month, day.day),
+        "is_delayed": delayed,
+        "total_freight_value": 1.0,
+        "total_payment_value": paid,
+        "review_score": score,
+        "customer_state": state,
+        "customer_city": state.lower(),
+    }
+    return tuple(values.get(c) for c in STG_FACT_ORDERS)
+
+
+def stg(spark, *rows):
+    return spark.createDataFrame(rows, FACT)
+
+
+def lines(spark, *rows):
+    return spark.createDataFrame(rows, PRODUCTS)
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.select(*sorted(df.columns)).collect()), key=repr)
+
+
+D = dt.date
+
+
+def test_fct_orders_strict_misses_what_lookback_finds(spark):
+    before = [order("a", D(2018, 1, 10)), order("b", D(2018, 1, 9), status="shipped")]
+    stored = marts.fct_orders(stg(spark, *before))
+    now = stg(
+        spark,
+        order("a", D(2018, 1, 10)),
+        order("b", D(2018, 1, 9)),
+        order("late", D(2018, 1, 10)),
+        order("new", D(2018, 1, 11)),
+    )
+
+    def stored_after(mode):
+        fresh = marts.fct_orders(now, stored, mode=mode)
+        return marts.apply_increment("fct_orders", stored, fresh)
+
+    assert [r[-8:] for r in rows(stored_after("lookback"))] == [r[-8:] for r in rows(marts.fct_orders(now))]
+    assert {r["order_id"] for r in stored_after("strict").collect()} == {"a", "new"}
+    with pytest.raises(ValueError):
+        marts.fct_orders(now, stored, mode="other")
+
+
+def test_increment_into_an_empty_mart(spark):
+    orders = stg(spark, order("a", D(2018, 1, 10)))
+    empty = marts.fct_orders(orders).limit(0)
+    assert marts.fct_orders(orders, empty, mode="strict").count() == 1
+    assert marts.agg_daily_sales(marts.fct_orders(orders), marts.agg_daily_sales(empty)).count() == 1
+
+
+def test_customers_by_location_and_by_customer(spark):
+    orders = stg(
+        spark,
+        order("a", D(2018, 1, 1), state="SP", paid=1.0, delayed=True),
+        order("b", D(2018, 1, 31), state="RJ", paid=2.0, score=None),
+        order("open", D(2018, 2, 1), status="shipped"),
+    )
+    assert marts.dim_customers(orders).count() == 2
+    row = marts.dim_customers(orders, grain="customer").first().asDict()
+    assert row == {
+        "customer_unique_id": "u",
+        "customer_state": "RJ",
+        "customer_city": "rj",
+        "order_count": 2,
+        "lifetime_value": 3.0,
+        "first_order_date": D(2018, 1, 1),
+        "last_order_date": D(2018, 1, 31),
+        "avg_review_score": 4.0,
+        "delayed_orders": 1,
+        "customer_tenure_days": 30,
+    }
+
+
+def test_customer_increment_recomputes_whole_history(spark):
+    first = [order("a", D(2018, 1, 1)), order("x", D(2018, 1, 5), customer="other")]
+    stored = marts.dim_customers(stg(spark, *first), grain="customer")
+    now = stg(spark, *first, order("b", D(2018, 3, 1), paid=5.0))
+    fresh = marts.dim_customers(now, stored)
+    assert {r["customer_unique_id"]: r["lifetime_value"] for r in fresh.collect()}["u"] == 15.0
+    assert rows(marts.apply_increment("dim_customers", stored, fresh)) == rows(marts.dim_customers(now, grain="customer"))
+
+
+def test_distinct_orders_of_unkeyed_input(spark):
+    orders = stg(spark, order("a", D(2018, 1, 1)), order("a", D(2018, 1, 1)))
+    fct = marts.fct_orders(orders)
+    assert marts.agg_daily_sales(fct, keyed=False).first()["order_count"] == 1
+    assert marts.agg_daily_sales(fct).first()["order_count"] == 2
+
+
+def test_category_sales_across_the_year_end(spark):
+    dec, jan = D(2017, 12, 31), D(2018, 1, 1)
+    items = lines(
+        spark,
+        ("a", "p", "toys", "toys", 1.0, 0.0),
+        ("b", "p", None, None, 2.0, 0.0),
+        ("late", "p", "toys", "toys", 4.0, 0.0),
+    )
+    stored_orders = marts.fct_orders(stg(spark, order("a", dec), order("b", jan)))
+    stored = marts.agg_category_sales(stored_orders, items)
+    now = marts.fct_orders(stg(spark, order("a", dec), order("b", jan), order("late", dec)))
+    fresh = marts.agg_category_sales(now, items, stored)
+    merged = marts.apply_increment("agg_category_sales", stored, fresh)
+    assert rows(merged) == rows(marts.agg_category_sales(now, items))
+    assert merged.count() == 2
+
+
+def test_category_sales_count_an_order_once_per_category(spark):
+    items = lines(
+        spark, ("a", "p", "toys", "toys", 1.0, 0.5), ("a", "q", "toys", "toys", 2.0, 0.5), ("z", "p", "x", "x", 9.0, 0.0)
+    )
+    fct = marts.fct_orders(stg(spark, order("a", D(2018, 1, 1)), order("none", D(2018, 1, 1))))
+    row = marts.agg_category_sales(fct, items).first()
+    assert (row["order_count"], row["revenue"], row["freight_total"], row["avg_review_score"]) == (1, 3.0, 1.0, 4.0)
+
+
+def test_seller_performance(spark):
+    monthly = spark.createDataFrame(
+        [(1, 2017, "toys", "t", 2, 10.0, 4.0), (1, 2018, "toys", "t", 3, 20.0, 2.0), (2, 2018, "toys", "t", 1, 3.0, None)],
+        """order_month int, order_year int, category_en string, product_category_name string, order_count bigint,
+        revenue double, avg_review_score double""",
+    )
+    row = marts.agg_seller_performance(monthly).first()
+    assert (row["total_orders"], row["total_revenue"], row["avg_review_score"]) == (6, 33.0, 3.0)
+    assert (row["active_months"], row["avg_monthly_revenue"]) == (2, 16.5)
+
+
+days = st.integers(0, 20).map(lambda n: D(2018, 1, 25) + dt.timedelta(days=n))
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(first=st.lists(days, min_size=1, max_size=8), late=st.lists(days, max_size=8))
+def test_increment_equals_rebuild(spark, first, late):
+    old = [order(f"a{i}", day, paid=float(i)) for i, day in enumerate(first)]
+    new = [order(f"b{i}", day, paid=float(i)) for i, day in enumerate(late)]
+    items = lines(spark, *((r[0], "p", "c", "c", 1.0, 0.0) for r in old + new))
+    before, now = stg(spark, *old), stg(spark, *old, *new)
+
+    stored = marts.fct_orders(before)
+    fct = marts.apply_increment("fct_orders", stored, marts.fct_orders(now, stored))
+    assert {r["order_id"] for r in fct.collect()} == {r[0] for r in old + new}
+
+    daily = marts.agg_daily_sales(stored)
+    merged = marts.apply_increment("agg_daily_sales", daily, marts.agg_daily_sales(fct, daily, lookback_days=60))
+    assert rows(merged) == rows(marts.agg_daily_sales(fct))
+
+    category = marts.agg_category_sales(stored, items)
+    fresh = marts.agg_category_sales(fct, items, category, lookback_months=3)
+    assert rows(marts.apply_increment("agg_category_sales", category, fresh)) == rows(marts.agg_category_sales(fct, items))
+
+
+def test_stg_reviews_keeps_texts_over_ten_characters(spark):
+    schema = ", ".join(f"{c} {t}" for c, t in STG_REVIEWS.items())
+    texts = ["açaí açaí ", "açaí açaí 1", None, ""]
+    values = [{"review_id": str(i), "text": t} for i, t in enumerate(texts)]
+    df = spark.createDataFrame([tuple(v.get(c) for c in STG_REVIEWS) for v in values], schema)
+    got = staging.stg_reviews(df)
+    assert [r["review_text"] for r in got.collect()] == ["açaí açaí 1"] and "text" not in got.columns
+
+
+def test_dashboard_orders_nulls_and_ties(spark):
+    sales = spark.createDataFrame(
+        [("b", 1.0, 1, 3.0), ("a", 1.0, 1, 5.0), (None, 9.0, 1, 1.0), ("c", None, 1, None)],
+        "category_en string, revenue double, order_count bigint, avg_review_score double",
+    )
+    assert [r["category_en"] for r in dashboard.top_categories(sales).collect()] == ["c", "a", "b"]
+    assert [r["category_en"] for r in dashboard.top_categories(sales, 2).collect()] == ["c", "a"]
+
+    daily = spark.createDataFrame(
+        [(12, 2017, 1.0), (1, 2018, 2.0), (1, 2018, 3.0)], "order_month int, order_year int, revenue double"
+    )
+    got = [(r["period"], r["revenue"]) for r in dashboard.monthly_revenue(daily).collect()]
+    assert got == [("2017-12", 1.0), ("2018-01", 5.0)]
+
+
+def test_rfm_on_real_customers(spark):
+    orders = [order(f"{c}{i}", D(2018, 1, 1 + n), customer=c) for n, c in enumerate("abc") for i in range(n + 1)]
+    rfm = dashboard.rfm_segments(marts.fct_orders(stg(spark, *orders)), grain=("customer_unique_id",))
+    got = {r["customer_unique_id"]: (r["r"], r["f"], r["rfm_segment"]) for r in rfm.collect()}
+    assert got == {"a": (3, 1, "Others"), "b": (2, 2, "Others"), "c": (1, 3, "Champions")}
+
+
+def test_segment_theme_matrix_fills_gaps(spark):
+    counts = spark.createDataFrame([("Loyal", "x", 2), ("Others", "y", 3)], "rfm_segment string, cluster_label string, cnt bigint")
+    got = {r["rfm_segment"]: (r["x"], r["y"]) for r in dashboard.segment_theme_matrix(counts).collect()}
+    assert got == {"Loyal": (2, 0), "Others": (0, 3)}

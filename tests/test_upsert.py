@@ -1,0 +1,111 @@
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from tradewind.operators import DuplicateKeys, first_per_key, insert_new, require_unique, upsert
+
+SCHEMA = "k int, v string"
+FEW = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def frame(spark, data, schema=SCHEMA):
+    return spark.createDataFrame(data, schema)
+
+
+def test_insert_new(spark):
+    existing = frame(spark, [(1, "old"), (None, "old null")])
+    incoming = frame(spark, [(1, "new"), (2, "a"), (2, "b"), (None, "new null")])
+    assert rows(insert_new(existing, incoming, ["k"])) == sorted(
+        [(1, "old"), (None, "old null"), (2, "a"), (2, "b"), (None, "new null")], key=repr
+    )
+
+
+def test_insert_new_null_safe(spark):
+    existing, incoming = frame(spark, [(None, "old")]), frame(spark, [(None, "new"), (1, "x")])
+    assert rows(insert_new(existing, incoming, ["k"], null_safe=True)) == [(1, "x"), (None, "old")]
+
+
+def test_upsert(spark):
+    existing = frame(spark, [(1, "old"), (3, "kept"), (None, "null")])
+    incoming = frame(spark, [(1, None), (2, "new"), (None, "null too")])
+    assert rows(upsert(existing, incoming, ["k"])) == sorted(
+        [(1, None), (2, "new"), (3, "kept"), (None, "null"), (None, "null too")], key=repr
+    )
+
+
+def test_partial_update_leaves_other_columns(spark):
+    schema = "k int, owner string, v string"
+    existing = frame(spark, [(1, "me", "old"), (2, "me", "kept")], schema)
+    incoming = frame(spark, [(1, "you", None), (3, "you", "new")], schema)
+    assert rows(upsert(existing, incoming, ["k"], update_cols=["v"])) == [
+        (1, "me", None),
+        (2, "me", "kept"),
+        (3, "you", "new"),
+    ]
+
+
+def test_new_and_missing_columns(spark):
+    existing = frame(spark, [(1, "a", "only old"), (2, "b", "only old")], "k int, v string, gone string")
+    incoming = frame(spark, [(1, "A", 1.0), (3, "C", 3.0)], "k int, v string, extra double")
+    merged = upsert(existing, incoming, ["k"])
+    assert merged.columns == ["k", "v", "gone", "extra"]
+    assert rows(merged) == [(1, "A", "only old", 1.0), (2, "b", "only old", None), (3, "C", None, 3.0)]
+
+
+def test_new_column_only(spark):
+    existing = frame(spark, [(1, "a")])
+    incoming = frame(spark, [(2, "b", 1)], "k int, v string, extra int")
+    assert rows(upsert(existing, incoming, ["k"])) == [(1, "a", None), (2, "b", 1)]
+
+
+def test_composite_key(spark):
+    schema = "a int, b int, v string"
+    existing = frame(spark, [(1, 1, "x"), (1, 2, "y"), (1, None, "z")], schema)
+    incoming = frame(spark, [(1, 2, "Y"), (2, 2, "W"), (1, None, "Z")], schema)
+    assert rows(upsert(existing, incoming, ["a", "b"])) == sorted(
+        [(1, 1, "x"), (1, 2, "Y"), (2, 2, "W"), (1, None, "z"), (1, None, "Z")], key=repr
+    )
+    assert (1, None, "z") not in rows(upsert(existing, incoming, ["a", "b"], null_safe=True))
+
+
+def test_require_unique(spark):
+    require_unique(frame(spark, [(1, "a"), (None, "b"), (None, "c")]), ["k"])
+    with pytest.raises(DuplicateKeys, match=r"\(7,\)"):
+        require_unique(frame(spark, [(7, "a"), (7, "b"), (1, "c")]), ["k"])
+
+
+tables = st.lists(st.tuples(st.integers(0, 6), st.sampled_from("abc")), max_size=12)
+
+
+def unique(data):
+    return list(dict(data).items())
+
+
+@FEW
+@given(existing=tables, incoming=tables)
+def test_upsert_equals_dict_update_and_is_idempotent(spark, existing, incoming):
+    old, new = unique(existing), unique(incoming)
+    merged = upsert(frame(spark, old), frame(spark, new), ["k"])
+    assert rows(merged) == sorted({**dict(old), **dict(new)}.items(), key=repr)
+    assert rows(upsert(merged, frame(spark, new), ["k"])) == rows(merged)
+
+
+@FEW
+@given(existing=tables, incoming=tables)
+def test_insert_new_keeps_existing_rows(spark, existing, incoming):
+    merged = rows(insert_new(frame(spark, existing), frame(spark, incoming), ["k"]))
+    held = {k for k, _ in existing}
+    assert merged == sorted([*existing, *((k, v) for k, v in incoming if k not in held)], key=repr)
+
+
+@FEW
+@given(data=tables)
+def test_first_per_key_is_the_smallest_row(spark, data):
+    expected = {}
+    for k, v in sorted(data):
+        expected.setdefault(k, v)
+    assert rows(first_per_key(frame(spark, data).repartition(3), ["k"])) == sorted(expected.items())
