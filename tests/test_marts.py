@@ -132,6 +132,14 @@ def test_category_sales_across_the_year_end(spark):
     assert merged.count() == 2
 
 
+def test_category_that_is_renamed_leaves_no_row_behind(spark):
+    fct = marts.fct_orders(stg(spark, order("a", D(2018, 1, 1))))
+    stored = marts.agg_category_sales(fct, lines(spark, ("a", "p", "casa", "casa", 1.0, 0.0)))
+    fresh = marts.agg_category_sales(fct, lines(spark, ("a", "p", "casa", "home", 1.0, 0.0)), stored)
+    merged = marts.apply_increment("agg_category_sales", stored, fresh).collect()
+    assert [r["category_en"] for r in merged] == ["home"]
+
+
 def test_category_sales_count_an_order_once_per_category(spark):
     items = lines(
         spark, ("a", "p", "toys", "toys", 1.0, 0.5), ("a", "q", "toys", "toys", 2.0, 0.5), ("z", "p", "x", "x", 9.0, 0.0)

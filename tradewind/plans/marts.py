@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tradewind.functions import month_index
 from tradewind.operators import upsert
-from tradewind.schemas import MART_KEYS
+from tradewind.schemas import INCREMENT_KEYS
 
 DELIVERED = "delivered"
 LATE_ORDER_DAYS = 60
@@ -47,8 +47,8 @@ _FCT_COLUMNS = (
 
 
 def apply_increment(mart: str, existing: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Stored mart with `fresh` merged in on the mart's key; new columns are appended."""
-    return upsert(existing, fresh, MART_KEYS[mart], null_safe=True)
+    """Stored mart with `fresh` merged in on the mart's increment key; new columns are appended."""
+    return upsert(existing, fresh, INCREMENT_KEYS[mart], null_safe=True)
 
 
 def _stored_max(existing: DataFrame, value: Column, when_empty: Column) -> Column:

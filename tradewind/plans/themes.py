@@ -38,6 +38,7 @@ LABEL_CHARS, SUMMARY_CHARS = 20, 100
 LABEL_TERMS, SUMMARY_TERMS = 3, 10
 MIN_TERM_LENGTH = 3
 HASH_FEATURES = 512
+COST_TOLERANCE = 1e-9
 LARGEST_SAMPLE = 2000
 NOT_A_LETTER = r"[^\p{L}]+"
 
@@ -141,13 +142,17 @@ def k_values(rows: int) -> range:
 def fit_clusters(
     df: DataFrame, k: int, vector: str = "vector", seed: int = SEED, restarts: int = RESTARTS
 ) -> KMeansModel:
-    """k-means from `restarts` starting points; the model with the lowest cost."""
+    """k-means from `restarts` starting points; the model with the lowest cost.
+
+    There are fewer than `k` clusters when there are fewer distinct vectors, which only the
+    row solver can deal with.
+    """
     points = df.select(vector)
-    models = (
-        KMeans(k=k, seed=seed + i, featuresCol=vector, predictionCol="cluster_id").fit(points)
-        for i in range(restarts)
-    )
-    return min(models, key=lambda model: model.summary.trainingCost)
+    means = KMeans(k=k, featuresCol=vector, predictionCol="cluster_id", solver="row")
+    models = [means.setSeed(seed + i).fit(points) for i in range(restarts)]
+    costs = [model.summary.trainingCost for model in models]
+    # Sums over partitions vary in the last digits; the earliest seed wins such ties.
+    return models[next(i for i, cost in enumerate(costs) if cost <= min(costs) * (1 + COST_TOLERANCE))]
 
 
 def assign_clusters(df: DataFrame, model: KMeansModel) -> DataFrame:

@@ -43,7 +43,7 @@ GOLD_KEYS = {
     "dim_products": ("order_id", "product_id"),
 }
 
-# agg_category_sales is keyed by everything it is grouped by, and NULL categories compare equal.
+# NULL categories compare equal.
 MART_KEYS = {
     "fct_orders": ("order_id",),
     "dim_customers": ("customer_unique_id",),
@@ -52,6 +52,10 @@ MART_KEYS = {
     "agg_seller_performance": ("category_en", "product_category_name"),
 }
 
+# What an increment replaces. Category sales come as whole months, and a category that no longer
+# occurs in a month (say, because it got a translation) has to go.
+INCREMENT_KEYS = {**MART_KEYS, "agg_category_sales": ("order_year", "order_month")}
+
 MART_CHECKS = {
     "fct_orders": {"not_null": ["order_id", "order_status"], "unique": ["order_id"]},
     "dim_customers": {"not_null": ["customer_unique_id"]},

@@ -1,12 +1,14 @@
 """Tables of the bronze, silver, gold and mart layers, kept as Parquet folders.
 
-Every full write goes to a new numbered folder below the table; a folder counts once Spark's
-own _SUCCESS marker is in it. Readers take the newest such folder, so a job can rewrite the
-table it reads from, and a job that dies half-way leaves the old table in place.
+Every full write goes to a new numbered folder below the table, and the table's schema is put
+next to the data once all of it is there. Readers take the newest folder with a schema, so a
+job can rewrite the table it reads from, a job that dies half-way leaves the old table in
+place, and no read has to open files to find out the columns.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -17,6 +19,7 @@ from tradewind.operators.upsert import require_unique, unseen, upsert
 from tradewind.session import materialize
 
 _BATCH = "ingest_batch"
+_SCHEMA = "_schema.json"
 
 
 def _fit(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -52,7 +55,7 @@ class Lakehouse:
         numbers = []
         for status in fs.listStatus(path):
             name = status.getPath().getName()
-            if name.startswith("v") and fs.exists(self._fs(f"{path.toString()}/{name}/_SUCCESS")[1]):
+            if name.startswith("v") and fs.exists(self._fs(f"{path.toString()}/{name}/{_SCHEMA}")[1]):
                 numbers.append(int(name[1:]))
         return sorted(numbers)
 
@@ -74,8 +77,23 @@ class Lakehouse:
         return self._scan(layer, table).drop(_BATCH)
 
     def _scan(self, layer: str, table: str) -> DataFrame:
-        # All files of a version have the same columns (see _fit), so one footer is enough.
-        return self.spark.read.parquet(self.location(layer, table))
+        location = self.location(layer, table)
+        return self.spark.read.schema(self._load_schema(location)).parquet(location)
+
+    def _load_schema(self, location: str) -> T.StructType:
+        fs, path = self._fs(f"{location}/{_SCHEMA}")
+        stream = fs.open(path)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return T.StructType.fromJson(json.loads(text))
+
+    def _save_schema(self, location: str, schema: T.StructType) -> None:
+        fs, path = self._fs(f"{location}/{_SCHEMA}")
+        stream = fs.create(path, True)
+        stream.write(schema.json().encode("utf-8"))
+        stream.close()
 
     def read_or_empty(self, layer: str, table: str, schema: T.StructType) -> DataFrame:
         if self.exists(layer, table):
@@ -117,6 +135,7 @@ class Lakehouse:
         number = (versions[-1] if versions else 0) + 1
         path = self._version_path(layer, table, number)
         self.row_counts[f"{layer}.{table}"] = self._write(df, path, "overwrite", partition_by)
+        self._save_schema(path, df.schema)
         for old in versions[:-1]:
             fs, old_path = self._fs(self._version_path(layer, table, old))
             fs.delete(old_path, True)
@@ -162,9 +181,10 @@ class Lakehouse:
     ) -> DataFrame:
         """Upsert `incoming`, creating the table when absent.
 
-        With `partition_by`, only partitions that hold a matched key are rewritten and all
-        other rows are appended; without it the table is written as a new version.
-        `unique=True` states that `incoming` is grouped or de-duplicated by the key already.
+        `unique=True` states that `incoming` is grouped or de-duplicated by the key already, or
+        that its rows replace whole groups of rows with the same key. With `partition_by`, only
+        partitions that hold a matched key are rewritten and all other rows are appended;
+        without it the table is written as a new version.
         """
         if not unique:
             require_unique(incoming, keys)
@@ -186,7 +206,8 @@ class Lakehouse:
     ) -> bool:
         """Rewrite matched partitions in place. False when a matched row would change partition."""
         location = self.location(layer, table)
-        old, new = existing.alias("old"), incoming.alias("new")
+        held = list(dict.fromkeys([*keys, *partition_by]))
+        old, new = existing.select(*held).alias("old"), incoming.select(*held).distinct().alias("new")
         match = F.lit(True)
         for key in keys:
             pair = F.col(f"old.{key}"), F.col(f"new.{key}")
@@ -194,7 +215,7 @@ class Lakehouse:
         moved = F.lit(False)
         for name in partition_by:
             moved = moved | ~F.col(f"old.{name}").eqNullSafe(F.col(f"new.{name}"))
-        # Reads key and partition columns only; one row per partition reaches the driver.
+        # One row per partition reaches the driver.
         touched = (
             old.join(new, match)
             .groupBy(*(F.col(f"old.{p}") for p in partition_by))
