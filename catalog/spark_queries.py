@@ -29,7 +29,7 @@ from tradewind.schemas import (
     SILVER_KEYS,
     STG_FACT_ORDERS,
 )
-from tradewind.session import new_shared_path
+from tradewind.session import materialize, new_shared_path
 from tradewind.sources import Lakehouse, as_variant, project_variant, query, read_csv
 from tradewind.streaming import ingest_stream, open_csv_stream
 
@@ -786,7 +786,8 @@ def t3_early_exit(t: Inputs) -> DataFrame:
 
 @_register
 def t4_embed_texts(t: Inputs) -> DataFrame:
-    vectors = themes.embed_texts(t.stg_reviews.select("review_id", "review_text"))
+    texts = materialize(t.stg_reviews.select("review_id", "review_text"), "t4-texts")
+    vectors = themes.embed_texts(texts)
     return vectors.select("review_id", themes.vector_to_array("vector").alias("vector"))
 
 

@@ -345,7 +345,8 @@ def discover_themes(
     and labels are those of this batch; `batch_id` adds a column telling batches apart.
     `labels` (cluster_id, cluster_label, cluster_summary) replaces the generated names.
     """
-    batch = next_batch(stg_reviews, clusters, limit)
+    # Fitting the term weights reads the batch once and applying them once more.
+    batch = materialize(next_batch(stg_reviews, clusters, limit), "batch")
     if batch.isEmpty():
         return None
     vectors = materialize(embed_texts(batch, make_encoder=make_encoder), "vectors")
