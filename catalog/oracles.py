@@ -403,7 +403,7 @@ _TEXTS: dict[str, str] = {
     "w8_agg_seller_performance": """SELECT category_en, product_category_name,
         CAST(sum(order_count) AS BIGINT) AS total_orders, round(sum(revenue), 4) AS total_revenue,
         round(avg(avg_review_score), 8) AS avg_review_score, count(DISTINCT order_month) AS active_months,
-        round(sum(revenue) / nullif(count(DISTINCT order_month), 0), 3) AS avg_monthly_revenue
+        round(sum(revenue) / nullif(count(DISTINCT order_month), 0), 4) AS avg_monthly_revenue
         FROM agg_category_sales GROUP BY 1, 2""",
     # -- dashboard
     "q1_monthly_revenue": """SELECT order_month, order_year, round(sum(revenue), 4) AS revenue,

@@ -402,7 +402,7 @@ def w8_agg_seller_performance(t: Inputs) -> DataFrame:
     return rows.withColumns(
         {
             "avg_review_score": F.round("avg_review_score", 8),
-            "avg_monthly_revenue": F.round("avg_monthly_revenue", 3),
+            "avg_monthly_revenue": F.round("avg_monthly_revenue", 4),
         }
     )
 
