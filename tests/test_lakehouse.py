@@ -90,6 +90,15 @@ def test_merge_creates_then_updates(spark, lake):
     ]
 
 
+def test_merge_without_a_match_appends(spark, lake):
+    lake.merge("silver", "t", frame(spark, [(1, "a"), (None, "n")]), ["k"])
+    got = lake.merge("silver", "t", frame(spark, [(2, "b"), (None, "m")]), ["k"])
+    assert rows(got) == sorted([(1, "a"), (None, "n"), (2, "b"), (None, "m")], key=repr)
+    assert lake._versions("silver", "t") == [1]
+    lake.merge("silver", "t", frame(spark, [(1, "A")]), ["k"])
+    assert lake._versions("silver", "t") == [1, 2] and lake.read("silver", "t").count() == 4
+
+
 def test_merge_refuses_repeated_keys(spark, lake):
     with pytest.raises(DuplicateKeys):
         lake.merge("silver", "t", frame(spark, [(1, "a"), (1, "b")]), ["k"])

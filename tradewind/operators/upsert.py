@@ -35,6 +35,13 @@ def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, null
     return left.alias("l").join(right.alias("r"), _same_key(keys, null_safe), how)
 
 
+def matching(
+    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], null_safe: bool = False
+) -> DataFrame:
+    """Keys of the existing rows that have a partner in `incoming`."""
+    return _join(existing.select(*keys), _keys_of(incoming, keys), keys, "left_semi", null_safe)
+
+
 def unseen(
     existing: DataFrame, incoming: DataFrame, keys: Sequence[str], null_safe: bool = False
 ) -> DataFrame:
@@ -44,8 +51,8 @@ def unseen(
     The existing keys are first cut down to those the batch holds: that semi join can
     broadcast the batch, whereas an anti join could only broadcast the whole table.
     """
-    hit = _join(existing.select(*keys), _keys_of(incoming, keys), keys, "left_semi", null_safe)
-    return _join(incoming, hit.distinct(), keys, "left_anti", null_safe)
+    hit = matching(existing, incoming, keys, null_safe).distinct()
+    return _join(incoming, hit, keys, "left_anti", null_safe)
 
 
 def insert_new(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tradewind.functions import period, rate_percent
 from tradewind.operators import global_ntile
 
+# Report sizes and number of tiles.
 TOP_CATEGORIES = 15
 TOP_STATES = 10
 RFM_TILES = 3
@@ -77,6 +78,7 @@ def rfm_segments(fct: DataFrame, grain: Sequence[str] = ("order_id", "customer_i
     return tiled.select(*grain, "r", "f", _segment(F.col("r") == 1, F.col("f") == 3).alias("rfm_segment"))
 
 
+# Segment names.
 def _segment(recent: Column, frequent: Column) -> Column:
     return (
         F.when(recent & frequent, "Champions")

@@ -23,6 +23,7 @@ from tradewind.schemas import INCREMENT_KEYS
 DELIVERED = "delivered"
 LATE_ORDER_DAYS = 60
 
+# Columns fct_orders takes over.
 _FCT_COLUMNS = (
     "order_id",
     "customer_id",

@@ -11,7 +11,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -208,9 +207,10 @@ def choose_k(
     """The k with the highest silhouette (lowest k wins ties), with its fitted model.
 
     measure="sample" is the Euclidean silhouette of a fixed sample; measure="all" is Spark's
-    squared-Euclidean silhouette over every row, which is linear in the rows.
+    squared-Euclidean silhouette over every row, which is linear in the rows. `df` is read
+    once per fit (k-means keeps what it iterates over), so it should be a stored table.
     """
-    points = df.select(key, vector).persist(StorageLevel.MEMORY_AND_DISK)
+    points = df.select(key, vector)
     if measure == "sample":
         sample = silhouette_sample(points, key, vector, seed=seed).persist()
         rows = [row[vector] for row in sample.orderBy(key).collect()]
@@ -225,7 +225,6 @@ def choose_k(
             scores[k] = _silhouette_of_all(assign_clusters(points, models[k]), vector)
     if measure == "sample":
         sample.unpersist()
-    points.unpersist()
     best = max(sorted(scores), key=scores.__getitem__)
     return KChoice(best, models[best], scores)
 
@@ -350,6 +349,7 @@ def discover_themes(
     if batch.isEmpty():
         return None
     vectors = materialize(embed_texts(batch, make_encoder=make_encoder), "vectors")
+    # Cluster ids go to the rows with the plot coordinates, all in one pass at the end.
     placed = project_2d(vectors)
     if candidates is None:
         candidates = k_values(vectors.count())

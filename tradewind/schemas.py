@@ -32,6 +32,7 @@ RAW_TABLES = {
     "category_translation": RawTable("product_category_name_translation", ("product_category_name",)),
 }
 
+# Keys of the derived tables.
 SILVER_KEYS = {
     **{name: raw.keys for name, raw in RAW_TABLES.items()},
     "geolocation": ("geolocation_zip_code_prefix", "geolocation_city", "geolocation_state"),
@@ -56,12 +57,14 @@ MART_KEYS = {
 # occurs in a month (say, because it got a translation) has to go.
 INCREMENT_KEYS = {**MART_KEYS, "agg_category_sales": ("order_year", "order_month")}
 
+# Quality rules of the marts.
 MART_CHECKS = {
     "fct_orders": {"not_null": ["order_id", "order_status"], "unique": ["order_id"]},
     "dim_customers": {"not_null": ["customer_unique_id"]},
     "agg_daily_sales": {"not_null": ["order_date"], "unique": ["order_date"]},
 }
 
+# The cluster table.
 CLUSTER_KEY = ("review_id",)
 CLUSTER_SCHEMA = T.StructType(
     [
@@ -76,7 +79,7 @@ CLUSTER_SCHEMA = T.StructType(
 )
 CLUSTER_UPDATES = tuple(f.name for f in CLUSTER_SCHEMA if f.name not in ("review_id", "order_id"))
 
-# Staging layouts, column -> type, as the warehouse side declares them.
+# Staging layouts, column -> type.
 STG_FACT_ORDERS = {
     "order_id": "string",
     "customer_id": "string",

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradewind.operators.upsert import require_unique, unseen, upsert
+from tradewind.operators.upsert import matching, require_unique, unseen, upsert
 from tradewind.session import materialize
 
 _BATCH = "ingest_batch"
@@ -150,9 +150,7 @@ class Lakehouse:
         batch = 1 + max(self._batches(location), default=0)
         df, existing = df.withColumn(_BATCH, F.lit(batch)), self._scan(layer, table)
         if set(df.columns) <= set(existing.columns):
-            self.row_counts[f"{layer}.{table}"] = self._write(
-                _fit(df, existing.schema), location, "append", [_BATCH]
-            )
+            self._add(layer, table, df, [_BATCH])
         else:
             self.replace(layer, table, existing.unionByName(df, allowMissingColumns=True), [_BATCH])
         return batch
@@ -182,9 +180,11 @@ class Lakehouse:
         """Upsert `incoming`, creating the table when absent.
 
         `unique=True` states that `incoming` is grouped or de-duplicated by the key already, or
-        that its rows replace whole groups of rows with the same key. With `partition_by`, only
-        partitions that hold a matched key are rewritten and all other rows are appended;
-        without it the table is written as a new version.
+        that its rows replace whole groups of rows with the same key.
+
+        If no key matches, the rows are appended. Otherwise, with `partition_by`, partitions
+        that hold a matched key are rewritten and all other rows are appended; without it the
+        table is written as a new version.
         """
         if not unique:
             require_unique(incoming, keys)
@@ -193,14 +193,27 @@ class Lakehouse:
         # Read several times below, and possibly computed from the table itself.
         incoming = materialize(incoming, table)
         existing = self._scan(layer, table)
-        in_place = partition_by and set(incoming.columns) <= set(existing.columns)
-        if in_place and self._merge_partitions(
-            layer, table, existing, incoming, keys, update_cols, null_safe, partition_by
-        ):
-            return self.read(layer, table)
+        if set(incoming.columns) <= set(existing.columns):
+            if partition_by:
+                done = self._merge_partitions(
+                    layer, table, existing, incoming, keys, update_cols, null_safe, partition_by
+                )
+            else:
+                done = matching(existing, incoming, keys, null_safe).isEmpty()
+                if done:
+                    self._add(layer, table, incoming)
+            if done:
+                return self.read(layer, table)
         merged = upsert(existing, incoming, keys, update_cols, null_safe)
         return self.replace(layer, table, merged, partition_by)
 
+    def _add(self, layer: str, table: str, df: DataFrame, partition_by: Sequence[str] = ()) -> None:
+        """Add rows without touching any file."""
+        location = self.location(layer, table)
+        fitted = _fit(df, self._load_schema(location))
+        self.row_counts[f"{layer}.{table}"] = self._write(fitted, location, "append", partition_by)
+        self.spark.catalog.refreshByPath(location)
+
     def _merge_partitions(
         self, layer, table, existing, incoming, keys, update_cols, null_safe, partition_by
     ) -> bool:
@@ -237,6 +250,5 @@ class Lakehouse:
             self._write(merged, location, "overwrite", partition_by, partitionOverwriteMode="dynamic")
             self.spark.catalog.refreshByPath(location)
             incoming = incoming.filter(~inside)
-        self._write(_fit(incoming, existing.schema), location, "append", partition_by)
-        self.spark.catalog.refreshByPath(location)
+        self._add(layer, table, incoming, partition_by)
         return True
