@@ -159,7 +159,8 @@ def test_restarts_never_cost_more(spark):
     matrix, _ = blobs(seed=3)
     df = points(spark, matrix)
     one = themes.fit_clusters(df, 6, restarts=1).summary.trainingCost
-    assert themes.fit_clusters(df, 6, restarts=5).summary.trainingCost <= one
+    best = themes.fit_clusters(df, 6, restarts=5).summary.trainingCost
+    assert best <= one * (1 + themes.COST_TOLERANCE)  # sums over partitions vary in the last digits
 
 
 def test_representative_texts(spark):
