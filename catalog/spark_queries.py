@@ -862,7 +862,7 @@ def t13_write_back(t: Inputs) -> DataFrame:
 @_register
 def t14_review_themes(t: Inputs) -> DataFrame:
     run = themes.discover_themes(t.stg_reviews, t.clusters, limit=None, restarts=1, candidates=[3, 4, 5])
-    return themes.write_back(t.clusters, run.rows)
+    return t.clusters if run is None else themes.write_back(t.clusters, run.rows)
 
 
 # -- quality checks ----------------------------------------------------------------------

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import re
 import sys
 import time
 from collections import Counter
@@ -75,6 +76,25 @@ def difference(df, con, sql: str) -> str | None:
     return None
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def scale_problem(df) -> str | None:
+    """An all-pairs join, or a window over the whole table in one task.
+
+    The one unpartitioned window allowed is over partition sizes (global rank and ntile).
+    """
+    text = plan(df)
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin"):
+        if bad in text:
+            return bad
+    for line in re.findall(r"Window \[.*", text):
+        if re.search(r"AS \w+#\w+\], \[\w+#\w+ ", line) and "__size" not in line:
+            return line
+    return None
+
+
 def main() -> None:
     sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
     from __spark_entry__ import oracle_sql, queries

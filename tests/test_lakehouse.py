@@ -123,6 +123,7 @@ def test_partitioned_merge_touches_matched_partitions_only(spark, lake):
     assert files(lake, 1) != before[1]
     assert files(lake, 2) == before[2]
     assert set(before[3]) < set(files(lake, 3))
+    assert lake.row_counts["mart.t"] == 4  # both rows of month 1 and the two new ones
     assert lake._versions("mart", "t") == [1]
 
 
@@ -159,3 +160,6 @@ def test_variant_and_typed_projection(spark):
 def test_query_lower_cases_names(spark):
     got = query(spark, "SELECT k AS Key, upper(v) AS VALUE FROM {t}", t=frame(spark, [(1, "a")]))
     assert got.columns == ["key", "value"] and rows(got) == [(1, "A")]
+    kept = query(spark, "SELECT K FROM {t}", keep=True, t=frame(spark, [(1, "a")]))
+    assert kept.is_cached and kept.columns == ["k"]
+    kept.unpersist()

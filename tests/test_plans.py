@@ -1,5 +1,8 @@
-"""What the plans must look like to hold at scale: no all-pairs joins, no single-task windows over
-data, map-side combining, pruned scans, and split hot keys."""
+"""What the plans must look like to hold at scale: map-side combining, pruned scans, split hot keys.
+
+That no query plans an all-pairs join or a single-task window is checked with its rows, in
+test_queries.py.
+"""
 
 import re
 
@@ -7,18 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
+from tests.compare import plan
 from tradewind import operators as ops
 from tradewind.plans import gold, marts
 from tradewind.sources import Lakehouse
 
 SF_DIR = "/root/testdata/sf0.001"
-# These run inner jobs and return a small frame of their results; the jobs are tested elsewhere.
-RUNS_JOBS = {"d4_row_counts", "r1_stream_ingest", "r2_full_refresh", "t14_review_themes"}
-
-
-def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
 
 @pytest.fixture
 def small_partitions(spark):
@@ -42,15 +39,6 @@ def small_partitions(spark):
             spark.conf.set(key, value)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - RUNS_JOBS))
-def test_no_all_pairs_join_and_no_single_task_sort(spark, name):
-    text = plan(queries()[name](spark, SF_DIR))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    # The one unpartitioned window allowed is over partition sizes (global rank and ntile).
-    for window in re.findall(r"Window \[.*", text):
-        assert re.search(r"windowspecdefinition\((?!.*specifiedwindowframe).*|\], \[\S", window) or "__size" in window
-
-
 def keyed(spark, count, hot):
     """`count` rows of which a third has the key `hot`."""
     key = F.when(F.col("id") % 3 == 0, F.lit(hot)).otherwise(F.col("id"))

@@ -150,7 +150,7 @@ class Lakehouse:
         batch = 1 + max(self._batches(location), default=0)
         df, existing = df.withColumn(_BATCH, F.lit(batch)), self._scan(layer, table)
         if set(df.columns) <= set(existing.columns):
-            self._add(layer, table, df, [_BATCH])
+            self.row_counts[f"{layer}.{table}"] = self._add(layer, table, df, [_BATCH])
         else:
             self.replace(layer, table, existing.unionByName(df, allowMissingColumns=True), [_BATCH])
         return batch
@@ -192,32 +192,36 @@ class Lakehouse:
             return self.replace(layer, table, incoming, partition_by)
         # Read several times below, and possibly computed from the table itself.
         incoming = materialize(incoming, table)
-        existing = self._scan(layer, table)
+        if incoming.isEmpty():
+            return self.read(layer, table)
+        existing, written = self._scan(layer, table), None
         if set(incoming.columns) <= set(existing.columns):
             if partition_by:
-                done = self._merge_partitions(
+                written = self._merge_partitions(
                     layer, table, existing, incoming, keys, update_cols, null_safe, partition_by
                 )
-            else:
-                done = matching(existing, incoming, keys, null_safe).isEmpty()
-                if done:
-                    self._add(layer, table, incoming)
-            if done:
-                return self.read(layer, table)
-        merged = upsert(existing, incoming, keys, update_cols, null_safe)
-        return self.replace(layer, table, merged, partition_by)
-
-    def _add(self, layer: str, table: str, df: DataFrame, partition_by: Sequence[str] = ()) -> None:
-        """Add rows without touching any file."""
+            elif matching(existing, incoming, keys, null_safe).isEmpty():
+                written = self._add(layer, table, incoming)
+        if written is None:
+            merged = upsert(existing, incoming, keys, update_cols, null_safe)
+            return self.replace(layer, table, merged, partition_by)
+        self.row_counts[f"{layer}.{table}"] = written
+        return self.read(layer, table)
+
+    def _add(self, layer: str, table: str, df: DataFrame, partition_by: Sequence[str] = ()) -> int:
+        """Add rows without touching any file; how many they are."""
         location = self.location(layer, table)
-        fitted = _fit(df, self._load_schema(location))
-        self.row_counts[f"{layer}.{table}"] = self._write(fitted, location, "append", partition_by)
+        written = self._write(_fit(df, self._load_schema(location)), location, "append", partition_by)
         self.spark.catalog.refreshByPath(location)
+        return written
 
     def _merge_partitions(
         self, layer, table, existing, incoming, keys, update_cols, null_safe, partition_by
-    ) -> bool:
-        """Rewrite matched partitions in place. False when a matched row would change partition."""
+    ) -> int | None:
+        """Rewrite matched partitions in place and append the rest; how many rows were written.
+
+        None, with nothing written, when a matched row would change partition.
+        """
         location = self.location(layer, table)
         held = list(dict.fromkeys([*keys, *partition_by]))
         old, new = existing.select(*held).alias("old"), incoming.select(*held).distinct().alias("new")
@@ -236,7 +240,8 @@ class Lakehouse:
             .collect()
         )
         if any(row["__moved"] for row in touched):
-            return False
+            return None
+        written = 0
         if touched:
             inside = F.lit(False)
             for row in touched:
@@ -247,8 +252,9 @@ class Lakehouse:
             merged = upsert(
                 existing.filter(inside), incoming.filter(inside), keys, update_cols, null_safe
             )
-            self._write(merged, location, "overwrite", partition_by, partitionOverwriteMode="dynamic")
+            written = self._write(
+                merged, location, "overwrite", partition_by, partitionOverwriteMode="dynamic"
+            )
             self.spark.catalog.refreshByPath(location)
             incoming = incoming.filter(~inside)
-        self._add(layer, table, incoming, partition_by)
-        return True
+        return written + self._add(layer, table, incoming, partition_by)
