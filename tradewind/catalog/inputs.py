@@ -1,6 +1,6 @@
 """The driver's tables in the shape of the raw e-commerce tables.
 
-Each function has its SQL twin in `catalog/oracles.py`.
+Each function has its SQL twin in `oracles.py`.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.inputs import Inputs
+from tradewind.catalog.inputs import Inputs
 from tradewind import operators as ops
 from tradewind.functions import (
     blank_to_null,
