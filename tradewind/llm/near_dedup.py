@@ -42,8 +42,8 @@ from tradewind.session import materialize
 SKETCH = 64
 WHOLE = 256
 HUB_ROUNDS = 2
-_AS_A = (("node", "a"), ("n", "na"), ("component", "ca"), ("before", "before_a"))
-_AS_B = (("node", "b"), ("n", "nb"), ("component", "cb"), ("before", "before_b"))
+_AS_A = (("node", "a"), ("n", "na"), ("component", "ca"), ("before", "before_a"), ("own", "own_a"))
+_AS_B = (("node", "b"), ("n", "nb"), ("component", "cb"), ("before", "before_b"), ("own", "own_b"))
 
 
 def shingle_sets(batch_texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -247,6 +247,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     placed = materialize(_placed(lists, found), "placed")
     open_lists = placed.join(_mixed(placed), ["exact", "value"], "left_semi")
+    # A pair meets in every list both are in; it counts in the first of these, rarest value first.
+    own = open_lists.groupBy("exact", "node").agg(F.sort_array(F.collect_list(F.struct("before", "value"))).alias("own"))
+    open_lists = open_lists.join(own.select("exact", "node", F.col("own.value").alias("own")), ["exact", "node"])
     left = open_lists.select("exact", "value", *[F.col(c).alias(x) for c, x in _AS_A])
     right = open_lists.select("exact", "value", *[F.col(c).alias(x) for c, x in _AS_B])
     # What comes before the common value in the one is not in the other.
@@ -255,6 +258,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     across = (
         left.join(right, ["exact", "value"])
         .filter((F.col("ca") < F.col("cb")) & _similar_size("na", "nb", percent) & possible)
+        .filter(F.element_at(F.array_intersect("own_a", "own_b"), 1) == F.col("value"))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
