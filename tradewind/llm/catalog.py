@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import decontaminate, licenses, mixing, near_dedup, neighbours, ppm, private_data, secrets, toxicity
+from tradewind.llm import decontaminate, licenses, mixing, near_dedup, neighbours, ppm, private_data, repeats, secrets, toxicity
 from tradewind.llm.common import fold_of, read
 
 
@@ -43,6 +43,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_counts(read(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
