@@ -132,19 +132,20 @@ def _terms(suspects: DataFrame, base: DataFrame, docs: DataFrame, text_col: str,
 
 
 def _found(docs: DataFrame, columns: list[Column], text_col: str, share: float, bits: float) -> tuple[DataFrame, DataFrame]:
-    """The rows numbered and written, and (row, found): the sorted spans (start, kind, end) of each that has some."""
+    """The rows numbered and written, and (__row, __found): the sorted spans (start, kind, end) of each that has some."""
     likely = F.coalesce(docs[text_col].rlike("|".join(f"(?:{p})" for p in _POSSIBLE)), F.lit(False))
     rows = materialize(
-        docs.select(F.monotonically_increasing_id().alias("row"), *columns, F.when(likely, docs[text_col]).alias("__likely")), "rows"
+        docs.select(F.monotonically_increasing_id().alias("__row"), *columns, F.when(likely, docs[text_col]).alias("__likely")), "rows"
     )
-    suspects = rows.filter("__likely IS NOT NULL").select("row", F.col("__likely").alias("text"))
+    suspects = rows.filter("__likely IS NOT NULL").select(F.col("__row").alias("row"), F.col("__likely").alias("text"))
     base = materialize(_patterns(suspects), "base")
     own = base.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("own"))
     terms = _terms(suspects, base, docs, text_col, share, bits).join(own, "row")
     apart = ~F.exists("own", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
     terms = terms.filter(apart).select("row", "kind", "start", "end")
     spans = base.select("row", "kind", "start", "end").unionByName(terms)
-    return rows, spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("found"))
+    found = F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("__found")
+    return rows, spans.groupBy(F.col("row").alias("__row")).agg(found)
 
 
 def _joined(spans: Column) -> Column:
@@ -155,9 +156,9 @@ def _joined(spans: Column) -> Column:
 def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, bits: float = BITS) -> DataFrame:
     """One row per document: counts per kind, base spans hashed, and all spans with the revealing terms."""
     rows, found = _found(docs, [docs[id_col].alias("id")], text_col, share, bits)
-    spans = F.coalesce("found", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    spans = F.coalesce("__found", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
-    return rows.select("row", "id").join(found, "row", "left").select(
+    return rows.select("__row", "id").join(found, "__row", "left").select(
         F.col("id").alias(id_col),
         *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])],
         F.sha2(_joined(F.filter(spans, lambda s: s["kind"] < 4)).cast("binary"), 256).alias("base_sha256"),
@@ -173,7 +174,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", share: float = SHARE, bits
     text = F.col(text_col)
     kinds = F.array(*[F.lit(f"<{k}>") for k in KINDS[:4]], F.lit(""))
     cut = F.aggregate(
-        "found",
+        "__found",
         F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
         lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
             F.struct(
@@ -187,5 +188,5 @@ def sanitise(docs: DataFrame, text_col: str = "text", share: float = SHARE, bits
         ),
         lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    changed = F.when(F.col("found").isNull(), text).otherwise(cut)
-    return rows.join(found, "row", "left").select(*[changed.alias(c) if c == text_col else F.col(c) for c in names])
+    changed = F.when(F.col("__found").isNull(), text).otherwise(cut)
+    return rows.join(found, "__row", "left").select(*[changed.alias(c) if c == text_col else F.col(c) for c in names])

@@ -131,7 +131,7 @@ def _suspects(data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int
 
 def scan(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """The columns `keep` of every row with `found`, the candidates of its whole text."""
-    plain = docs.select(*[docs[c].alias(c) for c in keep if c != "found"], docs[text_col].alias("__text"))
+    plain = docs.select(*[docs[c].alias(c) for c in keep if c != "__found"], docs[text_col].alias("__text"))
     fields = [f for f in plain.schema.fields if f.name != "__text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,16 +147,16 @@ def scan(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
             names = ("start", "kind", "end", "value_start", "value_end", "hash")
             column = pa.array([[dict(zip(names, c)) for c in row] for row in found], _FOUND_ARROW)
             columns = [batch.column(f.name) for f in fields]
-            yield pa.RecordBatch.from_arrays([*columns, column], names=[*[f.name for f in fields], "found"])
+            yield pa.RecordBatch.from_arrays([*columns, column], names=[*[f.name for f in fields], "__found"])
 
-    return plain.mapInArrow(run, T.StructType([*fields, T.StructField("found", _FOUND)]))
+    return plain.mapInArrow(run, T.StructType([*fields, T.StructField("__found", _FOUND)]))
 
 
 def ownership(scanned: DataFrame, owner: str) -> DataFrame:
     """(hash, owners, documents) of every candidate value in the corpus."""
     held = scanned.select(
         F.coalesce(F.col(owner).cast("string"), F.lit("\0")).alias("owner"),
-        F.explode(F.array_distinct(F.transform("found", lambda c: c["hash"]))).alias("hash"),
+        F.explode(F.array_distinct(F.transform("__found", lambda c: c["hash"]))).alias("hash"),
     )
     per_owner = held.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("documents"))
     return per_owner.groupBy("hash").agg(
@@ -170,8 +170,8 @@ def judge(scanned: DataFrame, owner: str, copied_owners: int = COPIED_OWNERS) ->
     The second has (__row, judged), an array of (start, kind, end, value_start, value_end, live).
     """
     rows = materialize(scanned.withColumn("__row", F.monotonically_increasing_id()), "scanned")
-    held = rows.filter(F.size("found") > 0).select("__row", owner, "found")
-    single = held.select("__row", F.explode("found").alias("c")).select("__row", "c", F.col("c.hash").alias("hash"))
+    held = rows.filter(F.size("__found") > 0).select("__row", owner, "__found")
+    single = held.select("__row", F.explode("__found").alias("c")).select("__row", "c", F.col("c.hash").alias("hash"))
     judged = (
         single.join(ownership(held, owner), "hash")
         .select(
@@ -219,11 +219,11 @@ def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", m
     """`docs` with every value that looks live replaced by `mark`; widely copied examples stay."""
     columns = docs.columns
     rows, judged = judge(scan(docs, text_col, columns), owner_col)
-    live = judged.select("__row", F.filter("judged", lambda s: s["live"]).alias("live")).filter(F.size("live") > 0)
+    live = judged.select("__row", F.filter("judged", lambda s: s["live"]).alias("__live")).filter(F.size("__live") > 0)
     # Cut front to back; `at` is the end of what has been copied, overlapping values are cut once.
     text = F.col(text_col)
     begun = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-    ordered = F.array_sort(F.transform("live", lambda s: F.struct(s["value_start"].alias("a"), s["value_end"].alias("b"))))
+    ordered = F.array_sort(F.transform("__live", lambda s: F.struct(s["value_start"].alias("a"), s["value_end"].alias("b"))))
     cut = F.aggregate(
         ordered,
         begun,
@@ -241,8 +241,8 @@ def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", m
         ),
         lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    changed = F.when(F.col("live").isNull(), text).otherwise(cut)
-    suspects = rows.filter(F.size("found") > 0).join(live, "__row", "left")
+    changed = F.when(F.col("__live").isNull(), text).otherwise(cut)
+    suspects = rows.filter(F.size("__found") > 0).join(live, "__row", "left")
     # Most rows have no candidate and are not shuffled.
-    clean = rows.filter(F.size("found") == 0).select(*columns)
+    clean = rows.filter(F.size("__found") == 0).select(*columns)
     return clean.unionByName(suspects.select(*[changed.alias(c) if c == text_col else F.col(c) for c in columns]))
