@@ -118,6 +118,48 @@ def test_three_deliveries_equal_one(spark, tmp_path):
     ]
 
 
+def test_late_rows_of_any_age_reach_all_marts(spark, tmp_path):
+    step, whole = (Lakehouse(spark, f"file:{tmp_path}/{name}") for name in ("step", "whole"))
+    data = base()
+    data["orders"] = [order(1, "2017-01-05"), order(2, "2018-06-02"), order(3, "2017-01-05")]
+    data["customers"] = [customer(1), customer(2), customer(3)]
+    data["order_reviews"] = []
+    data["category_translation"] = [("casa", "home")]
+
+    def deliver(folder):
+        return refresh.refresh(spark, write(tmp_path / folder, data), step.root, with_themes=False)
+
+    deliver("raw")
+    data["orders"] += [order(4, "2017-02-01")]
+    data["order_items"] += [item(4, price="30.0")]
+    data["customers"] += [customer(4)]
+    data["order_payments"] += [("o4", "1", "card", "1", "31.0")]
+    data["order_reviews"] += [review(1)]
+    report = deliver("raw")
+    assert report.row_counts["mart.agg_daily_sales"] == 2  # the other months are not written
+    for last in (False, True):
+        if last:
+            data["category_translation"] += [("brinquedos", "toys")]
+            deliver("raw")
+        rebuilt = Lakehouse(spark, f"{whole.root}-{last}")
+        refresh.refresh(spark, write(tmp_path / f"raw-{last}", data), rebuilt.root, with_themes=False)
+        for table in MART_KEYS:
+            assert contents(step, "mart", table) == contents(rebuilt, "mart", table), table
+
+
+def test_marts_finish_a_run_that_died(spark, tmp_path, monkeypatch):
+    step, whole = (Lakehouse(spark, f"file:{tmp_path}/{name}") for name in ("step", "whole"))
+    refresh.refresh(spark, write(tmp_path / "raw", base()), step.root, with_themes=False)
+    with monkeypatch.context() as patched:
+        patched.setattr(refresh.marts, "agg_daily_sales", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            refresh.refresh(spark, write(tmp_path / "raw", later()), step.root, with_themes=False)
+    refresh.refresh(spark, write(tmp_path / "raw", later()), step.root, with_themes=False)
+    refresh.refresh(spark, write(tmp_path / "raw2", later()), whole.root, with_themes=False)
+    for table in MART_KEYS:
+        assert contents(step, "mart", table) == contents(whole, "mart", table), table
+
+
 def test_rerun_changes_nothing_and_rewrites_no_gold(spark, tmp_path):
     lake, raw_dir = Lakehouse(spark, f"file:{tmp_path}/lake"), write(tmp_path / "raw", base())
     refresh.refresh(spark, raw_dir, lake.root, with_themes=False)

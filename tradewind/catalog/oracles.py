@@ -400,6 +400,10 @@ _TEXTS: dict[str, str] = {
     "w6i_agg_daily_sales": _money("agg_daily_sales", "revenue", "freight_revenue"),
     "w7_agg_category_sales": _money("agg_category_sales", "revenue", "freight_total"),
     "w7i_agg_category_sales": _money("agg_category_sales", "revenue", "freight_total"),
+    "w4i_late": _money("fct_orders", *_FACT_MONEY, "product_revenue"),
+    "w5i_late": _money("customers_now", "lifetime_value"),
+    "w6i_late": _money("agg_daily_sales", "revenue", "freight_revenue"),
+    "w7i_late": _money("agg_category_sales", "revenue", "freight_total"),
     "w8_agg_seller_performance": """SELECT category_en, product_category_name,
         CAST(sum(order_count) AS BIGINT) AS total_orders, round(sum(revenue), 4) AS total_revenue,
         round(avg(avg_review_score), 8) AS avg_review_score, count(DISTINCT order_month) AS active_months,

@@ -396,6 +396,51 @@ def w7i_agg_category_sales(t: Inputs) -> DataFrame:
     return money(marts.apply_increment("agg_category_sales", stored, fresh), "revenue", "freight_total")
 
 
+def _late(t: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored orders and products before late orders, reviews and a category name came, of any age; ids they touch."""
+    draw = F.crc32("order_id")
+    late_order, late_review, late_name = draw % 7 == 3, draw % 5 == 2, F.crc32("category_en") % 3 == 1
+    unscored = F.when(~late_review, F.col("review_score"))
+    orders = t.stg_fact_orders.filter(~late_order).withColumn("review_score", unscored)
+    raw_name = F.when(late_name, F.col("product_category_name")).otherwise(F.col("category_en"))
+    products = t.stg_dim_products.withColumn("category_en", raw_name)
+    touched = t.stg_fact_orders.filter(late_order | late_review).select("order_id")
+    return orders, products, touched.unionByName(t.stg_dim_products.filter(late_name).select("order_id")).distinct()
+
+
+@_register
+def w4i_late(t: Inputs) -> DataFrame:
+    orders, _, touched = _late(t)
+    fresh = marts.fct_orders(marts.of_groups(t.stg_fact_orders, touched))
+    return money(marts.replace_groups(marts.fct_orders(orders), touched, fresh), *FACT_MONEY, "product_revenue")
+
+
+@_register
+def w5i_late(t: Inputs) -> DataFrame:
+    orders, _, touched = _late(t)
+    groups = marts.affected(marts.fct_orders(orders), t.stg_fact_orders, touched).select("customer_unique_id")
+    fresh = marts.dim_customers(marts.of_groups(t.stg_fact_orders, groups), grain="customer")
+    return money(marts.replace_groups(marts.dim_customers(orders, grain="customer"), groups, fresh), "lifetime_value")
+
+
+@_register
+def w6i_late(t: Inputs) -> DataFrame:
+    orders, _, touched = _late(t)
+    stored = marts.fct_orders(orders)
+    groups = marts.affected(stored, t.stg_fact_orders, touched).select("order_date", "order_year", "order_month")
+    fresh = marts.agg_daily_sales(marts.of_groups(t.fct_orders, groups))
+    return money(marts.replace_groups(marts.agg_daily_sales(stored), groups, fresh), "revenue", "freight_revenue")
+
+
+@_register
+def w7i_late(t: Inputs) -> DataFrame:
+    orders, products, touched = _late(t)
+    stored = marts.fct_orders(orders)
+    groups = marts.affected(stored, t.stg_fact_orders, touched).select("order_year", "order_month")
+    fresh = marts.agg_category_sales(marts.of_groups(t.fct_orders, groups), t.stg_dim_products)
+    return money(marts.replace_groups(marts.agg_category_sales(stored, products), groups, fresh), "revenue", "freight_total")
+
+
 @_register
 def w8_agg_seller_performance(t: Inputs) -> DataFrame:
     rows = money(marts.agg_seller_performance(t.agg_category_sales), "total_revenue")

@@ -1,9 +1,16 @@
 """Marts and their incremental forms.
 
-Each mart function returns the rows to store. Without `existing` that is the whole mart; with
-the stored mart as `existing` it is only what the newest inputs change, to be merged with
-`apply_increment` (or `Lakehouse.merge`). The cutoff is a scalar subquery on the stored mart,
-so it reaches the scan as a filter (a partition filter where the input is partitioned by it).
+Each mart function returns the rows to store; without `existing` that is the whole mart. There are
+two ways to bring a stored mart up to date:
+
+* By what changed (the refresh does this): `affected` names the customers, days and months that
+  changed orders bear on, now or as stored, at any age; `of_groups` cuts a mart's input down to
+  them, and `replace_groups` (or `Lakehouse.replace_groups`) puts the recomputed groups in
+  place of the stored ones, so that orders which leave the mart leave its sums too.
+* By date: with the stored mart as `existing`, only rows from a cutoff on are recomputed, to be merged
+  with `apply_increment`. Changes before the cutoff are not seen. The cutoff is a scalar
+  subquery on the stored mart, so it reaches the scan as a filter (a partition filter where the
+  input is partitioned by it).
 
 Orders are unique by order_id in every input (the order fact is merged on that key and checked
 for it), so distinct orders are counted with plain counts, which combine on the map side:
@@ -52,6 +59,33 @@ def apply_increment(mart: str, existing: DataFrame, fresh: DataFrame) -> DataFra
     return upsert(existing, fresh, INCREMENT_KEYS[mart], null_safe=True)
 
 
+# What decides which groups of the marts an order counts in.
+AFFECTED = ("order_id", "customer_unique_id", "order_date", "order_month", "order_year")
+
+
+def _in_groups(df: DataFrame, groups: DataFrame, how: str) -> DataFrame:
+    match = F.lit(True)
+    for name in groups.columns:
+        match = match & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
+    return df.alias("l").join(groups.distinct().alias("r"), match, how)
+
+
+def of_groups(df: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of `df` that agree with a row of `groups` in all its columns; NULLs are equal."""
+    return _in_groups(df, groups, "left_semi")
+
+
+def replace_groups(existing: DataFrame, groups: DataFrame, fresh: DataFrame) -> DataFrame:
+    """`existing` with the rows of `groups` replaced by `fresh`, which may hold fewer of them."""
+    return _in_groups(existing, groups, "left_anti").unionByName(fresh)
+
+
+def affected(stored_fct: DataFrame, stg_orders: DataFrame, touched: DataFrame) -> DataFrame:
+    """Groups that the orders in `touched` (order_id) count in: as stored, and as they are now."""
+    before, now = of_groups(stored_fct, touched), of_groups(fct_orders(stg_orders), touched)
+    return before.select(*AFFECTED).unionByName(now.select(*AFFECTED)).distinct()
+
+
 def _stored_max(existing: DataFrame, value: Column, when_empty: Column) -> Column:
     return F.coalesce(existing.select(F.max(value)).scalar(), when_empty)
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,36 @@ def _fit(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
+def _fits(df: DataFrame, existing: DataFrame) -> bool:
+    """Whether the rows can be stored under the table's schema as they are.
+
+    New columns and wider or narrower numbers need a rewrite under a common schema; any other
+    change of type is an error.
+    """
+    stored = {f.name: f.dataType for f in existing.schema}
+    fits = True
+    for f in df.schema:
+        if f.name not in stored:
+            fits = False
+        elif f.dataType != stored[f.name]:
+            numbers = isinstance(f.dataType, T.NumericType) and isinstance(stored[f.name], T.NumericType)
+            if not numbers and not isinstance(stored[f.name], T.NullType):
+                raise TypeError(f"column {f.name} is {stored[f.name].simpleString()}, not {f.dataType.simpleString()}")
+            fits = False
+    return fits
+
+
+def in_partitions(partitions: Sequence[Row]) -> Column:
+    """Literal conditions, so that only the files of these partitions are read."""
+    inside = F.lit(False)
+    for row in partitions:
+        here = F.lit(True)
+        for name, value in row.asDict().items():
+            here = here & F.col(name).eqNullSafe(F.lit(value))
+        inside = inside | here
+    return inside
+
+
 class Lakehouse:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -149,7 +179,7 @@ class Lakehouse:
         location = self.location(layer, table)
         batch = 1 + max(self._batches(location), default=0)
         df, existing = df.withColumn(_BATCH, F.lit(batch)), self._scan(layer, table)
-        if set(df.columns) <= set(existing.columns):
+        if _fits(df, existing):
             self.row_counts[f"{layer}.{table}"] = self._add(layer, table, df, [_BATCH])
         else:
             self.replace(layer, table, existing.unionByName(df, allowMissingColumns=True), [_BATCH])
@@ -182,9 +212,9 @@ class Lakehouse:
         `unique=True` states that `incoming` is grouped or de-duplicated by the key already, or
         that its rows replace whole groups of rows with the same key.
 
-        If no key matches, the rows are appended. Otherwise, with `partition_by`, partitions
-        that hold a matched key are rewritten and all other rows are appended; without it the
-        table is written as a new version.
+        If no key matches, the rows are appended. Otherwise, with `partition_by`, the partitions
+        `incoming` has rows of are rewritten; without it the table is written as a new
+        version. Each is a single commit.
         """
         if not unique:
             require_unique(incoming, keys)
@@ -195,7 +225,7 @@ class Lakehouse:
         if incoming.isEmpty():
             return self.read(layer, table)
         existing, written = self._scan(layer, table), None
-        if set(incoming.columns) <= set(existing.columns):
+        if _fits(incoming, existing):
             if partition_by:
                 written = self._merge_partitions(
                     layer, table, existing, incoming, keys, update_cols, null_safe, partition_by
@@ -218,11 +248,11 @@ class Lakehouse:
     def _merge_partitions(
         self, layer, table, existing, incoming, keys, update_cols, null_safe, partition_by
     ) -> int | None:
-        """Rewrite matched partitions in place and append the rest; how many rows were written.
+        """Rewrite the partitions of `incoming` in one commit, or append where no key matches.
 
-        None, with nothing written, when a matched row would change partition.
+        How many rows were written; None, with nothing written, when a matched row would change
+        partition.
         """
-        location = self.location(layer, table)
         held = list(dict.fromkeys([*keys, *partition_by]))
         old, new = existing.select(*held).alias("old"), incoming.select(*held).distinct().alias("new")
         match = F.lit(True)
@@ -232,29 +262,50 @@ class Lakehouse:
         moved = F.lit(False)
         for name in partition_by:
             moved = moved | ~F.col(f"old.{name}").eqNullSafe(F.col(f"new.{name}"))
-        # One row per partition reaches the driver.
-        touched = (
-            old.join(new, match)
-            .groupBy(*(F.col(f"old.{p}") for p in partition_by))
-            .agg(F.bool_or(moved).alias("__moved"))
-            .collect()
-        )
-        if any(row["__moved"] for row in touched):
+        matched, any_moved = old.join(new, match).agg(F.count(F.lit(1)), F.bool_or(moved)).first()
+        if any_moved:
             return None
-        written = 0
-        if touched:
-            inside = F.lit(False)
-            for row in touched:
-                here = F.lit(True)
-                for name in partition_by:
-                    here = here & F.col(name).eqNullSafe(F.lit(row[name]))
-                inside = inside | here
-            merged = upsert(
-                existing.filter(inside), incoming.filter(inside), keys, update_cols, null_safe
-            )
-            written = self._write(
-                merged, location, "overwrite", partition_by, partitionOverwriteMode="dynamic"
-            )
-            self.spark.catalog.refreshByPath(location)
-            incoming = incoming.filter(~inside)
-        return written + self._add(layer, table, incoming, partition_by)
+        if not matched:
+            return self._add(layer, table, incoming, partition_by)
+        # One row per partition reaches the driver.
+        inside = in_partitions(incoming.select(*partition_by).distinct().collect())
+        return self._swap(layer, table, upsert(existing.filter(inside), incoming, keys, update_cols, null_safe), partition_by)
+
+    def _swap(self, layer: str, table: str, df: DataFrame, partition_by: Sequence[str]) -> int:
+        """Put `df` in place of the partitions it has rows of, in one commit."""
+        location = self.location(layer, table)
+        fitted = _fit(df, self._load_schema(location))
+        written = self._write(fitted, location, "overwrite", partition_by, partitionOverwriteMode="dynamic")
+        self.spark.catalog.refreshByPath(location)
+        return written
+
+    def replace_groups(
+        self, layer: str, table: str, groups: DataFrame, fresh: DataFrame, partition_by: Sequence[str] = ()
+    ) -> DataFrame:
+        """Put `fresh` in place of the rows that agree with a row of `groups`; NULLs are equal.
+
+        With `partition_by` only partitions with such rows, old or fresh, are rewritten, in one
+        commit; a partition left without rows makes the table be written as a new version.
+        """
+        existing = self._scan(layer, table)
+        fresh, groups = materialize(fresh, table), groups.distinct()
+        match = F.lit(True)
+        for name in groups.columns:
+            match = match & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
+
+        def kept(rows: DataFrame, how: str) -> DataFrame:
+            return rows.alias("l").join(groups.alias("r"), match, how)
+
+        if partition_by and _fits(fresh, existing):
+            # One row per partition reaches the driver.
+            gone = kept(existing, "left_semi").select(*partition_by)
+            partitions = gone.unionByName(fresh.select(*partition_by)).distinct().collect()
+            if not partitions:
+                return self.read(layer, table)
+            inside = existing.filter(in_partitions(partitions))
+            rows = kept(inside, "left_anti").unionByName(fresh, allowMissingColumns=True)
+            if rows.select(*partition_by).distinct().count() == len(partitions):
+                self.row_counts[f"{layer}.{table}"] = self._swap(layer, table, rows, partition_by)
+                return self.read(layer, table)
+        rows = kept(existing, "left_anti").unionByName(fresh, allowMissingColumns=True)
+        return self.replace(layer, table, rows, partition_by)
