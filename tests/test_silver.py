@@ -89,7 +89,7 @@ def test_customers_and_sellers(spark):
         "são paulo",
         "SP",
     )
-    assert got["b"]["customer_zip_code_prefix"] == "12345"
+    assert got["b"]["customer_zip_code_prefix"] == "123456"
     assert got["d"]["customer_city"] is None
 
     sellers = raw(

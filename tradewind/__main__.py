@@ -7,7 +7,6 @@ import argparse
 from pyspark.sql import SparkSession
 
 from tradewind.plans.refresh import refresh
-from tradewind.plans.themes import FETCH_LIMIT
 
 
 def main() -> None:
@@ -15,14 +14,12 @@ def main() -> None:
     parser.add_argument("raw_dir")
     parser.add_argument("root")
     which = parser.add_mutually_exclusive_group()
-    which.add_argument("--limit", type=int, default=FETCH_LIMIT, help="reviews to cluster")
-    which.add_argument("--whole-backlog", action="store_true", help="cluster all waiting reviews")
+    which.add_argument("--limit", type=int, help="cluster only so many of the oldest waiting reviews")
     which.add_argument("--no-themes", action="store_true")
     options = parser.parse_args()
 
     spark = SparkSession.builder.appName("tradewind").getOrCreate()
-    limit = None if options.whole_backlog else options.limit
-    report = refresh(spark, options.raw_dir, options.root, with_themes=not options.no_themes, limit=limit)
+    report = refresh(spark, options.raw_dir, options.root, with_themes=not options.no_themes, limit=options.limit)
     for table, rows in sorted(report.row_counts.items()):
         print(f"{table}: {rows} rows written")
     for check, failures in report.checks.items():

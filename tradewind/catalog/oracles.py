@@ -93,14 +93,14 @@ _SHARED: dict[str, str] = {
         "product_id, seller_id, shipping_limit_date, price, freight_value",
     ),
     "silver_customers": _first_row(
-        """SELECT customer_id, customer_unique_id, lpad(customer_zip_code_prefix, 5, '0') AS customer_zip_code_prefix,
+        """SELECT customer_id, customer_unique_id, CASE WHEN length(customer_zip_code_prefix) < 5 THEN lpad(customer_zip_code_prefix, 5, '0') ELSE customer_zip_code_prefix END AS customer_zip_code_prefix,
             lower(trim(customer_city)) AS customer_city, upper(trim(customer_state)) AS customer_state
             FROM raw_customers WHERE customer_id IS NOT NULL AND customer_unique_id IS NOT NULL""",
         "customer_id",
         "customer_unique_id, customer_zip_code_prefix, customer_city, customer_state",
     ),
     "silver_sellers": _first_row(
-        """SELECT seller_id, lpad(seller_zip_code_prefix, 5, '0') AS seller_zip_code_prefix,
+        """SELECT seller_id, CASE WHEN length(seller_zip_code_prefix) < 5 THEN lpad(seller_zip_code_prefix, 5, '0') ELSE seller_zip_code_prefix END AS seller_zip_code_prefix,
             lower(trim(seller_city)) AS seller_city, upper(trim(seller_state)) AS seller_state
             FROM raw_sellers WHERE seller_id IS NOT NULL""",
         "seller_id",
@@ -138,7 +138,7 @@ _SHARED: dict[str, str] = {
         "order_id, review_score, review_comment_title, review_comment_message",
     ),
     "geolocation_points": _first_row(
-        """SELECT lpad(geolocation_zip_code_prefix, 5, '0') AS geolocation_zip_code_prefix,
+        """SELECT CASE WHEN length(geolocation_zip_code_prefix) < 5 THEN lpad(geolocation_zip_code_prefix, 5, '0') ELSE geolocation_zip_code_prefix END AS geolocation_zip_code_prefix,
             geolocation_lat, geolocation_lng, geolocation_city, geolocation_state FROM raw_geolocation
             WHERE geolocation_zip_code_prefix IS NOT NULL AND geolocation_lat BETWEEN -35 AND 5.5
             AND geolocation_lng BETWEEN -74 AND -34""",
@@ -499,7 +499,7 @@ _TEXTS: dict[str, str] = {
     # -- scalar functions
     "f1_trim_case": """SELECT customer_id, lower(trim(customer_city)) AS city, upper(trim(customer_state)) AS state
         FROM raw_customers""",
-    "f2_zip_prefix": """SELECT o_orderkey, lpad(CAST(o_orderkey * 37 AS VARCHAR), 5, '0') AS zip FROM orders""",
+    "f2_zip_prefix": """SELECT o_orderkey, CASE WHEN length(CAST(o_orderkey * 37 AS VARCHAR)) < 5 THEN lpad(CAST(o_orderkey * 37 AS VARCHAR), 5, '0') ELSE CAST(o_orderkey * 37 AS VARCHAR) END AS zip FROM orders""",
     "f3_nullif": """SELECT conv_id, turn, nullif(trim(replace(text, 'a', ' ')), '') AS text,
         nullif(turn, 0) AS later_turn FROM conversations""",
     "f4_coalesce": """SELECT product_id, coalesce(product_category_name, 'unknown') AS category FROM raw_products""",
@@ -531,7 +531,7 @@ _TEXTS: dict[str, str] = {
         FROM stg_reviews AS r LEFT JOIN review_clusters AS c ON r.review_id = c.review_id""",
     "t2_next_batch": """SELECT review_id, order_id, review_score, review_text, review_creation_date FROM stg_reviews
         WHERE review_id NOT IN (SELECT review_id FROM review_clusters)
-        ORDER BY review_creation_date NULLS LAST, review_id LIMIT 1000""",
+        ORDER BY review_creation_date NULLS LAST, review_id""",
     "t3_early_exit": """SELECT count(r.review_id) = count(c.review_id) AS nothing_to_do
         FROM stg_reviews AS r LEFT JOIN review_clusters AS c ON r.review_id = c.review_id""",
     "t8_k_range": """SELECT unnest(range(3, least(15, greatest(3, count(*) // 20)) + 1)) AS k FROM embeddings""",
@@ -541,8 +541,8 @@ _TEXTS: dict[str, str] = {
         WHERE position <= 10""",
     "t11_cluster_terms": "SELECT * REPLACE (round(score, 6) AS score) FROM theme_terms",
     "t11_cluster_labels": """SELECT cluster_id,
-        substr(string_agg(CASE WHEN position <= 3 THEN term END, ' / ' ORDER BY position), 1, 20) AS cluster_label,
-        substr(string_agg(term, ', ' ORDER BY position), 1, 100) AS cluster_summary
+        string_agg(CASE WHEN position <= 3 THEN term END, ' / ' ORDER BY position) AS cluster_label,
+        string_agg(term, ', ' ORDER BY position) AS cluster_summary
         FROM theme_terms GROUP BY 1""",
     "t12_attach_labels": """SELECT c.review_id, c.cluster_id, l.cluster_label FROM review_clusters AS c LEFT JOIN (
         SELECT cluster_id, string_agg(CASE WHEN position = 1 THEN term END, '') AS cluster_label

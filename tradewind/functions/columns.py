@@ -26,8 +26,9 @@ def blank_to_null(name: str) -> Column:
 
 
 def zip_prefix(name: str) -> Column:
-    """Five characters: shorter codes get leading zeros, longer ones are cut."""
-    return F.lpad(F.col(name).cast("string"), ZIP_WIDTH, "0")
+    """At least five characters: shorter codes get leading zeros, longer ones stay whole."""
+    code = F.col(name).cast("string")
+    return F.when(F.length(code) < ZIP_WIDTH, F.lpad(code, ZIP_WIDTH, "0")).otherwise(code)
 
 
 def month_index(year: str | Column, month: str | Column) -> Column:

@@ -24,15 +24,13 @@ from tradewind.plans.staging import MIN_TEXT_LENGTH
 from tradewind.schemas import CLUSTER_KEY, CLUSTER_SCHEMA, CLUSTER_UPDATES
 from tradewind.session import materialize
 
-# Batch sizes, seed, restarts, sample size, k range and text limits.
-FETCH_LIMIT = 1000
+# Batch size, seed, restarts, sample size, k range.
 ENCODER_BATCH = 64
 SEED = 42
 RESTARTS = 10
 SILHOUETTE_SAMPLE = 300
 K_MIN, K_MAX, ROWS_PER_K = 3, 15, 20
 SAMPLE_TEXTS = 10
-LABEL_CHARS, SUMMARY_CHARS = 20, 100
 
 LABEL_TERMS, SUMMARY_TERMS = 3, 10
 MIN_TERM_LENGTH = 3
@@ -62,8 +60,8 @@ def backlog_counts(stg_reviews: DataFrame, clusters: DataFrame) -> DataFrame:
     )
 
 
-def next_batch(stg_reviews: DataFrame, clusters: DataFrame, limit: int | None = FETCH_LIMIT) -> DataFrame:
-    """Reviews without a cluster row: the oldest `limit`, or all of them with limit=None."""
+def next_batch(stg_reviews: DataFrame, clusters: DataFrame, limit: int | None = None) -> DataFrame:
+    """Reviews without a cluster row: all of them, or with `limit` the oldest."""
     waiting = (
         _with_text(stg_reviews)
         .select("review_id", "order_id", "review_score", "review_text", "review_creation_date")
@@ -200,7 +198,7 @@ def choose_k(
     candidates: Iterable[int],
     key: str,
     vector: str = "vector",
-    measure: str = "sample",
+    measure: str = "all",
     seed: int = SEED,
     restarts: int = RESTARTS,
 ) -> KChoice:
@@ -299,10 +297,8 @@ def label_clusters(assigned: DataFrame, text: str = "review_text") -> DataFrame:
         .agg(terms.alias("terms"))
         .select(
             "cluster_id",
-            F.substring(F.array_join(F.slice("terms", 1, LABEL_TERMS), " / "), 1, LABEL_CHARS).alias(
-                "cluster_label"
-            ),
-            F.substring(F.array_join("terms", ", "), 1, SUMMARY_CHARS).alias("cluster_summary"),
+            F.array_join(F.slice("terms", 1, LABEL_TERMS), " / ").alias("cluster_label"),
+            F.array_join("terms", ", ").alias("cluster_summary"),
         )
     )
 
@@ -330,12 +326,13 @@ class ThemeRun:
 def discover_themes(
     stg_reviews: DataFrame,
     clusters: DataFrame,
-    limit: int | None = FETCH_LIMIT,
-    measure: str = "sample",
+    limit: int | None = None,
+    measure: str = "all",
     restarts: int = RESTARTS,
     candidates: Sequence[int] | None = None,
     labels: DataFrame | None = None,
     make_encoder: Callable[[], Encoder] | None = None,
+    features: int = HASH_FEATURES,
     batch_id: str | None = None,
 ) -> ThemeRun | None:
     """Cluster the next batch of unprocessed reviews; None when there is none.
@@ -348,7 +345,7 @@ def discover_themes(
     batch = materialize(next_batch(stg_reviews, clusters, limit), "batch")
     if batch.isEmpty():
         return None
-    vectors = materialize(embed_texts(batch, make_encoder=make_encoder), "vectors")
+    vectors = materialize(embed_texts(batch, features=features, make_encoder=make_encoder), "vectors")
     # Cluster ids go to the rows with the plot coordinates, all in one pass at the end.
     placed = project_2d(vectors)
     if candidates is None:

@@ -9,7 +9,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
-MAX_SHUFFLE_PARTITIONS = 100_000
 
 # Splitting a hot join partition pays for itself even when a later aggregate on the
 # same key then needs its own exchange, hence the forced skew join.
@@ -31,7 +30,7 @@ def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSessi
     for key, value in _RUNTIME_CONF.items():
         spark.conf.set(key, value)
     if input_bytes is not None:
-        wanted = min(MAX_SHUFFLE_PARTITIONS, math.ceil(input_bytes / TARGET_PARTITION_BYTES))
+        wanted = math.ceil(input_bytes / TARGET_PARTITION_BYTES)
         if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
             spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
     return spark
