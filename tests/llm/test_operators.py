@@ -293,6 +293,29 @@ def test_repeats(spark, texts):
         assert r["kept_sha256"] == hashlib.sha256(kept).hexdigest()
 
 
+def test_repeats_around_one_common_core(spark, monkeypatch):
+    """Many different passages around one core are halved until each bucket is bounded."""
+    rng = np.random.default_rng(9)
+    letters = lambda n: "".join(chr(c) for c in rng.integers(97, 123, n))
+    core, length = letters(150), 200
+    ends = [letters(int(n)) for n in rng.integers(0, 60, 12)]
+    raw = [(letters(90) + ends[i % 12] + core + ends[i * 7 % 11] + letters(90)).encode() for i in range(120)]
+    docs = spark.createDataFrame([(i, b.decode()) for i, b in enumerate(raw)], "doc_id long, text string")
+    seen = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
+    expected = {}
+    for d, b in enumerate(raw):
+        covered = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                covered[i : i + length] = True
+        expected[d] = int(covered.sum())
+    assert any(expected.values())
+    halve = repeats._repeats_within
+    monkeypatch.setattr(repeats, "_repeats_within", lambda unsure, n: halve(unsure, n, core_bytes=2000))
+    found = {r["doc_id"]: r["n_removed"] for r in repeats.repeat_counts(docs).collect()}
+    assert found == expected
+
+
 def test_suffix_order():
     rng = np.random.default_rng(5)
     for _ in range(30):

@@ -8,8 +8,13 @@ So that no task sees the whole corpus, strings are first dealt out by content. O
 smallest hash of its `GRAM`-byte pieces is its *anchor*; equal strings have equal anchors at equal places. A
 run of strings with one anchor is a piece of text, about half as long again as a string. Anchors that
 occur once repeat nothing. Equal pieces are counted together and sorted once, with their number, and a piece
-that stands twice repeats whole. What is left, pieces that share an anchor but differ, is dealt into
-buckets by anchor and suffix-sorted there.
+that stands twice repeats whole.
+
+What is left, pieces that share an anchor but differ, is cut into *cells* by the place the anchor has in a string:
+first the near and the far half of the places. All strings of a cell have a core of the text around the anchor
+in common, so equal strings have equal cores. Cells alone with their core repeat nothing, equal cells repeat whole,
+and cells that differ are dealt into buckets by core and suffix-sorted there. Where very many
+different cells have one core, they are halved again, down to single strings, so that no bucket is unbounded.
 
 Defined results: NULL and empty texts have no bytes; a text shorter than `length` keeps all; equal texts of at
 least `length` bytes lose all their bytes; repeated rows are equal texts; an empty table gives no rows.
@@ -31,7 +36,8 @@ from tradewind.session import materialize
 
 LENGTH = 200
 GRAM = 64
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 1 << 19
+CORE_BYTES = 1 << 18
 _PLACE = np.uint64((1 << 24) - 1)
 _PIECE = ("hash", "c1", "c2", "a")
 
@@ -184,16 +190,86 @@ def _pieces(length: int):
     return run
 
 
+def _cells(length: int):
+    """Cells of pieces: `lo` to `hi` are starts in the whole piece, `sub` are the bytes of those strings.
+
+    `first` and `last` bound the places of the anchor in a string; a piece without strings there gives no cell.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = (*_PIECE, "start", "first", "last", "core", "d1", "d2", "lo", "hi", "sub")
+        types = [*[pa.int64()] * 3, *[pa.int32()] * 4, *[pa.int64()] * 3, *[pa.int32()] * 2, pa.binary()]
+        for batch in batches:
+            columns: list[list] = [[] for _ in names]
+            for row in zip(*(batch.column(c).to_pylist() for c in (*_PIECE, "start", "first", "last", "piece"))):
+                *ident, begin, first, last, piece = row
+                anchor = ident[3] - begin  # the anchor's place in these bytes
+                lo, hi = max(0, anchor - last), min(len(piece) - length, anchor - first)
+                if lo > hi:
+                    continue
+                sub = piece[lo : hi + length]
+                core = hashlib.blake2b(piece[anchor - first : anchor - last + length], digest_size=8, salt=b"%d" % last)
+                whole = hashlib.blake2b(sub, digest_size=16, salt=b"%d-%d" % (last, anchor - lo)).digest()
+                digests = (int.from_bytes(b, "big", signed=True) for b in (core.digest(), whole[:8], whole[8:]))
+                for column, value in zip(columns, (*ident, begin + lo, first, last, *digests, begin + lo, begin + hi, sub)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types)], names=list(names))
+
+    return run
+
+
 def _sort_bucket(length: int):
     def run(table: pa.Table) -> pa.Table:
-        found = repeated_starts(table.column("piece").to_pylist(), length)
+        found = repeated_starts(table.column("sub").to_pylist(), length)
         runs = [[{"s": s, "e": e} for s, e in _runs(f)] for f in found]
-        kept = table.select(list(_PIECE)).combine_chunks()
+        kept = table.select(["core", "d1", "d2"]).combine_chunks()
         return kept.append_column("runs", pa.array(runs, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))))
 
     return run
 
 
+def _halved(rows: DataFrame) -> DataFrame:
+    """Each row twice, for the lower and the upper half of the places first..last."""
+    middle = F.floor((F.col("first") + F.col("last")) / 2).cast("int")
+    halves = F.array(
+        F.struct("first", middle.alias("last")), F.struct((middle + 1).cast("int").alias("first"), "last")
+    )
+    return rows.withColumn("half", F.explode(halves)).withColumns({"first": F.col("half.first"), "last": F.col("half.last")}).drop("half")
+
+
+def _repeats_within(unsure: DataFrame, length: int, core_bytes: int = CORE_BYTES) -> DataFrame:
+    """(hash, c1, c2, a, s, e): starts s..e, in pieces that differ, of strings that another of these pieces has too."""
+    schema = ", ".join([*[f"{c} long" for c in _PIECE[:3]], "a int, start int, first int, last int, core long, d1 long, d2 long, lo int, hi int, sub binary"])
+    rows = unsure.select(*_PIECE, F.lit(0).alias("start"), F.lit(0).alias("first"), F.lit(length - GRAM).alias("last"), "piece")
+    answers = None
+    while True:
+        cells = materialize(_halved(rows).mapInArrow(_cells(length), schema), "cells")
+        kinds = materialize(cells.groupBy("core", "d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("sub")).alias("bytes")), "kinds")
+        cores = materialize(
+            kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.sum("bytes").alias("bytes")).filter("kinds > 1"), "cores"
+        )
+        equal = cells.join(kinds.filter("n > 1").select("core", "d1", "d2"), ["core", "d1", "d2"], "left_semi")
+        equal = equal.select(*_PIECE, F.col("lo").alias("s"), F.col("hi").alias("e"))
+        small = cells.join(cores.filter(F.col("bytes") <= core_bytes).select("core"), "core", "left_semi")
+        size = cores.filter(F.col("bytes") <= core_bytes).agg(F.sum("bytes")).first()[0] or 0
+        buckets = max(1, -(-size // BUCKET_BYTES))
+        runs = materialize(
+            small.select("core", "d1", "d2", "sub")
+            .dropDuplicates(["core", "d1", "d2"])
+            .groupBy(F.pmod("core", F.lit(buckets)).alias("bucket"))
+            .applyInArrow(_sort_bucket(length), "core long, d1 long, d2 long, runs array<struct<s:int,e:int>>")
+            .filter(F.size("runs") > 0),
+            "runs",
+        )
+        single = cells.select(*_PIECE, "core", "d1", "d2", "lo", "hi").join(runs, ["core", "d1", "d2"]).select(*_PIECE, "lo", F.explode("runs").alias("r"))
+        single = single.select(*_PIECE, (F.col("lo") + F.col("r.s")).alias("s"), (F.col("lo") + F.col("r.e")).alias("e"))
+        answers = equal.unionByName(single) if answers is None else answers.unionByName(equal).unionByName(single)
+        wide = cores.filter(F.col("bytes") > core_bytes).select("core")
+        if not wide.limit(1).count():
+            return answers
+        rows = cells.join(wide, "core", "left_semi").select(*_PIECE, "start", "first", "last", F.col("sub").alias("piece"))
+
+
 def _cut(keep_text: bool):
     """What is left of each text without its covered ranges."""
 
@@ -229,45 +305,41 @@ def _marked(docs: DataFrame, text_col: str) -> list:
 
 def covered_texts(docs: DataFrame, text_col: str, length: int, keep_text: bool) -> DataFrame:
     """(m1, m2, gone, spans, digest, left) of every different text in which a string repeats."""
-    texts = docs.select(*_marked(docs, text_col)).filter(F.octet_length("text") >= length)
+    # Copies of a text are one text here; all tables joined below are written first, so that Spark can split hot keys.
+    texts = materialize(
+        docs.select(*_marked(docs, text_col)).filter(F.octet_length("text") >= length).dropDuplicates(["m1", "m2"]), "texts"
+    )
     found = materialize(
         texts.mapInArrow(_anchor_rows(length), "m1 long, m2 long, at int, lo int, hi int, hash long"), "anchors"
     )
     place = F.xxhash64("m1", "m2", "at")
     twice = found.groupBy("hash").agg(F.min(place).alias("one"), F.max(place).alias("other")).filter("one != other")
+    twice = materialize(twice.select("hash"), "twice")
     per_text = (
-        found.join(twice.select("hash"), "hash")
+        found.join(twice, "hash")
         .groupBy("m1", "m2")
-        .agg(F.collect_set(F.struct("lo", "hi", "at", "hash")).alias("found"))
+        .agg(F.collect_list(F.struct("lo", "hi", "at", "hash")).alias("found"))
     )
-    chosen = materialize(texts.join(per_text, ["m1", "m2"]).dropDuplicates(["m1", "m2"]), "texts")
     pieces = materialize(
-        chosen.mapInArrow(
+        texts.join(per_text, ["m1", "m2"]).mapInArrow(
             _pieces(length), "hash long, c1 long, c2 long, a int, m1 long, m2 long, lo int, hi int, piece binary"
         ),
         "pieces",
     )
     classes = materialize(pieces.groupBy(*_PIECE).agg(F.count(F.lit(1)).alias("n")), "classes")
     several = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("hash")
-    unsure = materialize(
-        pieces.join(several, "hash", "left_semi").select(*_PIECE, "piece").dropDuplicates(list(_PIECE)), "unsure"
-    )
-    size = unsure.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
-    buckets = max(1, -(-size // BUCKET_BYTES))
-    sorted_runs = (
-        unsure.groupBy(F.pmod("hash", F.lit(buckets)).alias("bucket"))
-        .applyInArrow(_sort_bucket(length), "hash long, c1 long, c2 long, a int, runs array<struct<s:int,e:int>>")
-        .filter(F.size("runs") > 0)
-    )
+    several = materialize(several, "several")
+    unsure = pieces.join(several, "hash", "left_semi").select(*_PIECE, "piece").dropDuplicates(list(_PIECE))
     whole = classes.filter("n > 1").select(*_PIECE)
     stands = pieces.drop("piece")
     ranges = stands.join(whole, list(_PIECE), "left_semi").select("m1", "m2", F.col("lo").alias("b"), (F.col("hi") + length).alias("e"))
-    single = stands.join(sorted_runs, list(_PIECE)).select("m1", "m2", "lo", F.explode("runs").alias("r"))
+    parts = materialize(_repeats_within(unsure, length), "parts")
+    single = stands.join(parts, list(_PIECE))
     ranges = ranges.unionByName(
-        single.select("m1", "m2", (F.col("lo") + F.col("r.s")).alias("b"), (F.col("lo") + F.col("r.e") + length).alias("e"))
+        single.select("m1", "m2", (F.col("lo") + F.col("s")).alias("b"), (F.col("lo") + F.col("e") + length).alias("e"))
     )
     per_text = ranges.groupBy("m1", "m2").agg(F.collect_list(F.struct("b", "e")).alias("ranges"))
-    return chosen.select("m1", "m2", "text").join(per_text, ["m1", "m2"]).mapInArrow(
+    return texts.join(per_text, ["m1", "m2"]).mapInArrow(
         _cut(keep_text), "m1 long, m2 long, gone long, spans long, digest string, left string"
     )
 
