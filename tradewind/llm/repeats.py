@@ -172,24 +172,39 @@ def _anchor_rows(length: int):
 
 
 def _pieces(length: int):
+    """The pieces of each text: their anchor's hash, a digest of their bytes, and where they stand."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: dict[str, list] = {c: [] for c in ("hash", "c1", "c2", "a", "m1", "m2", "lo", "hi", "piece")}
+            columns: dict[str, list] = {c: [] for c in (*_PIECE, "m1", "m2", "lo", "hi")}
             for m1, m2, text, found in zip(*(batch.column(c) for c in ("m1", "m2", "text", "found"))):
-                raw = text.as_py().encode()
+                raw, m1, m2 = text.as_py().encode(), m1.as_py(), m2.as_py()
                 for p in found.as_py():
-                    piece = raw[p["lo"] : p["hi"] + length]
-                    digest = hashlib.blake2b(piece, digest_size=16).digest()
+                    digest = hashlib.blake2b(raw[p["lo"] : p["hi"] + length], digest_size=16).digest()
                     c1, c2 = (int.from_bytes(digest[i : i + 8], "big", signed=True) for i in (0, 8))
-                    values = (p["hash"], c1, c2, p["at"] - p["lo"], m1.as_py(), m2.as_py(), p["lo"], p["hi"], piece)
-                    for name, value in zip(columns, values):
-                        columns[name].append(value)
-            types = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.binary()]
+                    for column, value in zip(columns.values(), (p["hash"], c1, c2, p["at"] - p["lo"], m1, m2, p["lo"], p["hi"])):
+                        column.append(value)
+            types = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns.values(), types)], names=list(columns))
 
     return run
 
 
+def _piece_bytes(length: int):
+    """The wanted pieces of each text with their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, wanted in zip(batch.column("text"), batch.column("wanted")):
+                raw, wanted = text.as_py().encode(), wanted.as_py()
+                types = zip(_PIECE, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))
+                columns = [pa.array([p[c] for p in wanted], t) for c, t in types]
+                columns.append(pa.array([raw[p["lo"] : p["hi"] + length] for p in wanted], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*_PIECE, "piece"])
+
+    return run
+
+
 def _cells(length: int):
     """Cells of pieces: `lo` to `hi` are starts in the whole piece, `sub` are the bytes of those strings.
 
@@ -322,19 +337,22 @@ def covered_texts(docs: DataFrame, text_col: str, length: int, keep_text: bool)
     )
     pieces = materialize(
         texts.join(per_text, ["m1", "m2"]).mapInArrow(
-            _pieces(length), "hash long, c1 long, c2 long, a int, m1 long, m2 long, lo int, hi int, piece binary"
+            _pieces(length), "hash long, c1 long, c2 long, a int, m1 long, m2 long, lo int, hi int"
         ),
         "pieces",
     )
-    classes = materialize(pieces.groupBy(*_PIECE).agg(F.count(F.lit(1)).alias("n")), "classes")
+    # One standing place of each different piece is enough to fetch its bytes from.
+    classes = pieces.groupBy(*_PIECE).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("m1", "m2", "lo", "hi")).alias("one"))
+    classes = materialize(classes, "classes")
     several = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("hash")
     several = materialize(several, "several")
-    unsure = pieces.join(several, "hash", "left_semi").select(*_PIECE, "piece").dropDuplicates(list(_PIECE))
+    wanted = classes.join(several, "hash", "left_semi").select(*_PIECE, "one.*")
+    wanted = wanted.groupBy("m1", "m2").agg(F.collect_list(F.struct(*_PIECE, "lo", "hi")).alias("wanted"))
+    unsure = texts.join(wanted, ["m1", "m2"]).mapInArrow(_piece_bytes(length), "hash long, c1 long, c2 long, a int, piece binary")
     whole = classes.filter("n > 1").select(*_PIECE)
-    stands = pieces.drop("piece")
-    ranges = stands.join(whole, list(_PIECE), "left_semi").select("m1", "m2", F.col("lo").alias("b"), (F.col("hi") + length).alias("e"))
+    ranges = pieces.join(whole, list(_PIECE), "left_semi").select("m1", "m2", F.col("lo").alias("b"), (F.col("hi") + length).alias("e"))
     parts = materialize(_repeats_within(unsure, length), "parts")
-    single = stands.join(parts, list(_PIECE))
+    single = pieces.join(parts, list(_PIECE))
     ranges = ranges.unionByName(
         single.select("m1", "m2", (F.col("lo") + F.col("s")).alias("b"), (F.col("lo") + F.col("e") + length).alias("e"))
     )
