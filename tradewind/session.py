@@ -60,4 +60,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = new_shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.written_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that `materialize` wrote, once all that was made from them is written itself."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.written_path)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
