@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.llm.bytetext import Hashes, chunks, mix
-from tradewind.session import materialize
+from tradewind.session import discard, materialize
 
 LENGTH = 200
 GRAM = 64
@@ -341,6 +341,7 @@ def covered_texts(docs: DataFrame, text_col: str, length: int, keep_text: bool)
         ),
         "pieces",
     )
+    discard(found, twice)
     # One standing place of each different piece is enough to fetch its bytes from.
     classes = pieces.groupBy(*_PIECE).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("m1", "m2", "lo", "hi")).alias("one"))
     classes = materialize(classes, "classes")
