@@ -372,7 +372,9 @@ def repeat_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     copied = rows.filter(F.col("n_bytes") >= length).groupBy("m1", "m2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m1", "m2", F.lit(True).alias("copied"))
     covered = covered_texts(docs, text_col, length, False)
-    joined = rows.join(copied, ["m1", "m2"], "left").join(covered, ["m1", "m2"], "left")
+    # Written first, so that Spark can split the rows of a text with very many copies.
+    answers = materialize(copied.join(covered, ["m1", "m2"], "full"), "answers")
+    joined = rows.join(answers, ["m1", "m2"], "left")
     pick = lambda whole, part, rest: F.when(F.col("copied"), whole).otherwise(F.coalesce(part, rest))
     return joined.select(
         F.col("id").alias(id_col),
