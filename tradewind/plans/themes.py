@@ -279,6 +279,7 @@ def cluster_terms(assigned: DataFrame, text: str = "review_text", n: int = SUMMA
         .groupBy("cluster_id", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
+    counts = materialize(counts, "terms")  # used twice; texts are split into words once
     average = counts.agg(F.sum("tf") / F.count_distinct("cluster_id")).scalar()
     everywhere = F.sum("tf").over(Window.partitionBy("term"))  # at most k rows per term
     scored = counts.withColumn("score", F.col("tf") * F.log(1 + average / everywhere))
