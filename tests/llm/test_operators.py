@@ -338,6 +338,45 @@ def test_leaks(spark):
     assert decontaminate.leaks(d, b.limit(0)).collect() == []
 
 
+def test_leaks_with_shifted_words(spark):
+    rng = np.random.default_rng(4)
+    a, b, c = (" ".join("".join(chr(97 + x) for x in rng.integers(0, 26, 6)) for _ in range(18)) for _ in range(3))
+    items = [(1, f"so {a} 900 {b}"), (2, f"so {c} 5 km"), (3, "Anna Maria buys 3"), (4, " ".join(str(n) for n in range(100, 130)))]
+    docs = [
+        (10, f"Well, so {a} 1,250 {b}."),
+        (11, f"Well, so {a} more 900 {b}."),
+        (12, f"Well, so {a}. " + "other words in between " * 40 + f"{b}."),
+        (13, f"So {c} 3.5km"),
+        (14, "they say Anna Maria buys 3"),
+        (15, "of 1 2 3 4 5 6 7 8 no"),
+        (16, f"So {a[:70]} {b[:70]}"),
+    ]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_matched"], r["verbatim"]) for r in decontaminate.leaks(d, i).collect()}
+    assert found == {(10, 1): (31, 31, False), (11, 1): (31, 24, True), (13, 2): (14, 14, False), (14, 3): (1, 1, True)}
+
+
+def test_template_tokens():
+    def tokens(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        shown, own, _, _ = decontaminate.template(data, np.array([0, len(data)]))
+        return shown.tolist(), own.tolist()
+
+    for one, other in [("so 3.5 x", "so 1,250,000 x"), ("so 5km x", "so 5 km x"), ("so 3.5kg x", "so 7 kg x"), ("so Anna Maria x", "so Karl x")]:
+        assert tokens(one)[0] == tokens(other)[0]
+    assert tokens("so 5km x") == tokens("so 5 km x") and tokens("so Anna Maria x") == tokens("so Anna-Maria x")
+    assert len(tokens("so 3, 4. 5 x")[0]) == 5 and len(tokens("so Anna, Maria x")[0]) == 4
+
+
+def test_alignments_count_together():
+    a, b = [(p, []) for p in range(12)], [(p, []) for p in range(19, 31)]
+    assert decontaminate.matched([(0, a), (1, b)], 38, 31) == (24, True)
+    assert decontaminate.matched([(0, a), (90, b)], 38, 31) == (12, True)
+    # Values that map to two values do not count together, and a place counts for one position.
+    assert decontaminate.matched([(0, [(p, [(3, 5)]) for p in range(12)]), (1, [(p, [(3, 7)]) for p in range(19, 31)])], 38, 31) == (12, False)
+    assert decontaminate.matched([(-p, [(p, [])]) for p in range(20)], 38, 31) == (1, True)
+
+
 def test_verbatim_leaks(spark, texts):
     items = {r["item_id"]: re.findall(r"[^\W_]+", r["text"].lower()) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()}
     found = {(r["doc_id"], r["item_id"]) for r in catalog.queries()["op9_decontaminate"](spark, SF_DIR).collect()}

@@ -1,11 +1,14 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, so that a question asked again with other values
-keeps its template. Windows of `window` template tokens are hash-joined between documents and benchmark
-items; for every alignment of a document with an item, the slot values are compared: a leak is
-either verbatim or *consistent*, that is each value of the item maps to one value in the document and
-back. An item counts as leaked into a document when the matching windows of one alignment cover at
-least `coverage` of the item's windows.
+keeps its template. A number is one placeholder with its separators and decimals, and so is a run of
+capitalised words; a unit glued to a number is read like one that stands apart. Windows of `window` template
+tokens are hash-joined between documents and benchmark items; for every alignment (document, item and distance
+between them) the slot values are compared: a leak is either verbatim or *consistent*, that is each value of the
+item maps to one value in the document and back. A word put in or left out shifts the rest of an item, so
+alignments whose distances differ by at most the item's length count together: the largest first, whole if it
+agrees with those before it, else its verbatim windows that do. No window counts twice on either side. An item
+counts as leaked when these windows cover at least `coverage` of its own.
 
 A filter of fixed size (2**FILTER_BITS places, one megabyte however large the benchmark is) keeps
 document windows that no item has out of the shuffle; the join behind it decides. Hot windows are
@@ -45,6 +48,11 @@ _LOWER = np.zeros(256, bool)
 _LOWER[97:123] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
+# Single bytes between the digit groups of one number, and bytes between the words of one name.
+_SEPARATOR = np.zeros(256, bool)
+_SEPARATOR[list(b".,'")] = True
+_NO_BLANK = np.ones(256, bool)
+_NO_BLANK[list(b" \t-'")] = False
 
 # Words that are units when they follow a number.
 UNITS = (
@@ -56,22 +64,41 @@ UNITS = (
 ).split()
 _UNIT_HASHES = np.sort(hash_words([u.encode() for u in UNITS]))
 NUMBER, NAME, UNIT = (np.uint64(x) for x in mix(np.array([1, 2, 3], np.uint64)))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _is_unit(hashed: np.ndarray) -> np.ndarray:
+    return _UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, hashed), len(_UNIT_HASHES) - 1)] == hashed
+
+
+def _unglued(data: np.ndarray, hashes: Hashes, starts: np.ndarray, ends: np.ndarray, row: np.ndarray):
+    """Words, where digits with a unit right behind them are two."""
+    glued = np.flatnonzero(_DIGIT[data[starts]] & ~_DIGIT[data[ends - 1]])
+    if not len(glued):
+        return starts, ends, row
+    others = np.flatnonzero(~_DIGIT[data])
+    cut = others[np.searchsorted(others, starts[glued])]
+    unit = _is_unit(hashes.of(cut, ends[glued]))
+    glued, cut = glued[unit], cut[unit]
+    return np.insert(starts, glued + 1, cut), np.insert(ends, glued, cut), np.insert(row, glued, row[glued])
 
 
 def template(data: np.ndarray, offsets: np.ndarray, starts_sentence: bool = True):
-    """Template hash, own hash, slot flag and row of every word."""
+    """Template hash, own hash, slot flag and row of every token: a word, a whole number or a run of names."""
     starts, ends, row = words(data, offsets, WORD)
     # Fold accented Latin capitals (bytes C3 80..9E) like A-Z.
     accented = np.zeros(len(data) + 1, bool)
     accented[1:-1] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
     folded = data + 32 * accented[:-1].astype(np.uint8)
-    own = Hashes(folded).of(starts, ends)
+    hashes = Hashes(folded)
+    starts, ends, row = _unglued(data, hashes, starts, ends, row)
+    own = hashes.of(starts, ends)
     if not len(own):
         return own, own, np.zeros(0, bool), row
     number = _DIGIT[data[starts]]
-    previous_number = np.concatenate([[False], number[:-1] & (row[1:] == row[:-1])])
-    at = np.minimum(np.searchsorted(_UNIT_HASHES, own), len(_UNIT_HASHES) - 1)
-    unit = previous_number & (_UNIT_HASHES[at] == own)
+    same_row = row[1:] == row[:-1]
+    previous_number = np.concatenate([[False], number[:-1] & same_row])
+    unit = previous_number & _is_unit(own)
     # A capitalised word inside a sentence is a name; the first word of a sentence and one all in
     # capitals are not.
     small = np.concatenate([[0], np.cumsum(_LOWER[data] | ((folded >= 0x80) & ~accented[:-1]) & (data != 0xC3))])
@@ -82,17 +109,30 @@ def template(data: np.ndarray, offsets: np.ndarray, starts_sentence: bool = True
     name = capital & ~opens & ~number
     shown = own.copy()
     shown[number], shown[name], shown[unit] = NUMBER, NAME, UNIT
-    return shown, own, number | name | unit, row
+    slot = number | name | unit
+    # Groups of digits, and names with nothing but blanks between them, go on with the word before.
+    between = ends[:-1]
+    grouped = number[1:] & number[:-1] & (starts[1:] == between + 1) & _SEPARATOR[data[between]] & _DIGIT[data[between - 1]]
+    apart = np.concatenate([[0], np.cumsum(_NO_BLANK[data])])
+    run = name[1:] & name[:-1] & (apart[starts[1:]] == apart[between])
+    goes_on = np.concatenate([[False], (grouped | run) & same_row])
+    if not goes_on.any():
+        return shown, own, slot, row
+    heads = np.flatnonzero(~goes_on)
+    nth = np.arange(len(own)) - heads[np.cumsum(~goes_on) - 1]
+    own = np.add.reduceat(own * np.power(_STEP, nth.astype(np.uint64)), heads)
+    return shown[heads], own, slot[heads], row[heads]
 
 
 def _windows(data, offsets, width, starts_sentence=True):
-    """Window hash, row, first word (in the row) and the index of it, plus the words' slots."""
+    """Window hash, row, first word (in the row), the index of it and words of the row, plus the words' slots."""
     shown, own, slot, row = template(data, offsets, starts_sentence)
     first_word = np.searchsorted(row, np.arange(len(offsets) - 1))
     hashed = window_hashes(shown, width)
     n = len(hashed)
     at = np.flatnonzero(row[:n] == row[width - 1 : width - 1 + n]) if n else np.zeros(0, np.int64)
-    return hashed[at], row[at], at - first_word[row[at]], at, own, slot
+    size = np.bincount(row, minlength=len(offsets) - 1)
+    return hashed[at], row[at], at - first_word[row[at]], at, size[row[at]], own, slot
 
 
 def _slots(own: np.ndarray, slot: np.ndarray, at: int, width: int) -> list[int]:
@@ -101,11 +141,12 @@ def _slots(own: np.ndarray, slot: np.ndarray, at: int, width: int) -> list[int]:
     return own[inside][slot[inside]].view(np.int64).tolist()
 
 
-def _find(width: int, filters):
+def _find(width: int, filters, short: bool = False):
     """Rows (id, hash, position, slots) of all windows that pass the filter.
 
     Without a filter, the texts are items. Quoted inside a sentence, an item's capitalised first word looks
-    like a name, so its first window is given in both forms.
+    like a name (one with a name behind it), so its first window is given in both forms. `short` takes texts of
+    just `width` words in that form.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,16 +154,19 @@ def _find(width: int, filters):
         for batch in batches:
             ids = batch.column("id")
             for first, _, data, offsets in chunks(batch.column("text")):
-                hashed, row, position, at, own, slot = _windows(data, offsets, width)
+                hashed, row, position, at, size, own, slot = _windows(data, offsets, width)
                 if wanted is not None:
                     place = hashed >> np.uint64(64 - FILTER_BITS)
                     bits = wanted[(place >> np.uint64(6)).astype(np.int64)]
                     hit = (bits >> (place & np.uint64(63))) & np.uint64(1) == 1
                     hashed, row, position, at = hashed[hit], row[hit], position[hit], at[hit]
+                elif short:
+                    hit = size == width
+                    hashed, row, position, at = hashed[hit], row[hit], position[hit], at[hit]
                 yield _rows(ids.take(pa.array(first + row)), hashed, position, at, own, slot)
                 if wanted is None:
-                    hashed, row, position, at, own, slot = _windows(data, offsets, width, False)
-                    hit = (position == 0) & slot[at]
+                    hashed, row, position, at, size, own, slot = _windows(data, offsets, width, False)
+                    hit = (position == 0) & slot[at] & ((size == width) | (not short))
                     yield _rows(ids.take(pa.array(first + row[hit])), hashed[hit], position[hit], at[hit], own, slot)
 
     def _rows(ids, hashed, position, at, own, slot):
@@ -140,13 +184,15 @@ def _find(width: int, filters):
 
 
 def _words_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items with their words, as a text of their own (n) and inside a sentence (inner)."""
     for batch in batches:
-        n = []
+        n: list[list] = [[], []]
         for first, last, data, offsets in chunks(batch.column("text")):
-            n.append(np.bincount(words(data, offsets, WORD)[2], minlength=last - first))
+            for sizes, opens in zip(n, (True, False)):
+                sizes.append(np.bincount(template(data, offsets, opens)[3], minlength=last - first))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("text"), pa.array(np.concatenate(n).astype(np.int32))],
-            names=["id", "text", "n"],
+            [batch.column("id"), batch.column("text"), *[pa.array(np.concatenate(sizes or [[]]).astype(np.int32)) for sizes in n]],
+            names=["id", "text", "n", "inner"],
         )
 
 
@@ -179,7 +225,8 @@ def leaks(
     spark = docs.sparkSession
     given = benchmark.select(benchmark[item_id].alias("id"), benchmark[item_text].alias("text")).filter("id IS NOT NULL")
     given = given.groupBy("id").agg(F.max("text").alias("text"))
-    sized = materialize(given.mapInArrow(_words_in, T.StructType([*given.schema.fields, T.StructField("n", T.IntegerType())])).filter("n > 0"), "items")
+    counts = [T.StructField("n", T.IntegerType()), T.StructField("inner", T.IntegerType())]
+    sized = materialize(given.mapInArrow(_words_in, T.StructType([*given.schema.fields, *counts])).filter("n > 0"), "items")
     texts = docs.select(docs[doc_id].alias("id"), docs[doc_text].alias("text"))
     window_fields = [
         T.StructField("hash", T.LongType()),
@@ -190,11 +237,13 @@ def leaks(
     item_schema = T.StructType([sized.schema["id"], *window_fields])
     # Widths: the window, and for shorter items their own length (at most window - 1 more scans of nothing
     # but the lengths that occur).
-    shorter = [r[0] for r in sized.filter(F.col("n") < window).select("n").distinct().collect()]
+    lengths = sized.select(F.explode(F.array("n", "inner")).alias("n"))
+    shorter = [r[0] for r in lengths.filter(F.col("n") < window).distinct().collect()]
     found = None
     for width in sorted({*shorter, window}):
-        of_width = sized.filter(F.col("n") >= window) if width == window else sized.filter(F.col("n") == width)
-        items = materialize(of_width.select("id", "text").mapInArrow(_find(width, None), item_schema), "windows")
+        short = width < window
+        of_width = sized.filter((F.col("n") == width) | (F.col("inner") == width) if short else F.col("n") >= window)
+        items = materialize(of_width.select("id", "text").mapInArrow(_find(width, None, short), item_schema), "windows")
         wanted = spark.sparkContext.broadcast(_filter_of(items))
         hits = texts.mapInArrow(_find(width, wanted), schema)
         pairs = hits.join(
@@ -208,31 +257,32 @@ def leaks(
 
 
 def _consistent(pairs: DataFrame, sized: DataFrame, window: int, coverage: float, doc_id: str, item_id: str) -> DataFrame:
-    """Count the windows of each alignment: all if its slots map one to one, else the verbatim ones.
+    """Weigh the alignments of each document and item that lie near each other.
 
-    An alignment is one document, item and distance between them, so its slots are bounded by the item.
+    Distances are dealt into buckets as wide as the item is long, each with the next one, so any near ones meet in
+    a bucket and what is weighed at once is bounded by the item.
     """
-    mapped = F.arrays_zip("item_slots", "slots")
     aligned = pairs.groupBy("id", "item", "shift").agg(
-        F.array_distinct(F.flatten(F.collect_set(mapped))).alias("mapped"),
-        F.collect_set("item_position").alias("all"),
-        F.collect_set(F.when(F.col("slots") == F.col("item_slots"), F.col("item_position"))).alias("same"),
+        F.collect_set(F.struct("item_position", F.arrays_zip("item_slots", "slots").alias("mapped"))).alias("windows")
     )
-    one_to_one = (F.size("mapped") == F.size(F.array_distinct("mapped.item_slots"))) & (
-        F.size("mapped") == F.size(F.array_distinct("mapped.slots"))
+    whole = sized.select(F.col("id").alias("item"), "n", F.greatest(F.col("n") - window + 1, F.lit(1)).alias("n_windows"))
+    bucket = F.floor(F.col("shift") / F.col("n"))
+    near = (
+        aligned.join(whole, "item")
+        .select("id", "item", "n", "n_windows", "shift", "windows", F.explode(F.array(bucket - 1, bucket)).alias("bucket"))
+        .groupBy("id", "item", "n", "n_windows", "bucket")
+        .agg(F.collect_list(F.struct("shift", "windows")).alias("near"), F.sum(F.size("windows")).alias("most"))
+        .filter(F.col("most") / F.col("n_windows") >= coverage)
+        .drop("bucket", "most")
     )
-    counted = aligned.select(
-        "id",
-        "item",
-        F.when(one_to_one, F.size("all")).otherwise(F.size("same")).cast("long").alias("n_matched"),
-        (F.size("all") == F.size("same")).alias("verbatim"),
+    weighed = T.StructType(
+        [*near.drop("near").schema.fields, T.StructField("n_matched", T.LongType()), T.StructField("verbatim", T.BooleanType())]
     )
-    best = counted.groupBy("id", "item").agg(
+    best = near.mapInArrow(_weigh, weighed).groupBy("id", "item", "n_windows").agg(
         F.max(F.struct("n_matched", "verbatim")).alias("best")
     )
-    whole = sized.select(F.col("id").alias("item"), F.greatest(F.col("n") - window + 1, F.lit(1)).alias("n_windows"))
     share = F.col("best.n_matched") / F.col("n_windows")
-    return best.join(whole, "item").filter(share >= coverage).select(
+    return best.filter(share >= coverage).select(
         F.col("id").alias(doc_id),
         F.col("item").alias(item_id),
         F.col("n_windows").cast("long").alias("n_windows"),
@@ -242,6 +292,76 @@ def _consistent(pairs: DataFrame, sized: DataFrame, window: int, coverage: float
     )
 
 
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = zip(batch.column("n").to_pylist(), batch.column("n_windows").to_pylist())
+        found = []
+        for (n, n_windows), near in zip(sizes, batch.column("near")):
+            alignments = [
+                (a["shift"], [(w["item_position"], [(m["item_slots"], m["slots"]) for m in w["mapped"]]) for w in a["windows"]])
+                for a in near.as_py()
+            ]
+            found.append(matched(alignments, n, n_windows))
+        yield pa.RecordBatch.from_arrays(
+            [
+                *[batch.column(c) for c in ("id", "item", "n", "n_windows")],
+                pa.array([f[0] for f in found], pa.int64()),
+                pa.array([f[1] for f in found], pa.bool_()),
+            ],
+            names=["id", "item", "n", "n_windows", "n_matched", "verbatim"],
+        )
+
+
+def matched(alignments: list[tuple[int, list]], span: int, n_windows: int) -> tuple[int, bool]:
+    """Most windows that alignments (shift, [(item position, [(item value, value)])]) match within `span`; verbatim or not.
+
+    Both a mapping of values and the verbatim windows alone are tried.
+    """
+    alignments = sorted((shift, sorted(windows)) for shift, windows in alignments)
+    best, last = (0, False), 0
+    for first in range(len(alignments)):
+        seen, reach = last, alignments[first][0] + span
+        while last < len(alignments) and alignments[last][0] <= reach:
+            last += 1
+        if last == seen:
+            continue
+        near = sorted(alignments[first:last], key=lambda a: (-len(a[1]), a[0]))
+        for verbatim_only in (True, False):
+            best = max(best, _together(near, verbatim_only, n_windows))
+            if best == (n_windows, True):
+                return best
+    return best
+
+
+def _together(near: list[tuple[int, list]], verbatim_only: bool, n_windows: int) -> tuple[int, bool]:
+    there, back = {}, {}
+    positions, places, verbatim = set(), set(), True
+    for shift, windows in near:
+        if len(positions) == n_windows:
+            break
+        new = [w for w in windows if w[0] not in positions and w[0] + shift not in places]
+        if not new:
+            continue
+        same = [w for w in new if all(a == b for a, b in w[1])]
+        whole = len(same) == len(new) if verbatim_only else _agree([m for _, mapped in windows for m in mapped], there, back)
+        for position, mapped in new if whole else same:
+            if _agree(mapped, there, back):
+                positions.add(position)
+                places.add(position + shift)
+                there.update(mapped)
+                back.update((b, a) for a, b in mapped)
+        verbatim &= len(same) == len(new)
+    return len(positions), verbatim
+
+
+def _agree(mapped: list[tuple[int, int]], there: dict, back: dict) -> bool:
+    """Whether the pairs map one to one, with each other and with those already taken."""
+    pairs = set(mapped)
+    if len({a for a, _ in pairs}) < len(pairs) or len({b for _, b in pairs}) < len(pairs):
+        return False
+    return all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs)
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents into which no item leaked; rows with a NULL id stay."""
     leaked = leaks(docs, benchmark, id_col, **options).select(F.col(id_col).alias("__leaked")).distinct()
