@@ -232,6 +232,16 @@ def test_licence_labels(spark):
     assert found[2]["labels"] == "" and found[2]["score"] == 0
 
 
+def test_licence_labels_without_the_word_licensed(spark):
+    rows = [
+        "Released under the Apache License, Version 2.0", "Distributed under CC BY 4.0", "under the BSD 3-Clause",
+        "under a Creative Commons Attribution", "by 4 cc 0", "4 0 under the BSD clause 3",
+    ]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = [r["labels"] for r in licenses.license_scan(docs).orderBy("doc_id").collect()]
+    assert found == ["apache,apache-2.0", "cc-by", "bsd", "creative-commons", "", ""]
+
+
 def near_groups(texts, width):
     sets = {}
     for d, t in texts.items():

@@ -1,13 +1,13 @@
 """License scans with a positional index of rare licence words.
 
 Templates are short licence texts. The document frequency of every template word is counted over the
-corpus; a template is looked up by its rarest word, its *anchor*. An anchor found in a file gives the relative
+corpus; a template is looked up by the rarest word of its key, its *anchor*. An anchor found in a file gives the relative
 position at which the template would have to lie; the postings of all template words in the file are
 intersected at that position, and the template holds if its mandatory key phrase stands there whole and
 enough of its words do. A phrase whose words must all stand there is a template that is all key.
 
 Only DataFrame functions are used. Files are tokenised once; word positions are kept only of files
-that name a licence. The template index is a fixed small table and is broadcast.
+that hold all key words of a template, as no other can match. The template index is a fixed small table and is broadcast.
 
 Defined results: NULL and empty texts have no words and no label; repeated rows are scanned each and
 count as files; a file without any match has score 0 and empty labels; an empty table gives no rows.
@@ -54,8 +54,6 @@ TEMPLATES = (
     Template("mpl-2.0", "subject to the terms of the mozilla public license version 2 0", "mozilla public license"),
     Template("isc", "released under the isc license", "isc license"),
 )
-# Every template holds one of these words, so a file without them has no match.
-_NAMED = r"(?i)licen[sc]e"
 
 
 def _words(text):
@@ -80,14 +78,19 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     index = _postings(templates)
     vocabulary = sorted({row[1] for row in index})
     words = F.coalesce(_words(docs[text_col]), F.array().cast("array<string>"))
-    given = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].rlike(_NAMED), F.lit(False)).alias("named"), words.alias("words"))
+    given = docs.select(docs[id_col].alias("id"), words.alias("words"))
+    present = F.array_intersect(F.array(*[F.lit(w) for w in vocabulary]), "words")
+    keys = sorted({tuple(sorted(set(t.key.split()))) for t in templates})
+    possible = F.exists(
+        F.array(*[F.array(*[F.lit(w) for w in key]) for key in keys]), lambda key: F.size(F.array_except(key, "present")) == 0
+    )
     files = materialize(
-        given.select(
+        given.select("id", "words", present.alias("present")).select(
             F.monotonically_increasing_id().alias("row"),
             "id",
             F.size("words").cast("long").alias("n_words"),
-            F.array_intersect(F.array(*[F.lit(w) for w in vocabulary]), "words").alias("present"),
-            F.when(F.col("named"), F.col("words")).alias("words"),
+            "present",
+            F.when(possible, F.col("words")).alias("words"),
         ),
         "files",
     )
@@ -95,9 +98,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_files = files.count()
     held = {r["word"]: r["count"] for r in files.select(F.explode("present").alias("word")).groupBy("word").count().collect()}
     idf = {w: math.log((n_files + 1) / (held.get(w, 0) + 1)) for w in vocabulary}
-    anchors = {n: max((w for t, w, *_ in index if t == n), key=lambda w: (idf[w], w)) for n in range(len(templates))}
+    anchors = [max(t.key.split(), key=lambda w: (idf[w], w)) for t in templates]
     postings = spark.createDataFrame(
-        [(*row, row[1] == anchors[row[0]]) for row in index],
+        [(*row, row[5] and row[1] == anchors[row[0]]) for row in index],
         "template int, word string, position int, length int, key_length int, in_key boolean, anchor boolean",
     )
     labels = F.array(*[F.lit(t.label) for t in templates])
