@@ -123,6 +123,16 @@ def test_revealing_terms_are_removed(spark):
     assert "<email>" in out[100] and "Zanzibor" not in out[100] and out[0] == rows[0][1]
 
 
+def test_revealing_terms_anywhere_in_the_corpus(spark):
+    rows = [(i, "plain words here about nothing in particular") for i in range(90)]
+    rows += [(100 + i, "Zanzibor " + "plain words " * 40 + "a.b@c.org") for i in range(3)]
+    rows += [(200, "back to ZANZIBOR, not Zanziborian"), (300, "x" * 79 + " plain a.b@c.org")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in private_data.sanitise(docs).collect()}
+    assert out[100] == " " + "plain words " * 40 + "<email>"
+    assert out[200] == "back to , not Zanziborian" and out[300] == "x" * 79 + " plain <email>" and out[0] == rows[0][1]
+
+
 def test_neighbours(spark):
     rows = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").collect()
     ids = np.array([r["vec_id"] for r in rows])

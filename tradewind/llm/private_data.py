@@ -1,11 +1,15 @@
 """Personal data by patterns, and words that give a protected entity away by co-occurrence.
 
 Patterns find email addresses, IP addresses, card numbers and phone numbers; each different value is a
-protected entity. The words next to an entity are candidate terms. Over the whole corpus, documents
-that hold a term are counted, and documents that hold it next to an entity: where the share of the entity among
+protected entity. The words of its documents that lie in no pattern are candidate terms. Over the whole corpus,
+documents that hold a term are counted, and documents that hold it and an entity: where the share of the entity among
 the term's documents, P(entity | term), reaches `SHARE` and its information log2(P(entity | term) / P(entity))
-reaches `BITS`, the term reveals the entity and becomes a span of the kind `term` wherever it stands
-next to it. `sanitise` generalises patterns to their kind and removes the terms.
+reaches `BITS`, the term reveals the entity and becomes a span of the kind `term` wherever it stands in the
+corpus. `sanitise` generalises patterns to their kind and removes the terms.
+
+A term and an entity meet only where the counts of either allow both bounds: an entity has at least
+`LEAST_DOCUMENTS` documents and at most 2**-bits of all, a term at most 1 / share times the entity's. No pair that
+passes is lost.
 
 Only DataFrame functions are used. Positions come from the lengths of the matches and of the text
 between them. Patterns are rewritten with possessive groups, which match the same but need no stack and no
@@ -23,7 +27,6 @@ from pyspark.sql import functions as F
 from tradewind.session import materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
-BESIDE_CHARS = 80
 SHARE = 0.5
 BITS = 4.0
 LEAST_DOCUMENTS = 2
@@ -90,60 +93,76 @@ def _patterns(rows: DataFrame) -> DataFrame:
     return found.filter(_passes(F.col("kind"), F.col("value"))).select("row", "kind", "start", "end", "value")
 
 
-def _terms(suspects: DataFrame, base: DataFrame, docs: DataFrame, text_col: str, share: float, bits: float) -> DataFrame:
+def _words(text) -> Column:
+    """The different words of a text, in small letters."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower))
+
+
+def _few(terms: DataFrame) -> DataFrame:
+    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+
+
+def _terms(texts: DataFrame, base: DataFrame, share: float, bits: float) -> DataFrame:
     """(row, kind, start, end) of the terms that give an entity away."""
-    beside = base.join(suspects, "row").select(
-        "row",
-        F.monotonically_increasing_id().alias("span"),
-        F.xxhash64("kind", "value").alias("entity"),
-        F.explode(
-            F.array(
-                F.struct(F.greatest(F.col("start") - BESIDE_CHARS, F.lit(0)).alias("a"), F.col("start").alias("b")),
-                F.struct(F.col("end").alias("a"), (F.col("end") + BESIDE_CHARS).alias("b")),
-            )
-        ).alias("side"),
-        "text",
-    ).select("row", "span", "entity", F.col("side.a").alias("a"), F.expr("substring(text, side.a + 1, side.b - side.a)").alias("context"))
-    beside = materialize(beside, "contexts")
-    words = _located(beside, ["row", "span", "entity", "a"], "context", F.lit(_TERM))
+    total = texts.count()
+    own = base.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("own"))
+    apart = ~F.exists("own", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
+    spanned = texts.join(own.select("row"), "row", "left_semi")
     words = materialize(
-        words.select(
-            "row", "entity", F.lower("value").alias("term"), (F.col("a") + F.col("start")).alias("start"), (F.col("a") + F.col("end")).alias("end")
-        ).distinct(),
-        "terms",
+        _located(spanned, ["row"], "text", F.lit(_TERM))
+        .join(own, "row")
+        .select("row", F.lower("value").alias("term"), "start", "end", apart.alias("apart")),
+        "words",
+    )
+    of_row = words.groupBy("row", "term").agg(F.max("apart").alias("apart"))
+
+    holders = base.select("row", F.xxhash64("kind", "value").alias("entity")).distinct()
+    entities = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("documents"))
+    # A little more than 2**-bits, as the bound itself is compared below.
+    most = total / 2.0**bits * (1 + 1e-9)
+    entities = entities.filter((F.col("documents") >= LEAST_DOCUMENTS) & (F.col("documents") <= most))
+    holders = materialize(holders.join(entities, "entity"), "entities")
+    candidates = materialize(
+        of_row.filter("apart").select("row", "term").join(holders.select("row").distinct(), "row", "left_semi"), "candidates"
     )
-    together = words.groupBy("entity", "term").agg(F.countDistinct("row").alias("together")).filter(F.col("together") >= LEAST_DOCUMENTS)
-    together = materialize(together, "together")
-    wanted = together.select("term").distinct()
-    if wanted.count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
-    in_text = F.array_distinct(F.regexp_extract_all(F.lower(docs[text_col]), F.lit(_TERM), F.lit(0)))
-    held = docs.select(F.explode(in_text).alias("term")).join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("held"))
-    entities = words.groupBy("entity").agg(F.countDistinct("row").alias("documents"))
-    total = docs.count()
-    given = F.least(F.col("together") / F.col("held"), F.lit(1.0))
+    wanted = candidates.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_DOCUMENTS)
+    wanted = _few(materialize(wanted.select("term"), "wanted"))
+    # Documents that hold a term, less those that hold it in patterns alone.
+    everywhere = texts.select(F.explode(_words("text")).alias("term"), F.lit(1).alias("n"))
+    inside = of_row.filter(~F.col("apart")).select("term", F.lit(-1).alias("n"))
+    held = materialize(everywhere.unionByName(inside).join(wanted, "term").groupBy("term").agg(F.sum("n").alias("held")), "held")
+
+    counted = candidates.join(held, "term").alias("c")
+    given = F.col("together") / F.col("held")
     revealing = (
-        together.join(held, "term")
-        .join(entities, "entity")
-        .filter((given >= share) & (F.log2(given * total / F.col("documents")) >= bits))
-        .select("entity", "term")
+        counted.join(holders.alias("h"), (F.col("c.row") == F.col("h.row")) & (F.col("c.held") * share <= F.col("h.documents")))
+        .groupBy("entity", "term", "documents", "held")
+        .agg(F.count(F.lit(1)).alias("together"))
+        .filter((F.col("together") >= LEAST_DOCUMENTS) & (given >= share) & (F.log2(given * total / F.col("documents")) >= bits))
+        .select("term")
+        .distinct()
     )
-    return words.join(revealing, ["entity", "term"]).select("row", F.lit(4).alias("kind"), "start", "end").distinct()
+    revealing = _few(materialize(revealing, "revealing"))
+    # The other documents that hold such a term have no pattern in them.
+    others = texts.select("row", F.explode(_words("text")).alias("term")).join(revealing, "term").select("row").distinct()
+    others = materialize(others.join(own.select("row"), "row", "left_anti"), "others")
+    elsewhere = _located(texts.join(others, "row", "left_semi"), ["row"], "text", F.lit(_TERM)).select(
+        "row", F.lower("value").alias("term"), "start", "end"
+    )
+    places = words.filter("apart").select("row", "term", "start", "end").unionByName(elsewhere)
+    return places.join(revealing, "term").select("row", F.lit(4).alias("kind"), "start", "end")
+
 
+def _found(docs: DataFrame, columns: list[Column], text_col: str, text: str, share: float, bits: float) -> tuple[DataFrame, DataFrame]:
+    """The rows numbered and written, and (__row, __found): the sorted spans (start, kind, end) of each that has some.
 
-def _found(docs: DataFrame, columns: list[Column], text_col: str, share: float, bits: float) -> tuple[DataFrame, DataFrame]:
-    """The rows numbered and written, and (__row, __found): the sorted spans (start, kind, end) of each that has some."""
+    `text` is the name of the text among `columns`.
+    """
     likely = F.coalesce(docs[text_col].rlike("|".join(f"(?:{p})" for p in _POSSIBLE)), F.lit(False))
-    rows = materialize(
-        docs.select(F.monotonically_increasing_id().alias("__row"), *columns, F.when(likely, docs[text_col]).alias("__likely")), "rows"
-    )
-    suspects = rows.filter("__likely IS NOT NULL").select(F.col("__row").alias("row"), F.col("__likely").alias("text"))
-    base = materialize(_patterns(suspects), "base")
-    own = base.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("own"))
-    terms = _terms(suspects, base, docs, text_col, share, bits).join(own, "row")
-    apart = ~F.exists("own", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    terms = terms.filter(apart).select("row", "kind", "start", "end")
-    spans = base.select("row", "kind", "start", "end").unionByName(terms)
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("__row"), *columns, likely.alias("__likely")), "rows")
+    texts = rows.select(F.col("__row").alias("row"), F.col(text).alias("text"), "__likely")
+    base = materialize(_patterns(texts.filter("__likely").drop("__likely")), "base")
+    spans = base.select("row", "kind", "start", "end").unionByName(_terms(texts.drop("__likely"), base, share, bits))
     found = F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("__found")
     return rows, spans.groupBy(F.col("row").alias("__row")).agg(found)
 
@@ -155,7 +174,7 @@ def _joined(spans: Column) -> Column:
 
 def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, bits: float = BITS) -> DataFrame:
     """One row per document: counts per kind, base spans hashed, and all spans with the revealing terms."""
-    rows, found = _found(docs, [docs[id_col].alias("id")], text_col, share, bits)
+    rows, found = _found(docs, [docs[id_col].alias("id"), docs[text_col].alias("text")], text_col, "text", share, bits)
     spans = F.coalesce("__found", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
     return rows.select("__row", "id").join(found, "__row", "left").select(
@@ -170,7 +189,7 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def sanitise(docs: DataFrame, text_col: str = "text", share: float = SHARE, bits: float = BITS) -> DataFrame:
     """`docs` with every pattern span generalised to `<kind>` and every revealing term removed."""
     names = docs.columns
-    rows, found = _found(docs, [docs[c].alias(c) for c in names], text_col, share, bits)
+    rows, found = _found(docs, [docs[c].alias(c) for c in names], text_col, text_col, share, bits)
     text = F.col(text_col)
     kinds = F.array(*[F.lit(f"<{k}>") for k in KINDS[:4]], F.lit(""))
     cut = F.aggregate(
