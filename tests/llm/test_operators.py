@@ -185,6 +185,15 @@ def test_copied_examples_stay_and_live_values_go(spark):
     assert spans[9]["spans"] == "assign:3:27,live:32:52" and spans[0]["n_copied"] == 1
 
 
+def test_live_tokens_with_few_digits(spark):
+    tokens = ["Zx8kQwvBnMpRsLwTyUiO", "wJalrXUtnFEMIbK7MDENGbPxRfiCYzEXAMPLEKEY", "QwErTyUiOpAsDfGhJkLz"]
+    docs = spark.createDataFrame([(i, f"see {t} here", f"o{i}") for i, t in enumerate(tokens)], "doc_id long, text string, source string")
+    assert {r["text"] for r in secrets.redact(docs).collect()} == {"see <secret> here"}
+    assert [r["n_live"] for r in secrets.secret_spans(docs).collect()] == [1, 1, 1]
+    plain = spark.createDataFrame([(1, "Donaudampfschifffahrtsgesellschaft HELLO_WORLD_AND_ALL_THE_REST", "a")], "doc_id long, text string, source string")
+    assert secrets.secret_spans(plain).first()["n_live"] == 0
+
+
 def test_ppm(spark, texts):
     found = answers(spark, "op5_ppm_scores")
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in texts}

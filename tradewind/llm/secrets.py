@@ -1,7 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Patterns find labelled secrets (`assign`), access keys (`access`) and hexadecimal strings (`hex`);
-long mixed tokens outside of these are candidates without a label. Every candidate value is hashed,
+long mixed tokens (digits and letters, or a capital right behind a small letter) outside of these are
+candidates without a label. Every candidate value is hashed,
 and for every hash the distinct owners and the documents (each its own repository) are counted over
 the whole corpus. A value that several owners hold is a widely copied example; a value with fewer
 owners looks live. Live tokens without a label become spans of the kind `live`; labelled
@@ -49,8 +50,8 @@ _HEX_BYTE = np.zeros(256, bool)
 _HEX_BYTE[list(b"0123456789abcdef")] = True
 _TOKEN_BYTE = np.zeros(256, bool)
 _TOKEN_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_=-"]] = True
-_DIGIT = np.zeros(256, np.int64)
-_DIGIT[48:58] = 1
+_DIGIT, _CAPITAL, _SMALL = np.zeros((3, 256), bool)
+_DIGIT[48:58] = _CAPITAL[65:91] = _SMALL[97:123] = True
 
 _FOUND = T.ArrayType(
     T.StructType(
@@ -122,8 +123,10 @@ def _suspects(data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int
     long = np.flatnonzero(ends - starts >= TOKEN_BYTES)
     starts, ends, row = starts[long], ends[long], row[long]
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-    digits = digits[ends] - digits[starts]
-    for k in np.flatnonzero((digits >= 4) & (ends - starts - digits >= 4)).tolist():
+    letters = np.concatenate([[0], np.cumsum(_SMALL[data] | _CAPITAL[data])])
+    inner = np.concatenate([[0, 0], np.cumsum(_SMALL[data[:-1]] & _CAPITAL[data[1:]])])
+    mixed = (digits[ends] > digits[starts]) & (letters[ends] > letters[starts]) | (inner[ends] > inner[starts + 1])
+    for k in np.flatnonzero(mixed).tolist():
         r = int(row[k])
         rows.setdefault(r, []).append((int(starts[k] - offsets[r]), int(ends[k] - offsets[r])))
     return rows
