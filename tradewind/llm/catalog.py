@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import decontaminate, licenses, mixing, near_dedup, neighbours, ppm, private_data, repeats, secrets, toxicity
+from tradewind.llm import (
+    bpe,
+    decontaminate,
+    divergence,
+    filters,
+    licenses,
+    mixing,
+    near_dedup,
+    neighbours,
+    oracles,
+    ppm,
+    private_data,
+    repeats,
+    secrets,
+    toxicity,
+)
 from tradewind.llm.common import fold_of, read
 
 
@@ -55,9 +70,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(read(spark, sf_dir, "documents"))
+
+
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    coded = bpe.encode(read(spark, sf_dir, "documents"), vocabulary)
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    digests = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), "ids")
+    decoded = bpe.decode(digests, vocabulary)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text"), 256).alias("decoded_sha256"))
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.interaction_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_texts()
