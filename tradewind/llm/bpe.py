@@ -22,18 +22,18 @@ from __future__ import annotations
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SECTION_CHARS = 1 << 16
-CACHE_WORDS = 1 << 17
+CACHE_WORDS = 1 << 18
 CACHED_WORD_CHARS = 64
 BATCH_IDS = 1 << 20
 
@@ -50,7 +50,7 @@ def byte_letters() -> list[str]:
 
 
 class Vocabulary:
-    """Ids of single bytes, merges by pair of ids, the bytes of every id, and the added strings."""
+    """Ids of single bytes, ranks of pairs of ids and what they merge to, the bytes of every id, added strings."""
 
     def __init__(self, content: bytes):
         told = json.loads(content)
@@ -58,10 +58,12 @@ class Vocabulary:
         letters = byte_letters()
         byte_of = {letter: b for b, letter in enumerate(letters)}
         self.byte_ids = [ids[letter] for letter in letters]
-        self.merges = {}
+        self.stride = max(ids.values()) + 1
+        self.ranks, self.merged = {}, []
         for rank, pair in enumerate(told["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[ids[left], ids[right]] = rank, ids[left + right]
+            self.ranks[ids[left] * self.stride + ids[right]] = rank
+            self.merged.append(ids[left + right])
         self.strings = {i: bytes(byte_of[c] for c in s) for s, i in ids.items()}
         self.added = {a["content"]: a["id"] for a in told["added_tokens"]}
         self.strings.update((i, s.encode()) for s, i in self.added.items())
@@ -72,44 +74,51 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one pre-token."""
-        merges, n = self.merges, len(word)
+        rank_of, stride, n = self.ranks.get, self.stride, len(word)
         symbols = [self.byte_ids[b] for b in word]
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = []
-        for i in range(n - 1):
-            found = merges.get((symbols[i], symbols[i + 1]))
-            if found:
-                queue.append((found[0], i, found[1]))
+        # The rank of the pair that starts at each place; an entry of the queue with another one is stale.
+        waiting = [rank_of(left * stride + right, -1) for left, right in zip(symbols, symbols[1:])]
+        waiting.append(-1)
+        queue = [rank * n + i for i, rank in enumerate(waiting) if rank >= 0]
         heapify(queue)
         while queue:
-            rank, i, merged = heappop(queue)
-            j = after[i]
-            if symbols[i] < 0 or j == n or merges.get((symbols[i], symbols[j]), (-1,))[0] != rank:
+            rank, i = divmod(heappop(queue), n)
+            if waiting[i] != rank:
                 continue
-            symbols[i], symbols[j] = merged, -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right < n:
-                    found = merges.get((symbols[left], symbols[right]))
-                    if found:
-                        heappush(queue, (found[0], left, found[1]))
+            merged, j = self.merged[rank], after[i]
+            symbols[i], symbols[j], waiting[j] = merged, -1, -1
+            k, h = after[j], before[i]
+            after[i], found = k, -1
+            if k < n:
+                before[k] = i
+                found = rank_of(merged * stride + symbols[k], -1)
+                if found >= 0:
+                    heappush(queue, found * n + i)
+            waiting[i] = found
+            if h >= 0:
+                waiting[h] = found = rank_of(symbols[h] * stride + merged, -1)
+                if found >= 0:
+                    heappush(queue, found * n + h)
         return [s for s in symbols if s >= 0]
 
-    def encode(self, text: str) -> Iterator[int]:
-        """The ids of a text; its added strings stand for their own ids."""
+    def encode(self, text: str) -> Iterator[bytes]:
+        """The ids of a text, section by section, as packed 32-bit numbers; added strings stand for their own ids."""
         pieces = self._added_pattern.split(text) if self._added_pattern else [text]
         for piece in pieces:
             if piece in self.added:
-                yield self.added[piece]
+                yield array("i", [self.added[piece]]).tobytes()
                 continue
             for section in _sections(piece):
-                yield from chain.from_iterable(map(self._words.__getitem__, self._pre_tokens(section)))
+                yield b"".join(map(self._words.__getitem__, self._pre_tokens(section)))
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         strings = self.strings
-        return b"".join([strings.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        try:
+            found = b"".join(map(strings.__getitem__, ids))
+        except KeyError:
+            found = b"".join(strings.get(i, b"") for i in ids)
+        return found.decode("utf-8", "replace")
 
     def _pre_tokens(self, section: str) -> list[str]:
         """Characters younger than this Python's own tables may be letters to one library and signs to
@@ -128,14 +137,14 @@ class Vocabulary:
 
 
 class _Words(dict):
-    """Ids of pre-tokens, computed when first met."""
+    """Packed ids of pre-tokens, computed when first met."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self._vocabulary = vocabulary
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self._vocabulary.merge(word.encode())
+    def __missing__(self, word: str) -> bytes:
+        ids = array("i", self._vocabulary.merge(word.encode())).tobytes()
         if len(word) <= CACHED_WORD_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -174,16 +183,18 @@ def encode(
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _vocabulary(content.value)
         for part in parts:
-            first, ids, ends = 0, array("i"), [0]
+            first, packed, ends = 0, bytearray(), [0]
             for row, text in enumerate(part.column(1)):
-                ids.extend(known.encode(text.as_py() or ""))
-                ends.append(len(ids))
-                if len(ids) >= BATCH_IDS or row == part.num_rows - 1:
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                for ids in known.encode(text.as_py() or ""):
+                    packed += ids
+                ends.append(len(packed) // 4)
+                if ends[-1] >= BATCH_IDS or row == part.num_rows - 1:
+                    flat = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(bytes(packed))])
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).slice(first, row + 1 - first), lists], names=[id_col, ids_col]
                     )
-                    first, ids, ends = row + 1, array("i"), [0]
+                    first, packed, ends = row + 1, bytearray(), [0]
 
     schema = T.StructType([docs.schema[id_col], T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
     return narrow.mapInArrow(batches, schema)
@@ -197,7 +208,10 @@ def decode(coded: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: st
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _vocabulary(content.value)
         for part in parts:
-            texts = [known.decode(ids.as_py() or ()) for ids in part.column(part.schema.get_field_index(ids_col))]
+            lists = part.column(part.schema.get_field_index(ids_col))
+            flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().fill_null(0).to_numpy()
+            ends = np.cumsum(sizes)
+            texts = [known.decode(flat[end - size : end].tolist()) for end, size in zip(ends, sizes)]
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, text_col]
             )
