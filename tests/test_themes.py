@@ -7,6 +7,8 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from tests.compare import scale_problem
+from tradewind.operators import distance_sums, mean_silhouette, silhouette, silhouettes
 from tradewind.plans import themes
 from tradewind.schemas import CLUSTER_SCHEMA
 
@@ -104,13 +106,24 @@ def test_projection_of_one_row(spark):
     assert (row["tsne_x"], row["tsne_y"]) == (0.0, 0.0)
 
 
+def test_axes_table_gives_the_coordinates(spark):
+    matrix, _ = blobs(seed=2)
+    df = points(spark, matrix)
+    model = themes.fit_axes(df)
+    weights = {(r["axis"], r["place"]): r["weight"] for r in themes.axes_table(spark, model).collect()}
+    for row in themes.project_2d(df, axes=model).collect():
+        for axis, value in ((1, row["tsne_x"]), (2, row["tsne_y"])):
+            assert math.isclose(value, sum(x * weights[axis, i] for i, x in enumerate(row["vector"])), abs_tol=1e-9)
+
+
 def test_k_values():
-    assert list(themes.k_values(10)) == [3]
-    assert list(themes.k_values(100)) == [3, 4, 5]
-    assert list(themes.k_values(10**6)) == list(range(3, 16))
+    assert list(themes.k_values()) == list(range(3, 16)) and list(themes.k_values(5, 6)) == [5, 6]
+    assert list(themes.k_values_by_rows(10)) == [3]
+    assert list(themes.k_values_by_rows(100)) == [3, 4, 5]
+    assert list(themes.k_values_by_rows(10**6)) == list(range(3, 16))
 
 
-def brute_silhouette(vectors, labels):
+def brute_silhouettes(vectors, labels):
     scores = []
     for i, v in enumerate(vectors):
         distance = np.linalg.norm(vectors - v, axis=1)
@@ -120,20 +133,52 @@ def brute_silhouette(vectors, labels):
             continue
         within = distance[same].sum() / (same.sum() - 1)
         nearest = min(distance[labels == other].mean() for other in set(labels) - {labels[i]})
-        scores.append((nearest - within) / max(within, nearest))
-    return float(np.mean(scores))
+        scores.append((nearest - within) / max(within, nearest) if max(within, nearest) > 0 else 0.0)
+    return scores
+
+
+def labelled(spark, vectors, labels):
+    rows = [(i, int(c), [float(x) for x in v]) for i, (v, c) in enumerate(zip(vectors, labels))]
+    return spark.createDataFrame(rows, "review_id int, cluster_id int, vector array<double>").repartition(5)
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_exact_silhouette(seed):
+def test_silhouettes_of_a_sample_against_all_rows(spark, monkeypatch, seed):
+    monkeypatch.setattr(silhouette, "BLOCK_ROWS", 7)
     random = np.random.default_rng(seed)
     vectors, labels = random.normal(size=(60, 5)), random.integers(0, 4, 60)
     labels[0] = 9  # a cluster of one
-    assert math.isclose(themes.exact_silhouette(vectors, labels), brute_silhouette(vectors, labels), abs_tol=1e-9)
+    vectors[5:9] = vectors[5]  # equal rows
+    rows = labelled(spark, vectors, labels)
+    expected = brute_silhouettes(vectors, labels)
+    found = silhouettes(rows, rows.filter("review_id % 3 = 0"), "review_id", "vector", "cluster_id").collect()
+    assert sorted(r["review_id"] for r in found) == list(range(0, 60, 3))
+    for r in found:
+        assert math.isclose(r["silhouette"], expected[r["review_id"]], abs_tol=1e-6)
+        assert r["cluster_id"] == labels[r["review_id"]]
+    mean = mean_silhouette(rows, rows, "review_id", "vector", "cluster_id")
+    assert math.isclose(mean, float(np.mean(expected)), abs_tol=1e-6)
+
+
+def test_silhouettes_at_the_edges(spark):
+    one = labelled(spark, np.arange(6).reshape(3, 2), np.zeros(3))
+    assert [r["silhouette"] for r in silhouettes(one, one, "review_id", "vector", "cluster_id").collect()] == [None] * 3
+    assert mean_silhouette(one, one, "review_id", "vector", "cluster_id") == -1.0
+    equal = labelled(spark, np.ones((4, 2)), [0, 0, 1, 1])
+    assert mean_silhouette(equal, equal, "review_id", "vector", "cluster_id") == pytest.approx(0.0, abs=1e-6)
+    none = one.limit(0)
+    assert silhouettes(one, none, "review_id", "vector", "cluster_id").count() == 0
+    assert silhouettes(none, none, "review_id", "vector", "cluster_id").count() == 0
+    with pytest.raises(ValueError):
+        distance_sums(one, np.zeros((silhouette.LARGEST_SET + 1, 2)), "vector", "cluster_id")
 
 
-def test_silhouette_of_one_cluster():
-    assert themes.exact_silhouette(np.ones((3, 2)), np.zeros(3)) == -1.0
+def test_distance_sums_move_one_row_per_point_cluster_and_task(spark):
+    random = np.random.default_rng(1)
+    rows = labelled(spark, random.normal(size=(500, 3)), np.where(np.arange(500) % 3 == 0, 1, 0))
+    sums = distance_sums(rows, np.zeros((2, 3)), "vector", "cluster_id")
+    assert {(r["point"], r["cluster"]): r["rows"] for r in sums.collect()} == {(p, c): (333, 167)[c] for p in (0, 1) for c in (0, 1)}
+    assert scale_problem(sums) is None
 
 
 @pytest.mark.parametrize("measure", ["sample", "all"])
@@ -166,14 +211,17 @@ def test_restarts_never_cost_more(spark):
 def test_representative_texts(spark):
     df = points(spark, [[0, 0], [1, 0], [5, 0], [0, 100], [0, 101]])
     model = themes.fit_clusters(df, 2, restarts=2)
-    assigned = themes.assign_clusters(df, model).withColumns(
+    near = themes.with_distance(themes.assign_clusters(df, model), themes.centres_table(spark, model))
+    assigned = near.withColumns(
         {
             "review_text": F.concat(F.lit("text "), F.col("review_id").cast("string")),
             "review_creation_date": F.make_dt_interval(days=-F.col("review_id")) + F.lit("2018-01-01").cast("timestamp"),
         }
     )
     centre = model.clusterCenters()
-    nearest = themes.representative_texts(assigned, model, n=1).collect()
+    nearest = themes.representative_texts(assigned, n=1).collect()
+    for row in assigned.collect():
+        assert math.isclose(row["distance"], np.linalg.norm(row["vector"].toArray() - centre[row["cluster_id"]]), abs_tol=1e-9)
     for row in nearest:
         own = [r for r in assigned.collect() if r["cluster_id"] == row["cluster_id"]]
         best = min(own, key=lambda r: np.linalg.norm(r["vector"].toArray() - centre[r["cluster_id"]]))
@@ -206,8 +254,10 @@ def test_labels(spark):
 
 def test_discover_themes(spark):
     stg = topic_reviews(spark)
-    run = themes.discover_themes(stg, no_clusters(spark), restarts=3)
-    assert run.k == 3
+    run = themes.discover_themes(stg, no_clusters(spark), restarts=3, candidates=themes.k_values_by_rows)
+    assert run.k == 3 and set(run.scores) == {3}
+    samples = run.samples.collect()
+    assert {(r["cluster_id"], r["position"]) for r in samples} == {(c, p) for c in range(3) for p in range(1, 11)}
     rows = run.rows.collect()
     assert [f.name for f in run.rows.schema] == [f.name for f in CLUSTER_SCHEMA]
     assert [f.dataType for f in run.rows.schema] == [f.dataType for f in CLUSTER_SCHEMA]
@@ -234,6 +284,31 @@ def test_batches_and_given_labels(spark):
     assert second.rows.join(stored, "review_id").count() == 0
 
 
+def test_labels_made_from_the_representative_texts(spark):
+    stg = topic_reviews(spark)
+
+    def make_labels(samples):
+        return samples.filter("position = 1").selectExpr(
+            "cluster_id", "concat('named after ', review_id) cluster_label", "review_text cluster_summary"
+        )
+
+    run = themes.discover_themes(
+        stg, no_clusters(spark), candidates=[3], restarts=2, make_labels=make_labels, sample_order="fetch"
+    )
+    rows = run.rows.collect()
+    # In fetch order the first review of a cluster names it.
+    first = {}
+    for r in sorted(rows, key=lambda r: r["review_id"]):
+        first.setdefault(r["cluster_id"], r["review_id"])
+    assert {(r["cluster_id"], r["cluster_label"]) for r in rows} == {(c, f"named after {i}") for c, i in first.items()}
+
+
+def test_short_terms_on_request(spark):
+    assigned = spark.createDataFrame([(0, "eu eu eu nao"), (1, "sim e nao")], "cluster_id int, review_text string")
+    assert {r["term"] for r in themes.cluster_terms(assigned).collect()} == {"nao", "sim"}
+    assert {r["term"] for r in themes.cluster_terms(assigned, least_letters=1).collect()} == {"eu", "nao", "sim", "e"}
+
+
 def test_one_review(spark):
     run = themes.discover_themes(reviews(spark, "a single long review"), no_clusters(spark), restarts=1)
     assert run.k == 3 and run.rows.count() == 1

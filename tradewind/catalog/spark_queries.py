@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradewind.catalog.inputs import Inputs
@@ -831,26 +832,109 @@ def t3_early_exit(t: Inputs) -> DataFrame:
 
 @_register
 def t4_embed_texts(t: Inputs) -> DataFrame:
+    """Every review's vector has length 1, and reviews of the same words have the same one."""
     texts = materialize(t.stg_reviews.select("review_id", "review_text"), "t4-texts")
-    vectors = themes.embed_texts(texts)
-    return vectors.select("review_id", themes.vector_to_array("vector").alias("vector"))
+    vectors = themes.embed_texts(texts).withColumn("vector", themes.vector_to_array("vector"))
+    words = F.array_remove(F.split(F.lower("review_text"), r"[^\p{L}\p{N}]+"), "")
+    told = vectors.select(
+        "review_id",
+        F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)), 6).alias("norm"),
+        F.md5(F.array_join(F.sort_array(words), " ").cast("binary")).alias("words"),
+        F.xxhash64("vector").alias("seen"),
+    )
+    same_words = Window.partitionBy("words")
+    return told.select(
+        "review_id", "norm", (F.min("seen").over(same_words) == F.max("seen").over(same_words)).alias("same_for_same_words")
+    )
 
 
 @_register
 def t5_projection(t: Inputs) -> DataFrame:
-    return themes.project_2d(_vectors(t)).drop("vector")
+    """The axes as a table, checked against the vectors: what a principal projection has to hold."""
+    vectors = _vectors(t)
+    model = themes.fit_axes(vectors)
+    axes = themes.axes_table(t.spark, model)
+    placed = materialize(
+        themes.project_2d(vectors, axes=model).withColumn("vector", themes.vector_to_array("vector")), "t5-placed"
+    )
+    places = placed.select("review_id", "tsne_x", "tsne_y", F.posexplode("vector").alias("place", "value"))
+    by_axis = axes.groupBy("place").pivot("axis", [1, 2]).agg(F.first("weight")).toDF("place", "a1", "a2")
+    wrong = (
+        places.join(by_axis, "place")
+        .groupBy("review_id", "tsne_x", "tsne_y")
+        .agg(F.sum(F.col("value") * F.col("a1")).alias("x"), F.sum(F.col("value") * F.col("a2")).alias("y"))
+        .agg(F.count_if((F.abs(F.col("x") - F.col("tsne_x")) > 1e-9) | (F.abs(F.col("y") - F.col("tsne_y")) > 1e-9)))
+    )
+    # An axis is an eigenvector of the covariance if each place covaries with its coordinate in proportion to its weight.
+    spread = places.groupBy("place").agg(
+        F.covar_samp("value", "tsne_x").alias("with_x"),
+        F.covar_samp("value", "tsne_y").alias("with_y"),
+        F.var_samp("value").alias("variance"),
+    )
+    found = placed.select(F.var_samp("tsne_x").alias("l1"), F.var_samp("tsne_y").alias("l2")).first()
+    held = spread.join(by_axis, "place").agg(
+        (F.abs(F.sum(F.col("a1") * F.col("a2"))) + F.abs(F.sum(F.col("a1") ** 2) - 1) + F.abs(F.sum(F.col("a2") ** 2) - 1)).alias("skew"),
+        F.count_if(
+            (F.abs(F.col("with_x") - found["l1"] * F.col("a1")) > 1e-9) | (F.abs(F.col("with_y") - found["l2"] * F.col("a2")) > 1e-9)
+        ).alias("bent"),
+        F.sort_array(F.collect_list("variance"), asc=False).alias("variances"),
+    ).first()
+    top = sum(held["variances"][:2])
+    rows = [
+        ("rows", placed.count()),
+        ("coordinates that are not the product with the axes", wrong.first()[0]),
+        ("axes not orthonormal", int(held["skew"] > 1e-9)),
+        ("places where an axis is no eigenvector", held["bent"]),
+        ("two places vary more than the plane", int(top > found["l1"] + found["l2"] + 1e-12)),
+    ]
+    return t.spark.createDataFrame(rows, "`check` string, failures bigint")
+
+
+def _cluster_checks(t: Inputs, k: int) -> DataFrame:
+    """(review_id, cluster_id, distance, least): rows with their distance to their own centre and the nearest one's."""
+    vectors = materialize(_vectors(t), "vectors")
+    model = themes.fit_clusters(vectors, k=k)
+    assigned = themes.assign_clusters(vectors, model)
+    own = themes.with_distance(assigned, themes.centres_table(t.spark, model))
+    every = F.lit([[float(x) for x in centre] for centre in model.clusterCenters()])  # k of them
+    values = themes.as_array(own, "vector")
+
+    def gap(centre):
+        squares = F.zip_with(values, centre, lambda a, b: (a - b) * (a - b))
+        return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
+
+    return own.select(
+        "review_id", "cluster_id", "distance", F.array_min(F.transform(every, gap)).alias("least"), values.alias("vector")
+    )
 
 
 @_register
 def t6_kmeans(t: Inputs) -> DataFrame:
-    model = themes.fit_clusters(_vectors(t), k=10, restarts=2)
-    return themes.assign_clusters(_vectors(t), model).groupBy("cluster_id").count()
+    """Ten clusters from ten starts: every row is in the nearest, and they cost no more than the given labels."""
+    rows = materialize(_cluster_checks(t, 10), "t6-rows")
+    labels = t.table("embeddings").select(F.col("vec_id").alias("review_id"), "label")
+    places = rows.join(labels, "review_id").select("label", F.posexplode("vector").alias("place", "value"))
+    by_label = places.groupBy("label", "place").agg((F.var_pop("value") * F.count(F.lit(1))).alias("cost"))
+    given = by_label.agg(F.sum("cost")).scalar()
+    found = rows.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_distinct("cluster_id").alias("clusters"),
+        F.count_if(F.col("distance") > F.col("least") + 1e-9).alias("rows not in the nearest cluster"),
+        F.when(F.sum(F.col("distance") ** 2) > given * (1 + 1e-9), 1).otherwise(0).cast("bigint").alias("dearer than the given labels"),
+    )
+    return found.unpivot([], found.columns, "check", "failures")
 
 
 def _silhouettes(t: Inputs, measure: str) -> DataFrame:
-    choice = themes.choose_k(_vectors(t), range(3, 7), "review_id", measure=measure, restarts=1)
-    rows = [(k, score, k == choice.k) for k, score in choice.scores.items()]
-    return t.spark.createDataFrame(rows, "k int, silhouette double, chosen boolean")
+    """The default cluster counts and restarts; the chosen k has the highest silhouette."""
+    vectors = materialize(_vectors(t), "vectors")
+    choice = themes.choose_k(vectors, themes.k_values(), "review_id", measure=measure)
+    best = max(choice.scores.values())
+    rows = [
+        (k, -1 <= score <= 1, k != choice.k or score == best, math.isclose(score, best) or score < best)
+        for k, score in choice.scores.items()
+    ]
+    return t.spark.createDataFrame(rows, "k int, in_range boolean, chosen_is_best boolean, no_higher boolean")
 
 
 @_register
@@ -863,16 +947,25 @@ def t7_choose_k_all_rows(t: Inputs) -> DataFrame:
     return _silhouettes(t, "all")
 
 
+@_register
+def t7_silhouette(t: Inputs) -> DataFrame:
+    """Euclidean silhouette of a fixed sample of rows against all rows, with the labels as clusters."""
+    rows = t.table("embeddings").select(F.col("vec_id").alias("review_id"), "label", F.col("embedding").alias("vector"))
+    sample = themes.silhouette_sample(rows, "review_id").join(rows.select("review_id", "label"), "review_id")
+    found = ops.silhouettes(rows, sample, "review_id", "vector", "label")
+    return found.select("review_id", "label", *[F.round(c, 5).alias(c) for c in ("within", "nearest", "silhouette")])
+
+
 @_register
 def t8_k_range(t: Inputs) -> DataFrame:
-    candidates = themes.k_values(t.table("embeddings").count())
+    candidates = themes.k_values_by_rows(t.table("embeddings").count())
     return t.spark.range(candidates.start, candidates.stop).toDF("k")
 
 
 @_register
 def t9_assign_clusters(t: Inputs) -> DataFrame:
-    model = themes.fit_clusters(_vectors(t), k=5, restarts=1)
-    return themes.assign_clusters(_vectors(t), model).select("review_id", "cluster_id")
+    checked = _cluster_checks(t, 5)
+    return checked.select("review_id", (F.col("distance") <= F.col("least") + 1e-9).alias("in_nearest"))
 
 
 @_register
@@ -880,6 +973,20 @@ def t10_representative_texts(t: Inputs) -> DataFrame:
     return themes.representative_texts(_theme_texts(t), order="fetch")
 
 
+@_register
+def t10_nearest_texts(t: Inputs) -> DataFrame:
+    """The texts nearest to the mean vector of their cluster, with the labels as clusters."""
+    rows = t.table("embeddings").select(
+        F.col("vec_id").cast("string").alias("review_id"), F.col("label").cast("int").alias("cluster_id"), F.col("embedding").alias("vector")
+    )
+    places = rows.select("cluster_id", F.posexplode("vector").alias("place", "value"))
+    means = places.groupBy("cluster_id", "place").agg(F.avg(F.col("value").cast("double")).alias("mean"))
+    centre = F.transform(F.sort_array(F.collect_list(F.struct("place", "mean"))), lambda entry: entry["mean"])
+    centres = means.groupBy("cluster_id").agg(centre.alias("centre"))
+    texts = rows.join(t.stg_reviews.select("review_id", "review_text", "review_creation_date"), "review_id")
+    return themes.representative_texts(themes.with_distance(texts, centres))
+
+
 @_register
 def t11_cluster_terms(t: Inputs) -> DataFrame:
     return themes.cluster_terms(_theme_texts(t)).withColumn("score", F.round("score", 6))
@@ -906,8 +1013,36 @@ def t13_write_back(t: Inputs) -> DataFrame:
 
 @_register
 def t14_review_themes(t: Inputs) -> DataFrame:
-    run = themes.discover_themes(t.stg_reviews, t.clusters, limit=None, restarts=1, candidates=[3, 4, 5])
-    return t.clusters if run is None else themes.write_back(t.clusters, run.rows)
+    """A whole run at its defaults: every review has a cluster row, old ones are as before, new ones are complete."""
+    run = themes.discover_themes(t.stg_reviews, t.clusters)
+    rows = t.clusters if run is None else themes.write_back(t.clusters, run.rows)
+    stored = t.clusters.select("review_id", F.lit(True).alias("stored"))
+    complete = F.col("cluster_summary").isNotNull() & (F.col("cluster_label") != "") & (F.col("cluster_id") >= 0)
+    complete &= F.col("tsne_x").isNotNull() & F.col("tsne_y").isNotNull()
+    if run is not None:
+        complete &= F.col("stored") | (F.col("cluster_id") < run.k)
+    return (
+        rows.join(stored, "review_id", "left")
+        .withColumn("stored", F.coalesce("stored", F.lit(False)))
+        .select("review_id", "order_id", F.when(F.col("stored"), F.col("cluster_label")).alias("kept_label"), complete.alias("complete"))
+    )
+
+
+def _letter_counts():
+    """A stand-in for a sentence model: how often each letter occurs."""
+
+    def encode(texts):
+        return [[float(text.lower().count(letter)) for letter in "abcdefghijklmnopqrstuvwxyz"] for text in texts]
+
+    return encode
+
+
+@_register
+def r3_encoder(t: Inputs) -> DataFrame:
+    """A Python encoder, made once per task, in place of the built-in vectors."""
+    vectors = themes.embed_texts(t.stg_reviews.select("review_id", "review_text"), make_encoder=_letter_counts)
+    rounded = F.transform(themes.vector_to_array("vector"), lambda x: F.round(x, 8))
+    return vectors.select("review_id", F.posexplode(rounded).alias("place", "weight"))
 
 
 # -- quality checks ----------------------------------------------------------------------

@@ -1,12 +1,13 @@
 """Review themes: embed unprocessed review texts, cluster them, name the clusters, store the result.
 
 Only bounded values reach the driver: counts, scores, cluster centres, the two projection axes
-and the fixed-size silhouette sample.
+and the fixed-size silhouette sample. Fitted models are also tables (`centres_table`,
+`axes_table`), so that what they say can be joined with the rows and checked in SQL.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,15 +15,16 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, PCAModel, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradewind.operators import top_per_group, upsert
+from tradewind.operators.silhouette import LARGEST_SET, as_array, mean_silhouette
 from tradewind.plans.staging import MIN_TEXT_LENGTH
 from tradewind.schemas import CLUSTER_KEY, CLUSTER_SCHEMA, CLUSTER_UPDATES
-from tradewind.session import materialize
+from tradewind.session import discard, materialize, side_by_side
 
 # Batch size, seed, restarts, sample size, k range.
 ENCODER_BATCH = 64
@@ -36,7 +38,7 @@ LABEL_TERMS, SUMMARY_TERMS = 3, 10
 MIN_TERM_LENGTH = 3
 HASH_FEATURES = 512
 COST_TOLERANCE = 1e-9
-LARGEST_SAMPLE = 2000
+FITS_AT_ONCE = 8
 NOT_A_LETTER = r"[^\p{L}]+"
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -119,37 +121,94 @@ def _encode(df: DataFrame, text: str, make_encoder: Callable[[], Encoder]) -> Da
     return df.withColumn("__dense", array_to_vector(encode(text)))
 
 
-def project_2d(df: DataFrame, vector: str = "vector", x: str = "tsne_x", y: str = "tsne_y") -> DataFrame:
+def fit_axes(df: DataFrame, vector: str = "vector") -> PCAModel:
+    """The two leading principal axes of the vectors."""
+    return PCA(k=2, inputCol=vector, outputCol="__plane").fit(df.select(vector))
+
+
+def axes_table(spark: SparkSession, model: PCAModel) -> DataFrame:
+    """(axis, place, weight): the axes by vector place, two rows per dimension."""
+    weights = model.pc.toArray()
+    rows = [(axis + 1, place, float(w)) for place, pair in enumerate(weights) for axis, w in enumerate(pair)]
+    return spark.createDataFrame(rows, "axis int, place int, weight double")
+
+
+def project_2d(
+    df: DataFrame, vector: str = "vector", x: str = "tsne_x", y: str = "tsne_y", axes: PCAModel | None = None
+) -> DataFrame:
     """Adds the two leading principal components, as plot coordinates (0, 0 for a single row)."""
-    if len(df.select(vector).take(2)) < 2:
+    if axes is None and len(df.select(vector).take(2)) < 2:
         return df.withColumns({x: F.lit(0.0), y: F.lit(0.0)})
-    axes = PCA(k=2, inputCol=vector, outputCol="__plane").fit(df.select(vector))
     plane = vector_to_array("__plane")
-    return axes.transform(df).withColumns({x: plane[0], y: plane[1]}).drop("__plane")
+    return (axes or fit_axes(df, vector)).transform(df).withColumns({x: plane[0], y: plane[1]}).drop("__plane")
 
 
 # -- clusters ----------------------------------------------------------------------------
 
 
-def k_values(rows: int) -> range:
-    """Cluster counts worth trying for this many rows."""
-    return range(K_MIN, min(K_MAX, max(K_MIN, rows // ROWS_PER_K)) + 1)
+def k_values(low: int = K_MIN, high: int = K_MAX) -> range:
+    """Cluster counts to try, whatever the number of rows."""
+    return range(low, high + 1)
+
+
+def k_values_by_rows(rows: int) -> range:
+    """Fewer cluster counts for small batches: one more per `ROWS_PER_K` rows, between the usual bounds."""
+    return k_values(K_MIN, min(K_MAX, max(K_MIN, rows // ROWS_PER_K)))
+
+
+def fit_each_k(
+    df: DataFrame, candidates: Iterable[int], vector: str = "vector", seed: int = SEED, restarts: int = RESTARTS
+) -> dict[int, KMeansModel]:
+    """For every k, k-means from `restarts` starting points and the model with the lowest cost.
+
+    All fits of all k are independent and run side by side over vectors that are kept once. There
+    are fewer than `k` clusters when there are fewer distinct vectors, which only the row
+    solver can deal with.
+    """
+    wanted = [(k, seed + i) for k in sorted(set(candidates)) for i in range(restarts)]
+    points = df.select(vector).persist()
+
+    def fit(k: int, start: int) -> Callable[[], tuple[float, KMeansModel]]:
+        def run() -> tuple[float, KMeansModel]:
+            means = KMeans(k=k, featuresCol=vector, predictionCol="cluster_id", solver="row", seed=start)
+            model = means.fit(points)
+            return model.summary.trainingCost, model
+
+        return run
+
+    try:
+        fits = side_by_side(df.sparkSession, "k-means", [fit(*w) for w in wanted], FITS_AT_ONCE)
+    finally:
+        points.unpersist()
+    best: dict[int, tuple[float, KMeansModel]] = {}
+    # Sums over partitions vary in the last digits; the earliest seed wins such ties.
+    lowest = {k: min(cost for (other, _), (cost, _) in zip(wanted, fits) if other == k) for k, _ in wanted}
+    for (k, _), (cost, model) in zip(wanted, fits):
+        if k not in best and cost <= lowest[k] * (1 + COST_TOLERANCE):
+            best[k] = cost, model
+    return {k: model for k, (_, model) in best.items()}
 
 
 def fit_clusters(
     df: DataFrame, k: int, vector: str = "vector", seed: int = SEED, restarts: int = RESTARTS
 ) -> KMeansModel:
-    """k-means from `restarts` starting points; the model with the lowest cost.
+    """k-means from `restarts` starting points; the model with the lowest cost."""
+    return fit_each_k(df, [k], vector, seed, restarts)[k]
 
-    There are fewer than `k` clusters when there are fewer distinct vectors, which only the
-    row solver can deal with.
-    """
-    points = df.select(vector)
-    means = KMeans(k=k, featuresCol=vector, predictionCol="cluster_id", solver="row")
-    models = [means.setSeed(seed + i).fit(points) for i in range(restarts)]
-    costs = [model.summary.trainingCost for model in models]
-    # Sums over partitions vary in the last digits; the earliest seed wins such ties.
-    return models[next(i for i, cost in enumerate(costs) if cost <= min(costs) * (1 + COST_TOLERANCE))]
+
+def centres_table(spark: SparkSession, model: KMeansModel) -> DataFrame:
+    """(cluster_id, centre): one row per cluster."""
+    rows = [(i, [float(x) for x in centre]) for i, centre in enumerate(model.clusterCenters())]
+    return spark.createDataFrame(rows, "cluster_id int, centre array<double>")
+
+
+def with_distance(
+    df: DataFrame, centres: DataFrame, vector: str = "vector", output: str = "distance"
+) -> DataFrame:
+    """Adds each row's distance to the centre of its cluster, computed in the JVM; `centres` has one row per cluster."""
+    squares = F.zip_with(as_array(df, vector), F.col("centre"), lambda a, b: (a - b) * (a - b))
+    total = F.aggregate(squares, F.lit(0.0), lambda sum_, x: sum_ + x)
+    return df.join(F.broadcast(centres), "cluster_id", "left").withColumn(output, F.sqrt(total)).drop("centre")
 
 
 def assign_clusters(df: DataFrame, model: KMeansModel) -> DataFrame:
@@ -159,31 +218,11 @@ def assign_clusters(df: DataFrame, model: KMeansModel) -> DataFrame:
 def silhouette_sample(
     df: DataFrame, key: str, vector: str = "vector", size: int = SILHOUETTE_SAMPLE, seed: int = SEED
 ) -> DataFrame:
-    """A fixed random sample: the `size` rows with the smallest hash of their key."""
-    if size > LARGEST_SAMPLE:
-        raise ValueError(f"the exact silhouette is quadratic; at most {LARGEST_SAMPLE} rows")
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(size).select(key, vector)
-
-
-def exact_silhouette(vectors: np.ndarray, labels: np.ndarray) -> float:
-    """Mean Euclidean silhouette of a bounded sample; -1 when it holds one cluster only."""
-    names, codes = np.unique(labels, return_inverse=True)
-    if len(names) < 2:
-        return -1.0
-    squares = (vectors**2).sum(axis=1)
-    distances = np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * vectors @ vectors.T, 0))
-    np.fill_diagonal(distances, 0)
-    member = np.eye(len(names))[codes]
-    sizes = member.sum(axis=0)
-    totals = distances @ member
-    own = np.arange(len(codes)), codes
-    within = totals[own] / np.maximum(sizes[codes] - 1, 1)
-    means = totals / sizes
-    means[own] = np.inf
-    nearest = means.min(axis=1)
-    larger = np.maximum(within, nearest)
-    score = np.divide(nearest - within, larger, out=np.zeros_like(larger), where=larger > 0)
-    return float(np.where(sizes[codes] > 1, score, 0).mean())
+    """A fixed random sample: the `size` rows with the smallest digest of seed and key."""
+    if size > LARGEST_SET:
+        raise ValueError(f"the sample is broadcast; at most {LARGEST_SET} rows")
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    return df.orderBy(drawn, key).limit(size).select(key, vector)
 
 
 @dataclass(frozen=True)
@@ -204,25 +243,25 @@ def choose_k(
 ) -> KChoice:
     """The k with the highest silhouette (lowest k wins ties), with its fitted model.
 
-    measure="sample" is the Euclidean silhouette of a fixed sample; measure="all" is Spark's
-    squared-Euclidean silhouette over every row, which is linear in the rows. `df` is read
-    once per fit (k-means keeps what it iterates over), so it should be a stored table.
+    measure="sample" is the mean Euclidean silhouette of a fixed sample of rows, each judged
+    against all rows; measure="all" is Spark's squared-Euclidean silhouette of every row. Both
+    are linear in the rows. `df` is read several times, so it should be a stored table.
     """
     points = df.select(key, vector)
-    if measure == "sample":
-        sample = silhouette_sample(points, key, vector, seed=seed).persist()
-        rows = [row[vector] for row in sample.orderBy(key).collect()]
-        matrix = np.array([v.toArray() if hasattr(v, "toArray") else v for v in rows])
-    models, scores = {}, {}
-    for k in candidates:
-        models[k] = fit_clusters(points, k, vector, seed, restarts)
-        if measure == "sample":
-            labels = assign_clusters(sample, models[k]).orderBy(key).select("cluster_id").collect()
-            scores[k] = exact_silhouette(matrix, np.array([row[0] for row in labels]))
-        else:
-            scores[k] = _silhouette_of_all(assign_clusters(points, models[k]), vector)
-    if measure == "sample":
-        sample.unpersist()
+    models = fit_each_k(points, candidates, vector, seed, restarts)
+    sample = silhouette_sample(points, key, vector, seed=seed) if measure == "sample" else None
+
+    def score(model: KMeansModel) -> Callable[[], float]:
+        def run() -> float:
+            assigned = assign_clusters(points, model)
+            if sample is None:
+                return _silhouette_of_all(assigned, vector)
+            return mean_silhouette(assigned, assign_clusters(sample, model), key, vector, "cluster_id")
+
+        return run
+
+    found = side_by_side(df.sparkSession, "silhouette", [score(m) for m in models.values()], FITS_AT_ONCE)
+    scores = dict(zip(models, found))
     best = max(sorted(scores), key=scores.__getitem__)
     return KChoice(best, models[best], scores)
 
@@ -237,37 +276,18 @@ def _silhouette_of_all(assigned: DataFrame, vector: str) -> float:
 # -- labels ------------------------------------------------------------------------------
 
 
-def representative_texts(
-    assigned: DataFrame,
-    model: KMeansModel | None = None,
-    n: int = SAMPLE_TEXTS,
-    order: str = "centre",
-    vector: str = "vector",
-) -> DataFrame:
-    """`n` texts per cluster: nearest to the centre, or first in fetch order (order="fetch")."""
-    if order == "fetch":
-        keys = _fetch_order()
-        chosen = assigned
-    else:
-        chosen = assigned.withColumn("__distance", _distance_to_centre(model, vector))
-        keys = [F.col("__distance").asc(), F.col("review_id").asc_nulls_last()]
+def representative_texts(assigned: DataFrame, n: int = SAMPLE_TEXTS, order: str = "centre") -> DataFrame:
+    """`n` texts per cluster: nearest to the centre by column `distance` (`with_distance`), or first in
+    fetch order (order="fetch")."""
+    keys = _fetch_order() if order == "fetch" else [F.col("distance").asc(), F.col("review_id").asc_nulls_last()]
     columns = ["cluster_id", "review_id", "review_text", "position"]
-    return top_per_group(chosen, ["cluster_id"], keys, n, position="position").select(*columns)
-
-
-def _distance_to_centre(model: KMeansModel, vector: str) -> Column:
-    centres = np.array(model.clusterCenters())  # k rows
-
-    @F.pandas_udf("double")
-    def distance(cluster: pd.Series, values: pd.Series) -> pd.Series:
-        gaps = np.stack(values.to_numpy()) - centres[cluster.to_numpy()]
-        return pd.Series(np.sqrt((gaps**2).sum(axis=1)))
+    return top_per_group(assigned, ["cluster_id"], keys, n, position="position").select(*columns)
 
-    return distance("cluster_id", vector_to_array(vector))
 
-
-def cluster_terms(assigned: DataFrame, text: str = "review_text", n: int = SUMMARY_TERMS) -> DataFrame:
-    """The `n` most telling terms per cluster: cluster_id, term, score, position.
+def cluster_terms(
+    assigned: DataFrame, text: str = "review_text", n: int = SUMMARY_TERMS, least_letters: int = MIN_TERM_LENGTH
+) -> DataFrame:
+    """The `n` most telling terms of at least `least_letters` letters per cluster: cluster_id, term, score, position.
 
     A term scores its count in the cluster times ln(1 + average words per cluster / its count
     over all clusters). Words are counted per cluster and term on the map side; what is
@@ -275,7 +295,7 @@ def cluster_terms(assigned: DataFrame, text: str = "review_text", n: int = SUMMA
     """
     words = assigned.select("cluster_id", F.explode(F.split(F.lower(text), NOT_A_LETTER)).alias("term"))
     counts = (
-        words.filter(F.length("term") >= MIN_TERM_LENGTH)
+        words.filter(F.length("term") >= least_letters)
         .groupBy("cluster_id", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -287,13 +307,15 @@ def cluster_terms(assigned: DataFrame, text: str = "review_text", n: int = SUMMA
     return top_per_group(scored, ["cluster_id"], best, n, position="position").drop("tf")
 
 
-def label_clusters(assigned: DataFrame, text: str = "review_text") -> DataFrame:
+def label_clusters(
+    assigned: DataFrame, text: str = "review_text", least_letters: int = MIN_TERM_LENGTH
+) -> DataFrame:
     """cluster_id, cluster_label and cluster_summary made of the cluster's leading terms."""
     terms = F.transform(
         F.sort_array(F.collect_list(F.struct("position", "term"))), lambda entry: entry["term"]
     )
     return (
-        cluster_terms(assigned, text)
+        cluster_terms(assigned, text, least_letters=least_letters)
         .groupBy("cluster_id")
         .agg(terms.alias("terms"))
         .select(
@@ -319,9 +341,12 @@ def write_back(clusters: DataFrame, rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class ThemeRun:
+    """Rows for the cluster table, the k chosen with the scores of all tried, and the representative texts."""
+
     rows: DataFrame
     k: int
     scores: dict[int, float]
+    samples: DataFrame
 
 
 def discover_themes(
@@ -330,34 +355,43 @@ def discover_themes(
     limit: int | None = None,
     measure: str = "all",
     restarts: int = RESTARTS,
-    candidates: Sequence[int] | None = None,
+    candidates: Iterable[int] | Callable[[int], Iterable[int]] = k_values(),
     labels: DataFrame | None = None,
+    make_labels: Callable[[DataFrame], DataFrame] | None = None,
     make_encoder: Callable[[], Encoder] | None = None,
     features: int = HASH_FEATURES,
     batch_id: str | None = None,
+    sample_order: str = "centre",
 ) -> ThemeRun | None:
     """Cluster the next batch of unprocessed reviews; None when there is none.
 
     The rows have the layout of the cluster table and are meant for `write_back`. Cluster ids
     and labels are those of this batch; `batch_id` adds a column telling batches apart.
-    `labels` (cluster_id, cluster_label, cluster_summary) replaces the generated names.
+    `candidates` are the cluster counts to try, or a rule that makes them from the number of
+    rows (`k_values_by_rows`). `labels` (cluster_id, cluster_label, cluster_summary) replaces the
+    generated names; `make_labels` makes such a table from the representative texts.
     """
     # Fitting the term weights reads the batch once and applying them once more.
     batch = materialize(next_batch(stg_reviews, clusters, limit), "batch")
     if batch.isEmpty():
+        discard(batch)
         return None
+    spark = batch.sparkSession
     vectors = materialize(embed_texts(batch, features=features, make_encoder=make_encoder), "vectors")
     # Cluster ids go to the rows with the plot coordinates, all in one pass at the end.
     placed = project_2d(vectors)
-    if candidates is None:
-        candidates = k_values(vectors.count())
+    if callable(candidates):
+        candidates = candidates(vectors.count())
     choice = choose_k(vectors, candidates, "review_id", measure=measure, restarts=restarts)
-    assigned = materialize(assign_clusters(placed, choice.model).drop("vector"), "assigned")
+    near = with_distance(assign_clusters(placed, choice.model), centres_table(spark, choice.model))
+    assigned = materialize(near.drop("vector"), "assigned")
+    discard(batch, vectors)
+    samples = representative_texts(assigned, order=sample_order)
     if labels is None:
         # One row per cluster, and there are k of them.
-        labels = F.broadcast(label_clusters(assigned))
+        labels = F.broadcast(make_labels(samples) if make_labels else label_clusters(assigned))
     named = attach_labels(assigned, labels)
     rows = named.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in CLUSTER_SCHEMA))
     if batch_id is not None:
         rows = rows.withColumn("batch_id", F.lit(batch_id))
-    return ThemeRun(rows, choice.k, choice.scores)
+    return ThemeRun(rows, choice.k, choice.scores, samples)

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import math
-import tempfile
+import shutil
 import uuid
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
@@ -43,8 +50,12 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    named = "file:" + tempfile.mkdtemp(prefix="tradewind-")
+    # A local session, as in tests: its tables go with it.
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    named = f"{warehouse}/tradewind-{spark.sparkContext.applicationId}"
     spark.conf.set("spark.checkpoint.dir", named)
+    if warehouse.startswith("file:/"):
+        atexit.register(shutil.rmtree, "/" + named.removeprefix("file:").lstrip("/"), ignore_errors=True)
     return named
 
 
@@ -62,9 +73,60 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     written.written_path = path
+    if (job := _job_tables.get()) is not None:
+        job.append(written)
     return written
 
 
+# Tables of the job this thread works for; None outside of `scratch`.
+_job_tables: ContextVar[list[DataFrame] | None] = ContextVar("job_tables", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes at its end what `materialize` wrote within, also in steps run `side_by_side`.
+
+    For jobs whose results are stored elsewhere by then. If the job fails, the tables go as well.
+    """
+    token = _job_tables.set([])
+    try:
+        yield
+    finally:
+        tables = _job_tables.get()
+        _job_tables.reset(token)
+        discard(*tables)
+
+
+Result = TypeVar("Result")
+
+
+def side_by_side(
+    spark: SparkSession, label: str, steps: Sequence[Callable[[], Result]], at_once: int = 8
+) -> list[Result]:
+    """Results of steps that do not depend on each other, in order; `at_once` of them share the cluster.
+
+    Each step's Spark jobs form a job group of their own. If a step fails, steps not yet begun are
+    dropped, the groups of the running ones are cancelled, and its error is raised.
+    """
+    context, run = spark.sparkContext, uuid.uuid4().hex
+
+    def in_group(number: int) -> Result:
+        context.setJobGroup(f"{label}-{run}-{number}", f"{label} {number + 1} of {len(steps)}", interruptOnCancel=True)
+        return steps[number]()
+
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        # Each thread carries on this one's Spark properties and scratch tables.
+        begun = [pool.submit(copy_context().run, inheritable_thread_target(spark)(in_group), n) for n in range(len(steps))]
+        done, running = wait(begun, return_when=FIRST_EXCEPTION)
+        if any(step.exception() for step in done):
+            for number, step in enumerate(begun):
+                if not step.done() and not step.cancel():
+                    context.cancelJobGroup(f"{label}-{run}-{number}")
+            wait(running)
+            raise next(step.exception() for step in begun if not step.cancelled() and step in done and step.exception())
+    return [step.result() for step in begun]
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that `materialize` wrote, once all that was made from them is written itself."""
     for table in tables:
