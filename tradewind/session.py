@@ -118,12 +118,16 @@ def side_by_side(
         # Each thread carries on this one's Spark properties and scratch tables.
         begun = [pool.submit(copy_context().run, inheritable_thread_target(spark)(in_group), n) for n in range(len(steps))]
         done, running = wait(begun, return_when=FIRST_EXCEPTION)
-        if any(step.exception() for step in done):
-            for number, step in enumerate(begun):
-                if not step.done() and not step.cancel():
-                    context.cancelJobGroup(f"{label}-{run}-{number}")
-            wait(running)
-            raise next(step.exception() for step in begun if not step.cancelled() and step in done and step.exception())
+        failed = next((step for step in begun if step in done and step.exception()), None)
+        if failed is not None:
+            for step in begun:
+                step.cancel()
+            while running:  # a step may be about to start its next job
+                for number, step in enumerate(begun):
+                    if not step.done():
+                        context.cancelJobGroup(f"{label}-{run}-{number}")
+                _, running = wait(running, timeout=0.2)
+            raise failed.exception()
     return [step.result() for step in begun]
 
 
