@@ -182,3 +182,77 @@ def test_replace_groups_drops_rows_that_have_no_successor(spark, tmp_path):
     groups = spark.createDataFrame([(1,), (None,)], "k int")
     lake.replace_groups("x", "t", groups, spark.createDataFrame([(1, 1, 9)], schema), ["p"])
     assert sorted(tuple(r) for r in lake.read("x", "t").select("k", "p", "v").collect()) == [(1, 1, 9), (2, 1, 1), (3, 2, 1)]
+
+
+def bucket_files(lake, table="t"):
+    """Files by bucket of a stored table."""
+    fs, path = lake._fs(lake.location("silver", table))
+    folders = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("key_bucket=")]
+    return {f.getName(): sorted(s.getPath().getName() for s in fs.listStatus(f)) for f in folders}
+
+
+def test_one_changed_row_rewrites_one_bucket(spark, lake):
+    lake.merge("silver", "t", spark.range(400).selectExpr("cast(id as string) k", "1 v"), ["k"], bucket_by=["k"])
+    assert lake.read("silver", "t").columns == ["k", "v"]
+    before = bucket_files(lake)
+    assert len(before) == lake.key_buckets == 16
+    got = lake.merge("silver", "t", frame(spark, [("7", 5)], "k string, v int"), ["k"])
+    after = bucket_files(lake)
+    assert sum(before[b] != after[b] for b in before) == 1 and lake._versions("silver", "t") == [1]
+    assert lake.row_counts["silver.t"] < 60  # the rows of that bucket
+    assert got.count() == 400 and rows(got.filter("v != 1")) == [("7", 5)]
+    assert rows(lake.read("silver", "t").filter("k = '7'")) == [("7", 5)]
+
+
+def test_merge_into_buckets_reads_only_those(spark, lake):
+    lake.replace("silver", "t", spark.range(100).selectExpr("id k", "1 v"), bucket_by=["k"])
+    groups = spark.range(3, 4).toDF("k")
+    plan = lake.read_groups("silver", "t", groups)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(key_bucket" in plan or "PartitionFilters: [(key_bucket" in plan, plan
+    assert rows(lake.read_groups("silver", "t", groups)) == [(3, 1)]
+
+
+def test_bucketed_merge_appends_unseen_rows(spark, lake):
+    lake.merge("silver", "t", frame(spark, [(1, "a"), (None, "n")]), ["k"], null_safe=True, bucket_by=["k"])
+    before = bucket_files(lake)
+    lake.merge("silver", "t", frame(spark, [(2, "b")]), ["k"], null_safe=True)
+    after = bucket_files(lake)
+    assert all(set(before[b]) <= set(after[b]) for b in before)
+    got = lake.merge("silver", "t", frame(spark, [(None, "N"), (1, "A")]), ["k"], null_safe=True)
+    assert rows(got) == sorted([(1, "A"), (2, "b"), (None, "N")], key=repr)
+
+
+def test_bucketed_merge_of_some_columns_and_of_other_columns(spark, lake):
+    lake.merge("silver", "t", frame(spark, [(1, "a"), (2, "b")]), ["k"], bucket_by=["k"])
+    got = lake.merge("silver", "t", frame(spark, [(2, "B", 1.5), (3, "C", 2.5)], "k int, v string, w double"), ["k"])
+    assert rows(got.select("k", "v", "w")) == [(1, "a", None), (2, "B", 1.5), (3, "C", 2.5)]
+    # A wider key type deals every row anew.
+    wide = frame(spark, [(1 << 40, "big", 0.0), (1, "one", 0.0)], "k long, v string, w double")
+    got = lake.merge("silver", "t", wide, ["k"])
+    assert rows(got.select("k", "v")) == sorted([(1, "one"), (2, "B"), (3, "C"), (1 << 40, "big")], key=repr)
+    got = lake.merge("silver", "t", frame(spark, [(3, "x", 9.0)], "k long, v string, w double"), ["k"], update_cols=["w"])
+    assert rows(got.filter("k = 3").select("k", "v", "w")) == [(3, "C", 9.0)]
+    assert len(bucket_files(lake)) > 1
+
+
+def test_replace_groups_in_buckets(spark, lake):
+    lake.replace("silver", "t", spark.range(200).selectExpr("cast(id as int) k", "cast(id % 2 as int) v"), bucket_by=["k"])
+    before = bucket_files(lake)
+    fresh = frame(spark, [(4, 9), (4, 10)], "k int, v int")
+    got = lake.replace_groups("silver", "t", frame(spark, [(4,), (5,)], "k int"), fresh)
+    after = bucket_files(lake)
+    assert 1 <= sum(before[b] != after[b] for b in before) <= 2
+    assert rows(got.filter("k in (4, 5)")) == [(4, 10), (4, 9)] and got.count() == 200
+    # Groups that do not name the key reach every bucket.
+    got = lake.replace_groups("silver", "t", frame(spark, [(1,)], "v int"), frame(spark, [], "k int, v int"))
+    assert got.filter("v = 1").count() == 0 and got.count() == 101
+
+
+def test_nothing_is_inserted_twice_without_a_whole_key(spark, lake):
+    schema = "a int, b int, v string"
+    first = [(1, None, "x"), (1, None, "x"), (None, None, "y"), (1, 2, "z")]
+    lake.insert_new("bronze", "t", frame(spark, first, schema), ["a", "b"])
+    lake.insert_new("bronze", "t", frame(spark, first, schema), ["a", "b"])
+    assert rows(lake.read("bronze", "t")) == sorted(first, key=repr)
+    lake.insert_new("bronze", "t", frame(spark, [(1, None, "new"), (1, 2, "known")], schema), ["a", "b"])
+    assert rows(lake.read("bronze", "t")) == sorted([*first, (1, None, "new")], key=repr)

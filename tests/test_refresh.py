@@ -1,12 +1,15 @@
 """The whole refresh from CSV files, run again as more data arrives."""
 
 import csv
+from pathlib import Path
 
 import pytest
 
+from tests.compare import plan
 from tradewind.operators import CheckFailed
 from tradewind.plans import refresh
 from tradewind.schemas import MART_KEYS, RAW_TABLES
+from tradewind.session import shared_dir
 from tradewind.sources import Lakehouse
 
 HEADERS = {
@@ -65,6 +68,7 @@ def later():
     data["products"] += [("p2", "casa", "1", "1", "1", "1", "1", "1", "1")]
     data["order_payments"] += [("o4", "1", "boleto", "1", "11.0"), ("o5", "1", "card", "2", "21.0")]
     data["order_reviews"] += [review(i) for i in (2, 4, 5)]
+    data["geolocation"] += [("1", "-12", "-52", "x", "SP")]
     return data
 
 
@@ -147,15 +151,111 @@ def test_late_rows_of_any_age_reach_all_marts(spark, tmp_path):
             assert contents(step, "mart", table) == contents(rebuilt, "mart", table), table
 
 
-def test_marts_finish_a_run_that_died(spark, tmp_path, monkeypatch):
-    step, whole = (Lakehouse(spark, f"file:{tmp_path}/{name}") for name in ("step", "whole"))
-    refresh.refresh(spark, write(tmp_path / "raw", base()), step.root, with_themes=False)
+# Where a run dies: a function of a module.
+DEATHS = [
+    (refresh, "refine"),
+    (refresh, "build_gold"),
+    (refresh.silver, "places"),
+    (refresh.gold, "dim_products"),
+    (refresh.marts, "agg_category_sales"),
+    (refresh.marts, "agg_seller_performance"),
+    (refresh, "update_themes"),
+]
+STORED = [("silver", name) for name in (*refresh.CLEANERS, "geolocation_points")]
+STORED += [("gold", name) for name in GOLD] + [("mart", name) for name in MART_KEYS]
+
+
+@pytest.fixture(scope="module")
+def expected(spark, tmp_path_factory):
+    """All tables of one refresh over everything."""
+    folder = tmp_path_factory.mktemp("whole")
+    lake = Lakehouse(spark, f"file:{folder}/lake")
+    refresh.refresh(spark, write(folder / "raw", last()), lake.root, with_themes=False)
+    return {table: contents(lake, *table) for table in STORED}
+
+
+@pytest.mark.parametrize("module, name", DEATHS, ids=lambda x: getattr(x, "__name__", str(x)))
+def test_a_run_that_died_is_finished_by_the_next(spark, tmp_path, monkeypatch, expected, module, name):
+    lake = Lakehouse(spark, f"file:{tmp_path}/lake")
+    refresh.refresh(spark, write(tmp_path / "raw", base()), lake.root, with_themes=False)
+    raw_dir = write(tmp_path / "raw", last())
     with monkeypatch.context() as patched:
-        patched.setattr(refresh.marts, "agg_daily_sales", lambda *a: 1 / 0)
+        patched.setattr(module, name, lambda *a, **k: 1 / 0)
         with pytest.raises(ZeroDivisionError):
-            refresh.refresh(spark, write(tmp_path / "raw", later()), step.root, with_themes=False)
-    refresh.refresh(spark, write(tmp_path / "raw", later()), step.root, with_themes=False)
-    refresh.refresh(spark, write(tmp_path / "raw2", later()), whole.root, with_themes=False)
+            refresh.refresh(spark, raw_dir, lake.root, restarts=1, candidates=[3])
+    refresh.refresh(spark, raw_dir, lake.root, with_themes=False)
+    for table in STORED:
+        assert contents(lake, *table) == expected[table], table
+
+
+def test_nothing_is_left_behind(spark, tmp_path):
+    def left():
+        folder = Path(shared_dir(spark).removeprefix("file:")) / "tradewind"
+        return {p.name for p in folder.iterdir()} if folder.exists() else set()
+
+    lake, before = Lakehouse(spark, f"file:{tmp_path}/lake"), left()
+    for data in (base(), later(), last()):
+        refresh.refresh(spark, write(tmp_path / "raw", data), lake.root, restarts=1, candidates=[3])
+    assert left() == before
+
+
+def test_new_points_are_taken_in_without_reading_the_others(spark, tmp_path, monkeypatch):
+    step, whole = (Lakehouse(spark, f"file:{tmp_path}/{name}") for name in ("step", "whole"))
+    points = [(str(z), str(-10 - i), "-50", city, "SP") for z in range(20) for i, city in enumerate(("x", "y", "y"))]
+    data = base() | {"geolocation": points}
+    refresh.refresh(spark, write(tmp_path / "raw", data), step.root, with_themes=False)
+    read = []
+    groups = Lakehouse.read_groups
+
+    def noted(lake, layer, table, rows):
+        found = groups(lake, layer, table, rows)
+        read.append((table, found.count(), plan(found)))
+        return found
+
+    # A place gets a point, another one a copy under a padded code, a third is new.
+    data["geolocation"] = points + [("3", "-20", "-50", "y", "SP"), ("00004", "-10", "-50", "x", "SP"), ("99", "-1", "-50", "z", "SP")]
+    refresh.ingest(step, write(tmp_path / "raw", data))
+    monkeypatch.setattr(Lakehouse, "read_groups", noted)
+    monkeypatch.setattr(Lakehouse, "read", forbid(Lakehouse.read, ("bronze", "geolocation")))
+    refresh.refine(step)
+    assert [(table, n) for table, n, _ in read] == [("geolocation_points", 6)]
+    assert "PartitionFilters: [" in read[0][2] and "key_bucket" in read[0][2]
+    assert step.row_counts["silver.geolocation"] < 42
+    monkeypatch.undo()
+    refresh.refresh(spark, write(tmp_path / "raw2", data), whole.root, with_themes=False)
+    assert contents(step, "silver", "geolocation") == contents(whole, "silver", "geolocation")
+    assert len(contents(step, "silver", "geolocation")) == 41
+
+
+def forbid(read, table):
+    def checked(lake, *asked):
+        assert asked != table
+        return read(lake, *asked)
+
+    return checked
+
+
+def test_products_of_other_months_are_not_read(spark, tmp_path):
+    lake = Lakehouse(spark, f"file:{tmp_path}/lake")
+    refresh.refresh(spark, write(tmp_path / "raw", later()), lake.root, with_themes=False)
+    months = spark.createDataFrame([(2018, 2)], "order_year int, order_month int").collect()
+    found = refresh.products_of_months(lake, months)
+    assert [r["order_id"] for r in found.collect()] == ["o5"]
+    filters = plan(found).split("PartitionFilters: ")[1].split("]")[0]
+    assert "order_year" in filters and "order_month" in filters
+
+
+def test_an_order_that_comes_after_its_items(spark, tmp_path):
+    """Its products wait without a month and move to it, and the rest stays where it is."""
+    step, whole = (Lakehouse(spark, f"file:{tmp_path}/{name}") for name in ("step", "whole"))
+    data = later()
+    orders, data["orders"] = data["orders"], data["orders"][:-2]
+    refresh.refresh(spark, write(tmp_path / "raw", data), step.root, with_themes=False)
+    data["orders"] = orders
+    refresh.refresh(spark, write(tmp_path / "raw", data), step.root, with_themes=False)
+    refresh.refresh(spark, write(tmp_path / "raw2", data), whole.root, with_themes=False)
+    for table in GOLD:
+        assert contents(step, "gold", table) == contents(whole, "gold", table), table
     for table in MART_KEYS:
         assert contents(step, "mart", table) == contents(whole, "mart", table), table
 
@@ -200,6 +300,10 @@ def test_themes_are_stored_and_then_skipped(spark, tmp_path):
     raw_dir = write(tmp_path / "raw", data)
     report = refresh.refresh(spark, raw_dir, lake.root, restarts=1)
     assert report.themes.k == 3
+    assert report.backlog_before == {"total": 4, "processed": 0, "unprocessed": 4}
+    assert report.backlog_after == {"total": 4, "processed": 4, "unprocessed": 0}
+    assert {r["review_id"] for r in report.themes.samples.collect()} == {"r1", "r2", "r4", "r5"}
     assert {r["review_id"] for r in lake.read("mart", "review_clusters").collect()} == {"r1", "r2", "r4", "r5"}
-    assert refresh.refresh(spark, raw_dir, lake.root, restarts=1).themes is None
+    again = refresh.refresh(spark, raw_dir, lake.root, restarts=1)
+    assert again.themes is None and again.backlog_before == again.backlog_after == report.backlog_after
     assert spark.table("review_clusters").count() == 4

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tradewind.functions import blank_to_null, parse, tidy_lower, tidy_upper, zip_prefix
 from tradewind.operators import first_per_key
-from tradewind.schemas import RAW_TABLES
+from tradewind.schemas import RAW_TABLES, SILVER_KEYS
 
 # Valid ranges.
 SCORE_RANGE = (1, 5)
@@ -24,6 +24,9 @@ LATITUDE_RANGE = (-35.0, 5.5)
 LONGITUDE_RANGE = (-74.0, -34.0)
 UNKNOWN_CATEGORY = "unknown"
 
+POINT_KEYS = RAW_TABLES["geolocation"].keys
+_LAT, _LNG = "geolocation_lat", "geolocation_lng"
+
 
 @dataclass(frozen=True)
 class CleaningRules:
@@ -136,24 +139,29 @@ def clean_order_reviews(raw: DataFrame) -> DataFrame:
     return clean(raw, RAW_TABLES["order_reviews"].keys, rules)
 
 
-def clean_geolocation(raw: DataFrame) -> DataFrame:
-    """One approximate median point per zip prefix, city and state.
-
-    Points are de-duplicated first; the median is a mergeable sketch, so a place holding a
-    third of all points still combines on the map side.
-    """
-    lat, lng = "geolocation_lat", "geolocation_lng"
+def geolocation_points(raw: DataFrame) -> DataFrame:
+    """Valid points, one row per zip prefix and position."""
     zip_code = "geolocation_zip_code_prefix"
     rules = CleaningRules(
         required=(zip_code,),
-        types=_types("double", lat, lng),
+        types=_types("double", _LAT, _LNG),
         rewrites={zip_code: zip_prefix(zip_code)},
-        valid=(F.col(lat).between(*LATITUDE_RANGE), F.col(lng).between(*LONGITUDE_RANGE)),
-    )
-    points = clean(raw, RAW_TABLES["geolocation"].keys, rules)
-    return points.groupBy(zip_code, "geolocation_city", "geolocation_state").agg(
-        *(F.percentile_approx(c, 0.5).alias(c) for c in (lat, lng))
+        valid=(F.col(_LAT).between(*LATITUDE_RANGE), F.col(_LNG).between(*LONGITUDE_RANGE)),
     )
+    return clean(raw, POINT_KEYS, rules)
+
+
+def places(points: DataFrame) -> DataFrame:
+    """One approximate median point per zip prefix, city and state.
+
+    The median is a mergeable sketch, so a place holding a third of all points still combines
+    on the map side.
+    """
+    return points.groupBy(*SILVER_KEYS["geolocation"]).agg(*(F.percentile_approx(c, 0.5).alias(c) for c in (_LAT, _LNG)))
+
+
+def clean_geolocation(raw: DataFrame) -> DataFrame:
+    return places(geolocation_points(raw))
 
 
 def clean_category_translation(raw: DataFrame) -> DataFrame:

@@ -4,6 +4,10 @@ Every full write goes to a new numbered folder below the table, and the table's
 next to the data once all of it is there. Readers take the newest folder with a schema, so a
 job can rewrite the table it reads from, a job that dies half-way leaves the old table in
 place, and no read has to open files to find out the columns.
+
+Tables without a natural partition can be dealt into buckets by a hash of their key. The bucket is a
+partition column readers do not see; a merge reads and rewrites only the buckets its rows fall
+into. The number of buckets is fixed when a version is written and kept in its schema.
 """
 
 from __future__ import annotations
@@ -16,9 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradewind.operators.upsert import matching, require_unique, unseen, upsert
-from tradewind.session import materialize
+from tradewind.session import discard, materialize
 
 _BATCH = "ingest_batch"
+_BUCKET = "key_bucket"
+KEY_BUCKETS = 16
 _SCHEMA = "_schema.json"
 
 
@@ -62,10 +68,24 @@ def in_partitions(partitions: Sequence[Row]) -> Column:
     return inside
 
 
+def _agree(groups: DataFrame) -> Column:
+    match = F.lit(True)
+    for name in groups.columns:
+        match = match & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
+    return match
+
+
+def _dealt(df: DataFrame, keys: Sequence[str], number: int) -> DataFrame:
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(number)).cast("int")
+    return df.withColumn(_BUCKET, bucket).withMetadata(_BUCKET, {"keys": list(keys), "buckets": number})
+
+
 class Lakehouse:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, key_buckets: int = KEY_BUCKETS):
+        """`key_buckets`: into how many buckets tables are dealt that are written with `bucket_by`."""
         self.spark = spark
         self.root = root.rstrip("/")
+        self.key_buckets = key_buckets
         self.row_counts: dict[str, int] = {}
 
     # -- paths ---------------------------------------------------------------------------
@@ -104,12 +124,27 @@ class Lakehouse:
         return bool(self._versions(layer, table))
 
     def read(self, layer: str, table: str) -> DataFrame:
-        return self._scan(layer, table).drop(_BATCH)
+        return self._scan(layer, table).drop(_BATCH, _BUCKET)
+
+    def read_groups(self, layer: str, table: str, groups: DataFrame) -> DataFrame:
+        """Rows that agree with a row of `groups`; NULLs are equal. Of a bucketed table only their buckets are read."""
+        existing = self._scan(layer, table)
+        numbers = self._buckets_of(layer, table, existing, groups)
+        if numbers is not None:
+            existing = existing.filter(F.col(_BUCKET).isin(numbers))
+        return existing.drop(_BUCKET).alias("l").join(groups.distinct().alias("r"), _agree(groups), "left_semi")
 
     def _scan(self, layer: str, table: str) -> DataFrame:
         location = self.location(layer, table)
         return self.spark.read.schema(self._load_schema(location)).parquet(location)
 
+    def _bucketing(self, layer: str, table: str) -> tuple[list[str], int] | None:
+        """Key and number of a table's buckets. Spark drops a partition column's metadata, the stored schema keeps it."""
+        fields = {f.name: f for f in self._load_schema(self.location(layer, table))}
+        if _BUCKET not in fields:
+            return None
+        return fields[_BUCKET].metadata["keys"], fields[_BUCKET].metadata["buckets"]
+
     def _load_schema(self, location: str) -> T.StructType:
         fs, path = self._fs(f"{location}/{_SCHEMA}")
         stream = fs.open(path)
@@ -132,7 +167,7 @@ class Lakehouse:
 
     def read_since(self, layer: str, table: str, batch: int) -> DataFrame:
         """Rows of all batches after `batch`, with their batch number; others are pruned as partitions."""
-        return self._scan(layer, table).filter(F.col(_BATCH) > batch)
+        return self._scan(layer, table).filter(F.col(_BATCH) > batch).drop(_BUCKET)
 
     def last_batch(self, layer: str, table: str) -> int:
         """Newest batch whose rows, carried over by `read_since`, a derived table holds; 0 if none."""
@@ -156,11 +191,23 @@ class Lakehouse:
         """One pass over `df`: the row count is observed while writing."""
         seen = Observation()
         counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+        if _BUCKET in partition_by:
+            counted = counted.hint("rebalance", _BUCKET)  # a few files per bucket, not one per task
         counted.write.mode(mode).options(**options).partitionBy(*partition_by).parquet(path)
         return seen.get["rows"]
 
-    def replace(self, layer: str, table: str, df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    def replace(
+        self,
+        layer: str,
+        table: str,
+        df: DataFrame,
+        partition_by: Sequence[str] = (),
+        bucket_by: Sequence[str] = (),
+    ) -> DataFrame:
         """Write the whole table as a new version; the one before it stays for running readers."""
+        if bucket_by:
+            df = _dealt(df, bucket_by, self.key_buckets)
+            partition_by = [*partition_by, _BUCKET]
         versions = self._versions(layer, table)
         number = (versions[-1] if versions else 0) + 1
         path = self._version_path(layer, table, number)
@@ -191,9 +238,20 @@ class Lakehouse:
         return [int(n.split("=", 1)[1]) for n in names if n.startswith(f"{_BATCH}=")]
 
     def insert_new(self, layer: str, table: str, incoming: DataFrame, keys: Sequence[str]) -> int:
-        """Insert-only merge as a pure append; returns the batch that holds the added rows."""
+        """Insert-only merge as a pure append; returns the batch that holds the added rows.
+
+        A key with a NULL names no row, so such rows are new unless the table holds an equal one.
+        """
         if self.exists(layer, table):
-            incoming = unseen(self.read(layer, table), incoming, keys)
+            existing = self.read(layer, table)
+            nameless = F.lit(False)
+            for key in keys:
+                nameless = nameless | F.col(key).isNull()
+            shared = [c for c in incoming.columns if c in existing.columns]
+            named = unseen(existing, incoming.filter(~nameless), keys)
+            incoming = named.unionByName(
+                unseen(existing.filter(nameless), incoming.filter(nameless), shared, null_safe=True)
+            )
         return self.append(layer, table, incoming)
 
     def merge(
@@ -206,38 +264,63 @@ class Lakehouse:
         null_safe: bool = False,
         partition_by: Sequence[str] = (),
         unique: bool = False,
+        bucket_by: Sequence[str] = (),
     ) -> DataFrame:
-        """Upsert `incoming`, creating the table when absent.
+        """Upsert `incoming`, creating the table when absent (with `bucket_by`, some of `keys`, in buckets).
 
         `unique=True` states that `incoming` is grouped or de-duplicated by the key already, or
         that its rows replace whole groups of rows with the same key.
 
-        If no key matches, the rows are appended. Otherwise, with `partition_by`, the partitions
-        `incoming` has rows of are rewritten; without it the table is written as a new
-        version. Each is a single commit.
+        If no key matches, the rows are appended. Otherwise, with `partition_by` or buckets, the
+        partitions or buckets `incoming` has rows of are rewritten; without either the table is
+        written as a new version. Each is a single commit.
         """
         if not unique:
             require_unique(incoming, keys)
         if not self.exists(layer, table):
-            return self.replace(layer, table, incoming, partition_by)
+            return self.replace(layer, table, incoming, partition_by, bucket_by)
         # Read several times below, and possibly computed from the table itself.
         incoming = materialize(incoming, table)
-        if incoming.isEmpty():
-            return self.read(layer, table)
-        existing, written = self._scan(layer, table), None
-        if _fits(incoming, existing):
-            if partition_by:
-                written = self._merge_partitions(
-                    layer, table, existing, incoming, keys, update_cols, null_safe, partition_by
-                )
-            elif matching(existing, incoming, keys, null_safe).isEmpty():
-                written = self._add(layer, table, incoming)
-        if written is None:
-            merged = upsert(existing, incoming, keys, update_cols, null_safe)
-            return self.replace(layer, table, merged, partition_by)
-        self.row_counts[f"{layer}.{table}"] = written
+        if not incoming.isEmpty():
+            existing, written = self._scan(layer, table), None
+            if _fits(incoming, existing):
+                if partition_by:
+                    written = self._merge_partitions(
+                        layer, table, existing, incoming, keys, update_cols, null_safe, partition_by
+                    )
+                elif _BUCKET in existing.columns:
+                    written = self._merge_buckets(layer, table, existing, incoming, keys, update_cols, null_safe)
+                elif matching(existing, incoming, keys, null_safe).isEmpty():
+                    written = self._add(layer, table, incoming)
+            if written is None:
+                bucketing = self._bucketing(layer, table)
+                bucket_by = bucketing[0] if bucketing else bucket_by
+                merged = upsert(existing.drop(_BUCKET), incoming, keys, update_cols, null_safe)
+                self.replace(layer, table, merged, partition_by, bucket_by)
+            else:
+                self.row_counts[f"{layer}.{table}"] = written
+        discard(incoming)
         return self.read(layer, table)
 
+    def _merge_buckets(self, layer, table, existing, incoming, keys, update_cols, null_safe) -> int:
+        """Rewrite the buckets `incoming` has rows of, or append where no key matches; how many rows were written."""
+        dealt = _dealt(incoming, *self._bucketing(layer, table))
+        # At most one number per bucket reaches the driver; as literals they prune the scans.
+        numbers = [row[0] for row in dealt.select(_BUCKET).distinct().collect()]
+        inside = existing.filter(F.col(_BUCKET).isin(numbers))
+        if matching(inside, dealt, keys, null_safe).isEmpty():
+            return self._add(layer, table, dealt, [_BUCKET])
+        return self._swap(layer, table, upsert(inside, dealt, keys, update_cols, null_safe), [_BUCKET])
+
+    def _buckets_of(self, layer: str, table: str, existing: DataFrame, groups: DataFrame) -> list[int] | None:
+        """Numbers of the buckets that can hold rows of `groups`; None if groups do not name whole keys."""
+        bucketing = self._bucketing(layer, table)
+        if bucketing is None or not set(bucketing[0]) <= set(groups.columns):
+            return None
+        # Hashes depend on the type.
+        typed = groups.select(*(F.col(k).cast(existing.schema[k].dataType).alias(k) for k in bucketing[0]))
+        return [row[0] for row in _dealt(typed, *bucketing).select(_BUCKET).distinct().collect()]
+
     def _add(self, layer: str, table: str, df: DataFrame, partition_by: Sequence[str] = ()) -> int:
         """Add rows without touching any file; how many they are."""
         location = self.location(layer, table)
@@ -284,28 +367,42 @@ class Lakehouse:
     ) -> DataFrame:
         """Put `fresh` in place of the rows that agree with a row of `groups`; NULLs are equal.
 
-        With `partition_by` only partitions with such rows, old or fresh, are rewritten, in one
-        commit; a partition left without rows makes the table be written as a new version.
+        With `partition_by`, or in buckets of columns that `groups` has, only partitions or buckets
+        with such rows, old or fresh, are rewritten, in one commit; a partition left without
+        rows makes the table be written as a new version.
         """
-        existing = self._scan(layer, table)
-        fresh, groups = materialize(fresh, table), groups.distinct()
-        match = F.lit(True)
-        for name in groups.columns:
-            match = match & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
+        existing, bucketing = self._scan(layer, table), self._bucketing(layer, table)
+        fresh = materialize(_dealt(fresh, *bucketing) if bucketing else fresh, table)
+        groups, match = materialize(groups.distinct(), "groups"), _agree(groups)
 
         def kept(rows: DataFrame, how: str) -> DataFrame:
             return rows.alias("l").join(groups.alias("r"), match, how)
 
-        if partition_by and _fits(fresh, existing):
+        def written() -> int | None:
+            if not _fits(fresh, existing):
+                return None
+            columns, inside = list(partition_by), existing
+            numbers = self._buckets_of(layer, table, existing, groups)
+            if not columns and numbers is not None:
+                columns, inside = [_BUCKET], existing.filter(F.col(_BUCKET).isin(numbers))
+            if not columns:
+                return None
             # One row per partition reaches the driver.
-            gone = kept(existing, "left_semi").select(*partition_by)
-            partitions = gone.unionByName(fresh.select(*partition_by)).distinct().collect()
+            gone = kept(inside, "left_semi").select(*columns)
+            partitions = gone.unionByName(fresh.select(*columns)).distinct().collect()
             if not partitions:
-                return self.read(layer, table)
+                return 0
             inside = existing.filter(in_partitions(partitions))
             rows = kept(inside, "left_anti").unionByName(fresh, allowMissingColumns=True)
-            if rows.select(*partition_by).distinct().count() == len(partitions):
-                self.row_counts[f"{layer}.{table}"] = self._swap(layer, table, rows, partition_by)
-                return self.read(layer, table)
-        rows = kept(existing, "left_anti").unionByName(fresh, allowMissingColumns=True)
-        return self.replace(layer, table, rows, partition_by)
+            if rows.select(*columns).distinct().count() < len(partitions):
+                return None
+            return self._swap(layer, table, rows, columns)
+
+        count = written()
+        if count is None:
+            rows = kept(existing, "left_anti").unionByName(fresh, allowMissingColumns=True).drop(_BUCKET)
+            self.replace(layer, table, rows, partition_by, bucketing[0] if bucketing else ())
+        elif count:
+            self.row_counts[f"{layer}.{table}"] = count
+        discard(fresh, groups)
+        return self.read(layer, table)
