@@ -219,3 +219,13 @@ def test_segment_theme_matrix_fills_gaps(spark):
     counts = spark.createDataFrame([("Loyal", "x", 2), ("Others", "y", 3)], "rfm_segment string, cluster_label string, cnt bigint")
     got = {r["rfm_segment"]: (r["x"], r["y"]) for r in dashboard.segment_theme_matrix(counts).collect()}
     assert got == {"Loyal": (2, 0), "Others": (0, 3)}
+
+
+def test_theme_labels_are_those_of_a_batch(spark):
+    rows = [("b1", "old"), ("b2", "y"), ("b2", "x"), ("b2", "x"), ("b2", None), (None, "z")]
+    clusters = spark.createDataFrame(rows, "batch_id string, cluster_label string")
+    assert dashboard.theme_labels(clusters, "b2") == ["x", "y"]
+    assert dashboard.theme_labels(clusters) == ["old", "x", "y", "z"]
+    many = spark.range(dashboard.MOST_LABELS + 1).selectExpr("cast(id as string) cluster_label")
+    with pytest.raises(ValueError, match="name a batch"):
+        dashboard.theme_labels(many)

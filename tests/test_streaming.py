@@ -47,3 +47,16 @@ def test_copies_within_the_delay_are_dropped_in_the_stream(spark, tmp_path, arri
     arrivals("a.csv", "1,a,2018-01-01 00:00:00", "1,a again,2018-01-01 00:00:05", "2,b,2018-01-01 00:00:06")
     lake = run(spark, tmp_path, event_time="seen", max_delay="1 hour")
     assert sorted(r["id"] for r in lake.read("bronze", "reviews").collect()) == ["1", "2"]
+
+
+def test_a_row_later_than_the_watermark_is_dropped_and_one_within_comes_in(spark, tmp_path, arrivals):
+    arrivals("a.csv", "1,a,2018-01-10 00:00:00", "1,a,2018-01-10 00:00:00")
+    run(spark, tmp_path, event_time="seen", max_delay="2 days")
+    arrivals("b.csv", "2,within,2018-01-08 00:00:01", "3,too late,2018-01-08 00:00:00", "1,copy,2018-01-10 00:00:00", "4,new,2018-01-11 00:00:00")
+    lake = run(spark, tmp_path, event_time="seen", max_delay="2 days")
+    assert held(lake) == [("1", "a"), ("2", "within"), ("4", "new")]
+    # Without an event time no row is too late: the key decides alone.
+    late = Lakehouse(spark, f"file:{tmp_path}/all")
+    stream = open_csv_stream(spark, f"file:{tmp_path}/in", COLUMNS, files_per_batch=1)
+    ingest_stream(stream, late, "reviews", ["id"], f"file:{tmp_path}/all-checkpoint").awaitTermination()
+    assert {i for i, _ in held(late)} == {"1", "2", "3", "4"}

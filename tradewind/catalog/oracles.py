@@ -311,20 +311,20 @@ _SHARED: dict[str, str] = {
 }
 
 
-def _with_shared(text: str) -> str:
+def _with_shared(text: str, shared: dict[str, str] = _SHARED) -> str:
     """Put the shared sub-results `text` needs, and those they need, in front of it."""
     needed: list[str] = []
 
     def visit(body: str) -> None:
-        for name in _SHARED:
+        for name in shared:
             if name not in needed and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", body):
-                visit(_SHARED[name])
+                visit(shared[name])
                 needed.append(name)
 
     visit(text)
     if not needed:
         return text
-    return "WITH " + ",\n".join(f"{name} AS ({_SHARED[name]})" for name in needed) + "\n" + text
+    return "WITH " + ",\n".join(f"{name} AS ({shared[name]})" for name in needed) + "\n" + text
 
 
 def _money(table: str, *columns: str) -> str:
@@ -334,6 +334,8 @@ def _money(table: str, *columns: str) -> str:
 
 _FACT_MONEY = ("total_payment_value", "total_item_price", "total_freight_value")
 
+_NEW_LABEL = "CASE WHEN CAST(review_id AS BIGINT) % 17 = 3 THEN 'theme 10' ELSE cluster_label END"
+
 _K_CHOICE = """SELECT CAST(unnest(range(3, 16)) AS INTEGER) AS k, true AS in_range, true AS chosen_is_best,
     true AS no_higher FROM (SELECT count(*) FROM embeddings)"""
 
@@ -344,6 +346,8 @@ _TEXTS: dict[str, str] = {
         FROM raw_order_reviews""",
     "s2_layer_scan": "SELECT * FROM silver_order_items",
     "s3_variant_scan": _money("stg_fact_orders", *_FACT_MONEY),
+    "s3_variant_products": _money("stg_dim_products", "price", "freight_value"),
+    "s3_variant_reviews": "SELECT * FROM stg_reviews",
     "s4_initial_load": """SELECT order_status, count(*) AS orders, (SELECT count(*) FROM raw_orders) AS written
         FROM raw_orders GROUP BY 1""",
     "s5_exists_branch": """SELECT order_id, order_status, order_purchase_timestamp FROM orders_delivery_file
@@ -361,6 +365,8 @@ _TEXTS: dict[str, str] = {
         SELECT * FROM orders_delivery_file WHERE order_id NOT IN (SELECT order_id FROM orders_before)""",
     "m2_upsert": """SELECT * FROM orders_delivery_file UNION ALL
         SELECT * FROM orders_before WHERE order_id NOT IN (SELECT order_id FROM orders_delivery_file)""",
+    "m2_bucketed_merge": """SELECT * FROM orders_delivery_file UNION ALL
+        SELECT * FROM orders_before WHERE order_id NOT IN (SELECT order_id FROM orders_delivery_file)""",
     "m3_partial_upsert": """SELECT coalesce(e.order_id, i.order_id) AS order_id,
         CASE WHEN e.order_id IS NULL THEN i.customer_id ELSE e.customer_id END AS customer_id,
         CASE WHEN i.order_id IS NULL THEN e.order_status ELSE i.order_status END AS order_status
@@ -383,6 +389,7 @@ _TEXTS: dict[str, str] = {
     "c6_clean_order_payments": "SELECT * FROM silver_order_payments",
     "c7_clean_order_reviews": "SELECT * FROM silver_order_reviews",
     "c8_clean_geolocation": "SELECT * FROM silver_geolocation",
+    "c8_touched_places": "SELECT * FROM silver_geolocation",
     "c9_clean_category_translation": "SELECT * FROM silver_category_translation",
     # -- gold
     "g1_payments_per_order": _money("payments_per_order", "total_payment_value"),
@@ -451,9 +458,10 @@ _TEXTS: dict[str, str] = {
         FROM review_clusters AS c JOIN rfm ON c.order_id = rfm.order_id GROUP BY 1, 2""",
     "q8_segment_theme_matrix": "SELECT rfm_segment, "
     + ", ".join(
-        f"CAST(count(CASE WHEN cluster_label = 'theme {i}' THEN 1 END) AS BIGINT) AS \"theme {i}\"" for i in range(10)
+        f"CAST(count(CASE WHEN {_NEW_LABEL} = 'theme {i}' THEN 1 END) AS BIGINT) AS \"theme {i}\"" for i in range(11)
     )
-    + " FROM review_clusters AS c JOIN rfm ON c.order_id = rfm.order_id GROUP BY 1",
+    + """ FROM review_clusters AS c JOIN rfm ON c.order_id = rfm.order_id
+        WHERE CAST(review_id AS BIGINT) % 3 > 0 GROUP BY 1""",
     # -- relational building blocks
     "p1_keyed_dedupe": "SELECT * FROM silver_order_payments",
     "p2_null_row_drop": """SELECT product_id, product_category_name FROM raw_products
@@ -632,9 +640,69 @@ _TEXTS: dict[str, str] = {
         order_status FROM orders_before UNION ALL
         SELECT CAST(order_id AS VARCHAR), CAST(customer_id AS VARCHAR), order_status FROM orders_delivery_file
         WHERE order_id NOT IN (SELECT order_id FROM orders_before)""",
-    "r2_full_refresh": _money("agg_daily_sales", "revenue", "freight_revenue"),
+    "r1_stream_watermark": """SELECT CAST(order_id AS VARCHAR) AS order_id, CAST(customer_id AS VARCHAR) AS customer_id,
+        order_status, order_purchase_timestamp FROM orders_before WHERE order_id % 11 <> 0
+        UNION ALL SELECT CAST(order_id AS VARCHAR), CAST(customer_id AS VARCHAR), order_status, order_purchase_timestamp
+        FROM (SELECT * FROM orders_delivery_file UNION ALL SELECT * FROM orders_before WHERE order_id % 11 = 0
+                AND order_id NOT IN (SELECT order_id FROM orders_delivery_file)) AS second
+        WHERE order_id NOT IN (SELECT order_id FROM orders_before WHERE order_id % 11 <> 0)
+            AND order_purchase_timestamp > (SELECT max(order_purchase_timestamp) - to_days(90)
+                FROM orders_before WHERE order_id % 11 <> 0)""",
 }
 
+# In files every id is text, so copies of a key are told apart in the order of text.
+_AS_TEXT = {
+    "raw_orders": {"order_id", "customer_id"},
+    "raw_order_items": {"order_id", "order_item_id", "product_id", "seller_id"},
+    "raw_order_payments": {"order_id"},
+    "raw_customers": {"customer_id", "customer_unique_id"},
+    "raw_sellers": {"seller_id"},
+    "raw_products": {"product_id"},
+    "raw_order_reviews": {"review_id", "order_id"},
+}
+
+# What each stored table is summed by: where it stands in SQL, and the measure.
+_REFRESH_SUMS = {
+    "silver.orders": ("silver_orders", "datediff('day', DATE '1990-01-01', CAST(order_purchase_timestamp AS DATE))"),
+    "silver.order_items": ("silver_order_items", "price + freight_value"),
+    "silver.customers": ("silver_customers", "length(customer_city)"),
+    "silver.products": ("silver_products", "product_name_lenght"),
+    "silver.sellers": ("silver_sellers", "length(seller_city)"),
+    "silver.order_payments": ("silver_order_payments", "payment_value"),
+    "silver.order_reviews": ("silver_order_reviews", "review_score"),
+    "silver.geolocation": ("silver_geolocation", "geolocation_lat + geolocation_lng"),
+    "silver.geolocation_points": ("geolocation_points", "geolocation_lat + geolocation_lng"),
+    "silver.category_translation": ("silver_category_translation", "length(product_category_name_english)"),
+    "gold.fact_orders": ("fact_orders", "total_payment_value"),
+    "gold.review_texts": ("review_texts", "length(text)"),
+    "gold.dim_products": ("dim_products", "price"),
+    "mart.fct_orders": ("fct_orders", "product_revenue"),
+    "mart.dim_customers": ("(SELECT sum(total_payment_value) AS value FROM fct_orders GROUP BY customer_unique_id) AS d", "value"),
+    "mart.agg_daily_sales": ("agg_daily_sales", "revenue"),
+    "mart.agg_category_sales": ("agg_category_sales", "revenue"),
+    "mart.agg_seller_performance": (
+        "(SELECT sum(order_count) AS value FROM agg_category_sales GROUP BY category_en, product_category_name) AS p", "value"
+    ),
+    "mart.review_clusters": ("stg_reviews", "0"),
+}
+
+
+def _full_refresh(leaving_out: str = "") -> str:
+    parts = [
+        f"""SELECT '{table}' AS "table", count(*) AS rows, round(coalesce(CAST(sum({measure}) AS DOUBLE), 0), 2) AS total
+            FROM {source}"""
+        for table, (source, measure) in _REFRESH_SUMS.items()
+        if table != leaving_out
+    ]
+    shared = dict(_SHARED)
+    for name, ids in _AS_TEXT.items():
+        replaced = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in sorted(ids))
+        shared[name] = f"SELECT * REPLACE ({replaced}) FROM ({_SHARED[name]}) AS numbered"
+    return _with_shared(" UNION ALL ".join(parts), shared)
+
 
 def oracle_texts() -> dict[str, str]:
-    return {name: _with_shared(text) for name, text in _TEXTS.items()}
+    return {name: _with_shared(text) for name, text in _TEXTS.items()} | {
+        "r2_full_refresh": _full_refresh(),
+        "r2_two_deliveries": _full_refresh(leaving_out="mart.review_clusters"),
+    }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -117,6 +118,16 @@ def s3_variant_scan(t: Inputs) -> DataFrame:
     return money(project_variant(as_variant(t.fact_orders), STG_FACT_ORDERS), *FACT_MONEY)
 
 
+@_register
+def s3_variant_products(t: Inputs) -> DataFrame:
+    return money(staging.stg_dim_products(as_variant(t.dim_products), project_variant), "price", "freight_value")
+
+
+@_register
+def s3_variant_reviews(t: Inputs) -> DataFrame:
+    return staging.stg_reviews(as_variant(t.review_texts), project_variant)
+
+
 @_register
 def s4_initial_load(t: Inputs) -> DataFrame:
     lake = _new_lake(t, "s4")
@@ -189,6 +200,14 @@ def m2_upsert(t: Inputs) -> DataFrame:
     return ops.upsert(_orders_before(t), _orders_delivery(t), ["order_id"])
 
 
+@_register
+def m2_bucketed_merge(t: Inputs) -> DataFrame:
+    """The same upsert into a stored table without months: buckets of the key are rewritten."""
+    lake = _new_lake(t, "m2")
+    lake.merge("silver", "orders", _orders_before(t), ["order_id"], bucket_by=["order_id"])
+    return lake.merge("silver", "orders", _orders_delivery(t), ["order_id"])
+
+
 @_register
 def m3_partial_upsert(t: Inputs) -> DataFrame:
     columns = ["order_id", "customer_id", "order_status"]
@@ -259,6 +278,16 @@ def c8_clean_geolocation(t: Inputs) -> DataFrame:
     return t.silver("geolocation")
 
 
+@_register
+def c8_touched_places(t: Inputs) -> DataFrame:
+    """Points come in two deliveries; the second one's zip codes are worked out again, the others stay."""
+    lake, known = _new_lake(t, "c8"), F.col("geolocation_lat") % 3 != 0
+    for delivery in (t.raw_geolocation.filter(known), t.raw_geolocation.filter(~known)):
+        lake.insert_new("bronze", "geolocation", delivery, RAW_TABLES["geolocation"].keys)
+        refresh.refine_places(lake)
+    return lake.read("silver", "geolocation")
+
+
 @_register
 def c9_clean_category_translation(t: Inputs) -> DataFrame:
     return t.silver("category_translation")
@@ -499,7 +528,16 @@ def q7_segment_themes(t: Inputs) -> DataFrame:
 
 @_register
 def q8_segment_theme_matrix(t: Inputs) -> DataFrame:
-    return dashboard.segment_theme_matrix(q7_segment_themes(t), [f"theme {i}" for i in range(10)])
+    """The newest batch of themes, an eleventh among them; columns are the labels found."""
+    key = F.col("review_id").cast("bigint")
+    newest = key % 3 > 0
+    label = F.when(~newest, F.concat(F.lit("old "), F.col("cluster_label"))).when(key % 17 == 3, "theme 10")
+    clusters = t.clusters.withColumns(
+        {"cluster_label": F.coalesce(label, "cluster_label"), "batch_id": F.when(newest, "b2").otherwise("b1")}
+    )
+    labels = dashboard.theme_labels(clusters, "b2")
+    counts = dashboard.segment_themes(dashboard.rfm_segments(t.fct_orders), clusters.filter("batch_id = 'b2'"))
+    return dashboard.segment_theme_matrix(counts, labels)
 
 
 # -- relational building blocks ----------------------------------------------------------
@@ -1092,12 +1130,83 @@ def r1_stream_ingest(t: Inputs) -> DataFrame:
     return lake.read("bronze", "orders")
 
 
+# Orders that reach the stream a delivery late, and how late a row may be.
+_WATERMARK = "90 days"
+
+
+@_register
+def r1_stream_watermark(t: Inputs) -> DataFrame:
+    """Two deliveries, each with every row twice: copies go by state, late rows within 90 days come in, older ones do not."""
+    lake, folder = _new_lake(t, "r1w"), new_shared_path(t.spark, "r1w-arrivals")
+    columns = ["order_id", "customer_id", "order_status", "order_purchase_timestamp"]
+    late = F.col("order_id") % 11 == 0
+    first = _orders_before(t).filter(~late).select(*columns)
+    second = _orders_delivery(t).select(*columns).unionByName(_orders_before(t).filter(late).select(*columns))
+    for delivery in (first, second):
+        _write_csv(delivery.unionByName(delivery), folder)
+        stream = open_csv_stream(t.spark, folder, columns)
+        ingest_stream(
+            stream, lake, "orders", ["order_id"], f"{folder}-checkpoint",
+            event_time="order_purchase_timestamp", max_delay=_WATERMARK,
+        ).awaitTermination()
+    return lake.read("bronze", "orders").select("order_id", "customer_id", "order_status", "order_purchase_timestamp")
+
+
+# What each stored table is summed by in the result of the whole refresh.
+_REFRESH_SUMS = {
+    "silver.orders": "datediff(order_purchase_timestamp, DATE '1990-01-01')",
+    "silver.order_items": "price + freight_value",
+    "silver.customers": "length(customer_city)",
+    "silver.products": "product_name_lenght",
+    "silver.sellers": "length(seller_city)",
+    "silver.order_payments": "payment_value",
+    "silver.order_reviews": "review_score",
+    "silver.geolocation": "geolocation_lat + geolocation_lng",
+    "silver.geolocation_points": "geolocation_lat + geolocation_lng",
+    "silver.category_translation": "length(product_category_name_english)",
+    "gold.fact_orders": "total_payment_value",
+    "gold.review_texts": "length(text)",
+    "gold.dim_products": "price",
+    "mart.fct_orders": "product_revenue",
+    "mart.dim_customers": "lifetime_value",
+    "mart.agg_daily_sales": "revenue",
+    "mart.agg_category_sales": "revenue",
+    "mart.agg_seller_performance": "total_orders",
+    "mart.review_clusters": "if(cluster_label IS NULL OR tsne_x IS NULL, 1, 0)",
+}
+
+
+def _stored_sums(lake: Lakehouse, tables: dict[str, str]) -> DataFrame:
+    totals = []
+    for table, measure in tables.items():
+        total = F.round(F.coalesce(F.sum(F.expr(measure).cast("double")), F.lit(0.0)), 2)
+        totals.append(
+            lake.read(*table.split(".")).agg(F.lit(table).alias("table"), F.count(F.lit(1)).alias("rows"), total.alias("total"))
+        )
+    return reduce(DataFrame.unionByName, totals)
+
+
 @_register
 def r2_full_refresh(t: Inputs) -> DataFrame:
+    """Raw files through every layer, themes included: rows and a sum of each stored table."""
     lake, raw_dir = _new_lake(t, "r2"), new_shared_path(t.spark, "r2-raw")
     for name, raw in RAW_TABLES.items():
-        # Copies of a key go here, where keys still compare as numbers, as in the SQL.
-        rows = ops.first_per_key(getattr(t, f"raw_{name}"), raw.keys)
-        _write_csv(rows, f"{raw_dir}/{raw.stem}.csv")
-    refresh.refresh(t.spark, raw_dir, lake.root, with_themes=False)
-    return money(lake.read("mart", "agg_daily_sales"), "revenue", "freight_revenue")
+        _write_csv(getattr(t, f"raw_{name}"), f"{raw_dir}/{raw.stem}.csv")
+    refresh.refresh(t.spark, raw_dir, lake.root)
+    return _stored_sums(lake, _REFRESH_SUMS)
+
+
+@_register
+def r2_two_deliveries(t: Inputs) -> DataFrame:
+    """The same tables after a second delivery: every layer takes in what is new, whatever its age."""
+    lake, raw_dir = _new_lake(t, "r2d"), new_shared_path(t.spark, "r2d-raw")
+    for late in (False, True):
+        for name, raw in RAW_TABLES.items():
+            rows = getattr(t, f"raw_{name}")
+            if name not in ("customers", "category_translation"):  # an order of no known customer fails a check
+                rows = rows.filter((F.crc32(F.col(raw.keys[0]).cast("string")) % 3 == 0) == late)
+            elif late:
+                continue
+            _write_csv(rows, f"{raw_dir}/{raw.stem}.csv")
+        refresh.refresh(t.spark, raw_dir, lake.root, with_themes=False)
+    return _stored_sums(lake, {table: m for table, m in _REFRESH_SUMS.items() if table != "mart.review_clusters"})

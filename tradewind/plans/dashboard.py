@@ -15,6 +15,8 @@ TOP_CATEGORIES = 15
 TOP_STATES = 10
 RFM_TILES = 3
 
+MOST_LABELS = 100
+
 
 def monthly_revenue(daily_sales: DataFrame) -> DataFrame:
     return (
@@ -98,10 +100,23 @@ def segment_themes(rfm: DataFrame, clusters: DataFrame) -> DataFrame:
     )
 
 
-def segment_theme_matrix(counts: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
-    """Segments as rows, themes as columns, 0 where a pair does not occur.
+def theme_labels(clusters: DataFrame, batch_id: str | None = None) -> list[str]:
+    """The labels that occur, in order; with `batch_id` those of one batch.
 
-    With `labels` given the columns are fixed and Spark need not look for them first.
+    A batch has as many labels as it has clusters. Across batches they pile up, and so would the columns made of
+    them, hence an error beyond `MOST_LABELS`.
     """
-    pivoted = counts.groupBy("rfm_segment").pivot("cluster_label", None if labels is None else list(labels))
-    return pivoted.agg(F.sum("cnt")).fillna(0)
+    if batch_id is not None:
+        clusters = clusters.filter(F.col("batch_id") == batch_id)
+    found = clusters.select("cluster_label").dropna().distinct().orderBy("cluster_label").take(MOST_LABELS + 1)
+    if len(found) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels; name a batch")
+    return [row[0] for row in found]
+
+
+def segment_theme_matrix(counts: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
+    """Segments as rows, the themes of `labels` (default: `theme_labels` of the counts) as columns, 0 where a pair
+    does not occur."""
+    if labels is None:
+        labels = theme_labels(counts)
+    return counts.groupBy("rfm_segment").pivot("cluster_label", list(labels)).agg(F.sum("cnt")).fillna(0)

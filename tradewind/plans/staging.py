@@ -1,7 +1,13 @@
-"""Staging views: typed projections of the gold tables."""
+"""Staging views: typed projections of the gold tables.
+
+`projection` says how a gold table holds its columns: `project` for columns, `project_variant` for rows
+that arrive as one VARIANT object.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,16 +16,18 @@ from tradewind.sources.projection import project
 
 MIN_TEXT_LENGTH = 10
 
+Projection = Callable[[DataFrame, dict], DataFrame]
+
 
-def stg_fact_orders(fact_orders: DataFrame) -> DataFrame:
-    return project(fact_orders, STG_FACT_ORDERS)
+def stg_fact_orders(fact_orders: DataFrame, projection: Projection = project) -> DataFrame:
+    return projection(fact_orders, STG_FACT_ORDERS)
 
 
-def stg_dim_products(dim_products: DataFrame) -> DataFrame:
-    return project(dim_products, STG_DIM_PRODUCTS)
+def stg_dim_products(dim_products: DataFrame, projection: Projection = project) -> DataFrame:
+    return projection(dim_products, STG_DIM_PRODUCTS)
 
 
-def stg_reviews(review_texts: DataFrame) -> DataFrame:
+def stg_reviews(review_texts: DataFrame, projection: Projection = project) -> DataFrame:
     """Reviews with more than ten characters of text, which is renamed to review_text."""
-    typed = project(review_texts, STG_REVIEWS).withColumnRenamed("text", "review_text")
+    typed = projection(review_texts, STG_REVIEWS).withColumnRenamed("text", "review_text")
     return typed.filter(F.length("review_text") > MIN_TEXT_LENGTH)

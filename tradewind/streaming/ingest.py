@@ -40,7 +40,8 @@ def ingest_stream(
     Replaying a micro-batch after a failure adds nothing, since its keys are in the table by
     then (rows with a NULL key never match and are the exception). With `event_time`, copies
     that arrive within `max_delay` of each other are dropped in the stream already, with state
-    bounded by that delay.
+    bounded by that delay; rows later than that behind the newest row of earlier batches are
+    dropped as well. Leave it out where late rows must come in, whatever their age.
     """
     if event_time is not None:
         stream = stream.withColumn(event_time, stream[event_time].try_cast("timestamp"))
