@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.session import materialize
+from tradewind.session import discard, materialize
 
 PLAIN_WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -31,6 +31,7 @@ def components(links: DataFrame, first: str, second: str) -> DataFrame:
     labels = materialize(
         both.groupBy("node").agg(F.least(F.col("node"), F.min("next")).alias("component")), "labels"
     )
+    written = labels
     while True:
         around = (
             both.join(labels.select(F.col("node").alias("next"), "component"), "next")
@@ -45,6 +46,8 @@ def components(links: DataFrame, first: str, second: str) -> DataFrame:
             nearer.join(jump, "via").select("node", "old", F.least("via", "jumped").alias("component")), "labels"
         )
         changed = moved.filter("old != component").limit(1).count()
-        labels = moved.select("node", "component")
+        discard(written)
+        labels, written = moved.select("node", "component"), moved
         if not changed:
+            discard(both)
             return labels

@@ -9,10 +9,14 @@ at most `WHOLE` values is kept whole, so that short documents are compared exact
    its rarest values, as many as make one shared value certain then. Values that only one class
    has are counted as rarest and lead to no list, and common passages are listed last. Whole sets
    and sketches have lists of their own; sets that may meet both kinds of partner are in both.
-3. Every member of a list is compared with the list's *hub* only, so a list of n members gives n pairs. The
+3. Rounds: every list draws a *hub* from the component most frequent in it, and classes are compared with
+   hubs of their rarest lists that they are neither joined nor compared with yet: with one each at first,
+   with more when few classes are left open. So a round compares about as many pairs as there are
+   classes, whatever the size of a list. The
    sketch of the union estimates the similarity and drops pairs far below the threshold;
-   the rest are verified on full sets. Connected components join what is linked. A second round does so
-   with a member of the component most frequent in the list as its hub.
+   the rest are verified on full sets. What is linked becomes one component, and the next round
+   starts from components: links within one are never looked for again. Rounds end when no class
+   has a hub left to try, or after `HUB_ROUNDS`.
 4. Lists that still hold members of different components are compared across components, each pair once, by
    the same estimate and verification, unless the rare values that one of them has alone
    rule the threshold out. Members already joined need no more pairs. So all links between
@@ -31,17 +35,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradewind.llm.bytetext import Hashes, chunks, mix, window_hashes, words
 from tradewind.llm.common import components
-from tradewind.session import materialize
+from tradewind.session import discard, materialize
 
 SKETCH = 64
 WHOLE = 256
-HUB_ROUNDS = 2
+HUB_ROUNDS = 6
 _AS_A = (("node", "a"), ("n", "na"), ("component", "ca"), ("before", "before_a"), ("own", "own_a"))
 _AS_B = (("node", "b"), ("n", "nb"), ("component", "cb"), ("before", "before_b"), ("own", "own_b"))
 
@@ -156,7 +160,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold; only texts of documents in a pair are read again."""
+    """Pairs whose full sets reach the threshold, written; only texts of documents in a pair are read again."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("id").alias("its_id"), "mark")
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("whole", T.ArrayType(T.LongType()))])
@@ -166,9 +170,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int
         sets.select(F.col("node").alias("b"), F.col("whole").alias("wb")), "b"
     )
     inter = F.size(F.array_intersect("wa", "wb"))
-    return both.select("a", "b", inter.alias("inter"), (F.size("wa") + F.size("wb") - inter).alias("joint")).filter(
+    similar = both.select("a", "b", inter.alias("inter"), (F.size("wa") + F.size("wb") - inter).alias("joint")).filter(
         F.col("inter") * 100 >= F.col("joint") * percent
-    ).select("a", "b")
+    )
+    links = materialize(similar.select("a", "b"), "links")
+    discard(sets)
+    return links
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
@@ -201,9 +208,8 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return ends.filter("least < most").select("exact", "value")
 
 
-def _hub_pairs(lists: DataFrame, found: DataFrame | None, tried: DataFrame | None, percent: int, round_no: int) -> DataFrame:
-    """Each member of a list with one member of the component that is most frequent in that list."""
-    placed = _placed(lists, found)
+def _hub_pairs(placed: DataFrame, tried: DataFrame | None, percent: int, round_no: int, most: int) -> DataFrame:
+    """Open classes with hubs of their rarest lists, equally many each: about `most` pairs, one a class at least."""
     per_component = placed.groupBy("exact", "value", "component").agg(
         F.count(F.lit(1)).alias("held"),
         F.min(F.struct(F.xxhash64("node", "value", F.lit(round_no)).alias("draw"), "node", "n")).alias("hub"),
@@ -214,13 +220,43 @@ def _hub_pairs(lists: DataFrame, found: DataFrame | None, tried: DataFrame | Non
     hubs = hubs.filter("components > 1").select(
         "exact", "value", F.col("top.hub.node").alias("hub"), F.col("top.hub.n").alias("hub_n"), F.col("top.component").alias("hub_component")
     )
-    pairs = (
+    open_pairs = (
         placed.join(hubs, ["exact", "value"])
         .filter((F.col("component") != F.col("hub_component")) & _similar_size("n", "hub_n", percent))
-        .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        .distinct()
+        .groupBy("node", F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        .agg(F.min("before").alias("before"))
+    )
+    if tried is not None:
+        open_pairs = open_pairs.join(tried, ["a", "b"], "left_anti")
+    open_pairs = materialize(open_pairs, "open")
+    each = max(1, most // max(1, open_pairs.select("node").distinct().count()))
+    # A class has no more hubs than lists.
+    rarest = Window.partitionBy("node").orderBy("before", "a", "b")
+    chosen = open_pairs.withColumn("at", F.row_number().over(rarest)).filter(F.col("at") <= each)
+    pairs = materialize(chosen.select("a", "b").distinct(), "pairs")
+    discard(open_pairs)
+    return pairs
+
+
+def _merged(found: DataFrame | None, fresh: DataFrame) -> DataFrame:
+    """Node and component after the links in `fresh`; only components that a link joins are worked on."""
+    ends = fresh.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if found is None:
+        named = ends.withColumn("component", F.col("node"))
+    else:
+        named = found.unionByName(ends.join(found, "node", "left_anti").withColumn("component", F.col("node")))
+    named = materialize(named, "named")
+    between = fresh.join(named.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(
+        named.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b"
+    )
+    between = materialize(between.filter("ca != cb").select("ca", "cb").distinct(), "between")
+    joined = components(between, "ca", "cb")
+    renamed = joined.select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    found = materialize(
+        named.join(renamed, "component", "left").select("node", F.coalesce("joined", "component").alias("component")), "found"
     )
-    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+    discard(named, between)
+    return found
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
@@ -228,22 +264,30 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows, texts = _sketched(docs, id_col, text_col, width)
     # Node numbers are running numbers of rows; the class is named by the smallest.
     keyed = rows.filter("n > 0").groupBy("low", "high", "n").agg(F.min("row").alias("node"), F.min("id").alias("first_id"))
-    keyed = materialize(keyed, "classes")
+    keyed = materialize(keyed, "keyed")
     classes = materialize(
         rows.select(F.col("row").alias("node"), "id", "mark", "n", "sketch").join(keyed.select("node"), "node", "left_semi"),
         "classes",
     )
+    slim = materialize(rows.drop("sketch", "mark"), "rows")
+    discard(rows)
     lists = materialize(_lists(classes, percent), "lists")
 
-    links, tried, found = None, None, None
+    size = classes.count()
+    found, tried, rounds = None, None, []
     for round_no in range(HUB_ROUNDS):
-        pairs = materialize(_estimated(_hub_pairs(lists, found, tried, percent, round_no), classes, percent), "hubs")
-        if round_no and not pairs.limit(1).count():
+        placed = materialize(_placed(lists, found), "placed")
+        pairs = _hub_pairs(placed, tried, percent, round_no, size)
+        discard(placed)
+        if not pairs.limit(1).count():
+            discard(pairs)
             break
-        fresh = materialize(_verified(pairs, classes, texts, width, percent), "links")
-        links = fresh if links is None else links.unionByName(fresh)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = components(links, "a", "b")
+        likely = materialize(_estimated(pairs, classes, percent), "likely")
+        fresh = _verified(likely, classes, texts, width, percent)
+        merged = _merged(found, fresh)
+        discard(likely, fresh, *([found] if found is not None else []))
+        rounds.append(pairs)
+        found, tried = merged, pairs if tried is None else tried.unionByName(pairs)
 
     placed = materialize(_placed(lists, found), "placed")
     open_lists = placed.join(_mixed(placed), ["exact", "value"], "left_semi")
@@ -262,15 +306,22 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    across = materialize(_estimated(across.join(tried, ["a", "b"], "left_anti"), classes, percent), "across")
+    if tried is not None:
+        across = across.join(tried, ["a", "b"], "left_anti")
+    across = materialize(_estimated(across, classes, percent), "across")
     if across.limit(1).count():
-        more = _verified(across, classes, texts, width, percent)
-        found = components(links.unionByName(more), "a", "b")
+        fresh = _verified(across, classes, texts, width, percent)
+        found = _merged(found, fresh)
+        discard(fresh)
+    discard(lists, placed, across, classes, *rounds)
 
-    named = keyed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if found is None:
+        named = keyed.withColumn("component", F.col("node"))
+    else:
+        named = keyed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("first_id").alias("smallest"))
     named = named.join(smallest, "component").select("low", "high", "n", "smallest")
-    return rows.select("row", "id", "low", "high", "n").join(named, ["low", "high", "n"], "left").select(
+    return slim.join(named, ["low", "high", "n"], "left").select(
         "row", "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("id")).alias("component")
     )
 
