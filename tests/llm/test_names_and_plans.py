@@ -1,0 +1,86 @@
+"""Column names like the operators' own in the input, and how the work of a hot source is dealt."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tradewind.llm import decontaminate, mixing, near_dedup, private_data, secrets, toxicity
+
+NAMES = ("__row", "__found", "__copy", "__leaked", "__score", "__text", "__live", "__likely")
+ROWS = [
+    (1, "one two three four five six seven eight nine ten", "a"),
+    (2, 'password = "abcdefgh1234" mail a.b@c.example.org', "b"),
+    (3, None, None),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
+    return rows.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in NAMES])
+
+
+def benchmark(spark):
+    return spark.createDataFrame([(1, "nothing of this kind stands in any text here at all")], "item_id long, text string")
+
+
+@pytest.mark.parametrize("name", ["sanitise", "redact", "drop_leaks", "drop_near_duplicates", "mix_documents", "drop_toxic"])
+def test_clashing_names_keep_their_values(spark, docs, name):
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(40)], "doc_id long, toxic int")
+    run = {
+        "sanitise": lambda: private_data.sanitise(docs),
+        "redact": lambda: secrets.redact(docs),
+        "drop_leaks": lambda: decontaminate.drop_leaks(docs, benchmark(spark)),
+        "drop_near_duplicates": lambda: near_dedup.drop_near_duplicates(docs),
+        "mix_documents": lambda: mixing.mix_documents(docs),
+        "drop_toxic": lambda: toxicity.drop_toxic(docs, labels),
+    }[name]
+    found = run()
+    kept = [c for c in found.columns if c != "copies"]
+    assert kept == docs.columns
+    rows = found.collect()
+    assert rows
+    for r in rows:
+        assert all(r[n] == f"{n}{r['doc_id']}" for n in NAMES)
+
+
+def test_text_in_a_column_of_such_a_name(spark):
+    docs = spark.createDataFrame([(2, 'password = "abcdefgh1234"', "b")], "doc_id long, __found string, source string")
+    assert secrets.redact(docs, text_col="__found").first()["__found"] == 'password = "<secret>"'
+
+
+def test_blocks_of_a_hot_source_are_dealt_to_many_tasks(spark, monkeypatch):
+    made = []
+
+    def noted(df, label):
+        if label == "settled":
+            made.append(df.groupBy(F.spark_partition_id().alias("task")).count().collect())
+        return real(df, label)
+
+    real = mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", noted)
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 64)
+    draw = random.Random(1)
+    rows = [(i, "word " * draw.randrange(1, 9), "hot" if i % 10 < 7 else f"s{i % 3}") for i in range(40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        mixing.mix(docs).count()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    counts = sorted(r["count"] for r in made[0])
+    assert len(counts) == 8 and counts[-1] <= 2 * counts[len(counts) // 2], counts
+
+
+def test_many_wholly_equal_rows_meet_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 64)
+    rows = [(1, "some words here", "a")] * 1000 + [(i, "other words there are", "b") for i in range(2, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    found = mixing.mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count("*").alias("n"))
+    hot = found.filter("doc_id = 1").first()
+    assert hot["n"] == 1000 and abs(hot["taken"] - hot["target"]) <= 3

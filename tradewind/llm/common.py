@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def keeps_input_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators that return their input's rows: columns whose names begin with two underscores, as the
+    operators' own do, go by other names within and have their names again in the result."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *others, **options) -> DataFrame:
+        inner: dict[str, str] = {}
+        for name in docs.columns:
+            if name.startswith("__"):
+                free = f"input{name}"
+                while free in docs.columns:
+                    free += "_"
+                inner[name] = free
+        options = {k: inner.get(v, v) if k.endswith("_col") else v for k, v in options.items()}
+        found = operator(docs.withColumnsRenamed(inner), *others, **options)
+        return found.withColumnsRenamed({free: name for name, free in inner.items()})
+
+    return run
+
+
 def fold_of(doc_id, folds: int):
     """crc32 of the id as text, modulo `folds`; a NULL id falls into fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0)).cast("int")

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradewind.llm.bytetext import Hashes, chunks, hash_words, mix, window_hashes, words
+from tradewind.llm.common import keeps_input_names
 from tradewind.session import materialize
 
 WINDOW = 8
@@ -362,6 +363,7 @@ def _agree(mapped: list[tuple[int, int]], there: dict, back: dict) -> bool:
     return all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs)
 
 
+@keeps_input_names
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents into which no item leaked; rows with a NULL id stay."""
     leaked = leaks(docs, benchmark, id_col, **options).select(F.col(id_col).alias("__leaked")).distinct()

@@ -8,8 +8,10 @@ stay on target whatever the sizes are; only the last undecided row of a source i
 the nearer side.
 
 The meetings form a reduction tree: rows of a source are dealt into blocks of bounded size, each
-block leaves at most one undecided row, and these meet in blocks again. A source with a third of
-all rows is many blocks, and the number of levels is the logarithm of the largest source.
+block leaves at most one undecided row, and these meet in blocks again. Blocks are dealt to tasks by a
+key of their own, so a source with a third of all rows is many blocks in many tasks, and the
+number of levels is the logarithm of the largest source. Blocks follow a hash of the row; of rows
+wholly equal to more than a block of others, the running number counts as well.
 
 Defined results: NULL texts have size 0 and are taken 0 times; NULL is a source of its own, last in
 the order; repeated rows are separate rows and decided separately; an empty table gives no rows.
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import PLAIN_WORD_PATTERN
+from tradewind.llm.common import PLAIN_WORD_PATTERN, keeps_input_names
 from tradewind.operators.ranking import global_rank
 from tradewind.session import materialize
 
@@ -107,7 +109,7 @@ def _settle_block(rows: pd.DataFrame) -> pd.DataFrame:
     rows["rate"] = settle(
         rows["size"].to_numpy(float), rows["rate"].to_numpy(float), draws, bool(rows["blocks"].iloc[0] == 1)
     )
-    return rows[["row_id", "source_no", "size", "hash", "rate"]]
+    return rows[["row_id", "source_no", "size", "hash", "spread", "rate"]]
 
 
 def _decide(sized: DataFrame, seed: int, weights: Sequence[int], share: float, ceiling: float) -> DataFrame:
@@ -116,8 +118,12 @@ def _decide(sized: DataFrame, seed: int, weights: Sequence[int], share: float, c
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate + F.lit(_NEAR))
     same = sized["source"].eqNullSafe(targets["source"])
+    crowds = sized.groupBy("hash").agg(F.count(F.lit(1)).alias("equal")).filter(F.col("equal") > BLOCK_ROWS)
+    sized = sized.join(crowds, "hash", "left").withColumn(
+        "spread", F.when(F.col("equal").isNotNull(), F.col("row_id")).otherwise(F.lit(0))
+    )
     begun = sized.join(targets, same).select(
-        "row_id", "source_no", "size", "hash", whole.alias("whole"), F.greatest(rate - whole, F.lit(0.0)).alias("rate")
+        "row_id", "source_no", "size", "hash", "spread", whole.alias("whole"), F.greatest(rate - whole, F.lit(0.0)).alias("rate")
     )
     undecided = F.col("size") > 0
     undecided &= (F.col("rate") > _NEAR) & (F.col("rate") < 1 - _NEAR)
@@ -125,11 +131,13 @@ def _decide(sized: DataFrame, seed: int, weights: Sequence[int], share: float, c
     while True:
         widths = open_rows.groupBy("source_no").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
         dealt = open_rows.join(widths, "source_no")
-        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("hash", F.lit(seed), F.lit(2 * level)), "blocks"))
+        block = F.pmod(F.xxhash64("hash", "spread", F.lit(seed), F.lit(2 * level)), "blocks")
+        # One key, as the join above leaves rows by source, and Spark would take that for good enough.
+        dealt = dealt.withColumn("meeting", F.concat_ws(":", "source_no", block))
         dealt = dealt.withColumn("draw", F.xxhash64("hash", F.lit(seed), F.lit(2 * level + 1)))
         done = materialize(
-            dealt.groupBy("source_no", "block").applyInPandas(
-                _settle_block, "row_id long, source_no long, size long, hash long, rate double"
+            dealt.groupBy("meeting").applyInPandas(
+                _settle_block, "row_id long, source_no long, size long, hash long, spread long, rate double"
             ),
             "settled",
         )
@@ -189,6 +197,7 @@ def mix(
     )
 
 
+@keeps_input_names
 def mix_documents(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The rows themselves with the number of `copies` the mix takes of each; rows it takes none of go."""
     options = {"seed": 42, "weights": WEIGHTS, "share": SHARE, "ceiling": CEILING} | options

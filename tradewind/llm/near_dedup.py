@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradewind.llm.bytetext import Hashes, chunks, mix, window_hashes, words
-from tradewind.llm.common import components
+from tradewind.llm.common import components, keeps_input_names
 from tradewind.session import discard, materialize
 
 SKETCH = 64
@@ -336,6 +336,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+@keeps_input_names
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group: that with the smallest id, and of rows with equal ids the first.
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradewind.llm.common import keeps_input_names
 from tradewind.session import materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -186,6 +187,7 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+@keeps_input_names
 def sanitise(docs: DataFrame, text_col: str = "text", share: float = SHARE, bits: float = BITS) -> DataFrame:
     """`docs` with every pattern span generalised to `<kind>` and every revealing term removed."""
     names = docs.columns

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradewind.llm.bytetext import chunks, words
+from tradewind.llm.common import keeps_input_names
 from tradewind.session import materialize
 
 KINDS = ("assign", "access", "hex", "live")
@@ -218,6 +219,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+@keeps_input_names
 def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", mark: str = "<secret>") -> DataFrame:
     """`docs` with every value that looks live replaced by `mark`; widely copied examples stay."""
     columns = docs.columns

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.llm.bytetext import Hashes, chunks, mix, words
-from tradewind.llm.common import fold_of
+from tradewind.llm.common import fold_of, keeps_input_names
 
 PLACES_BITS = 18
 SKIPS = (1, 2, 3)
@@ -187,6 +187,7 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max
     )
 
 
+@keeps_input_names
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_rows: int = MAX_ROWS) -> DataFrame:
     """The documents that are not predicted toxic, with their own columns."""
     model = train(labelled_rows(docs, labels, id_col).filter(~held_out(F.col("id"))), "id", max_rows=max_rows)
