@@ -46,13 +46,23 @@ from tradewind.session import discard, materialize
 SKETCH = 64
 WHOLE = 256
 HUB_ROUNDS = 6
+
+# Memory of a Python worker follows these: bytes worked on at once, rows of a batch given back.
+CHUNK_BYTES = 1 << 19
+BATCH_ROWS = 2000
 _AS_A = (("node", "a"), ("n", "na"), ("component", "ca"), ("before", "before_a"), ("own", "own_a"))
 _AS_B = (("node", "b"), ("n", "nb"), ("component", "cb"), ("before", "before_b"), ("own", "own_b"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(first, BATCH_ROWS)
+
+
 def shingle_sets(batch_texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of every text."""
-    for _, _, data, offsets in chunks(batch_texts):
+    for _, _, data, offsets in chunks(batch_texts, CHUNK_BYTES):
         starts, ends, row = words(data, offsets)
         hashed = Hashes(data).of(starts, ends)
         windows = window_hashes(hashed, width)
@@ -69,7 +79,7 @@ def shingle_sets(batch_texts: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, low, high, kept = [], [], [], []
             for found in shingle_sets(batch.column("text"), width):
                 sizes.append(len(found))
@@ -95,7 +105,7 @@ def _sketches(width: int):
 
 def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [found.view(np.int64) for found in shingle_sets(batch.column("text"), width)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "whole"])
 
