@@ -1,8 +1,8 @@
 """Remove every passage of at least `length` bytes that stands elsewhere too, by suffix groups.
 
 Whether a string of `length` bytes repeats is decided by suffix sorting. Suffixes are grouped by their Lyndon
-prefix, found with pointers to the next smaller suffix; the groups are put in order, and each group's
-order is emitted from the suffixes its members point to, in one pass and without renaming.
+prefix, in one pass over the groups in descending order with pointers to the previous smaller suffix; each group's order
+is then emitted, in ascending order, from the suffixes its members stand in front of, without renaming.
 
 So that no task sees the whole corpus, strings are first dealt out by content. Of every string, the
 smallest hash of its `GRAM`-byte pieces is its *anchor*; equal strings have equal anchors at equal places. A
@@ -36,8 +36,11 @@ from tradewind.session import discard, materialize
 
 LENGTH = 200
 GRAM = 64
-BUCKET_BYTES = 1 << 19
-CORE_BYTES = 1 << 18
+# Memory of a Python worker follows these: bytes sorted at once, bytes whose anchors are sought at once, rows of a batch.
+BUCKET_BYTES = 1 << 17
+CORE_BYTES = 1 << 17
+CHUNK_BYTES = 1 << 18
+BATCH_ROWS = 1000
 _PLACE = np.uint64((1 << 24) - 1)
 _PIECE = ("hash", "c1", "c2", "a")
 
@@ -45,50 +48,86 @@ _PIECE = ("hash", "c1", "c2", "a")
 def lyndon_groups(pieces: list[bytes]) -> list[int]:
     """All suffixes of all pieces in ascending order, as starts in the joined pieces.
 
-    Each piece ends in its own least sign, so pointers never leave it. A suffix's Lyndon prefix reaches to
-    its next smaller suffix.
+    Each piece is followed by its own end sign, the least of all, so nothing reaches beyond it. Suffixes begin in a
+    group per first byte. Groups are taken in descending order: a member's pointer goes to the nearest suffix before
+    it in a smaller group, and the suffixes pointed to leave their groups for new ones right behind, larger where more
+    members point to them, whose word is their own followed by that many words of the group. Every suffix
+    ends in the group of its Lyndon prefix. No word is compared; a walk left follows pointers already set.
     """
-    groups: dict[bytes, list[int]] = {}
-    total = sum(map(len, pieces))
-    group_of: list[list[int]] = [[]] * total
-    # Suffixes that point to one: the first of them, and for each the next one.
-    head, following = [-1] * total, [-1] * total
-    open_ends: list[int] = []
-    base = 0
-    for piece in pieces:
-        n = len(piece)
-        smaller = [n] * n
-        for i in range(n - 1, -1, -1):
-            j, byte = i + 1, piece[i]
-            while j < n:
-                other = piece[j]
-                if byte < other or (byte == other and piece[i:] < piece[j:]):
-                    j = smaller[j]
-                else:
-                    break
-            smaller[i] = j
-            word = piece[i:j]
-            group = groups.get(word)
-            if group is None:
-                group = groups[word] = []
-            group_of[base + i] = group
-            if j < n:
-                following[base + i], head[base + j] = head[base + j], base + i
+    ends = np.cumsum([0, *[len(p) + 1 for p in pieces]])
+    text = b"".join([b"\0" + p for p in pieces]) + b"\0"
+    codes = np.frombuffer(text, np.uint8).astype(np.int64) + 1
+    codes[ends] = 0
+    group = codes.tolist()
+    by_byte = np.split(np.argsort(codes, kind="stable"), np.cumsum(np.bincount(codes, minlength=257))[:-1])
+    members = [part.tolist() for part in by_byte]
+    below, above = list(range(-1, 256)), [*range(1, 257), 0]
+    previous, pointing = [0] * len(text), bytearray(len(text))
+    g = 256
+    while g:
+        last = times = 0
+        longer: dict[tuple[int, int], list[int]] | None = None
+        for i in members[g]:
+            if group[i] != g:
+                continue
+            j = i - 1
+            while pointing[j]:
+                j = previous[j]
+            previous[i] = j
+            pointing[i] = 1
+            # Pointers of one group never go back, so equal ones come together.
+            if j == last:
+                times += 1
+            else:
+                if last and (old := group[last]):
+                    if longer is None:
+                        longer = {(times, old): [last]}
+                    elif (times, old) in longer:
+                        longer[times, old].append(last)
+                    else:
+                        longer[times, old] = [last]
+                last, times = j, 1
+        if last and (old := group[last]):
+            if longer is None:
+                longer = {(times, old): [last]}
             else:
-                open_ends.append(base + i)
-        base += n
-    for i in open_ends:
-        group_of[i].append(i)
+                longer.setdefault((times, old), []).append(last)
+        if longer is not None:
+            for key in sorted(longer, reverse=True) if len(longer) > 1 else longer:
+                old = key[1]
+                new, after = len(members), above[old]
+                members.append(longer[key])
+                below.append(old)
+                above.append(after)
+                above[old] = below[after] = new
+                for i in longer[key]:
+                    group[i] = new
+        g = below[g]
+    # Suffixes that reach, by pointers, up to the one in front of a smaller suffix are next in their groups.
+    members = [None] * len(members)
     order: list[int] = []
-    for word in sorted(groups):
-        # Members that point into their own group are appended while it is read.
-        for s in groups[word]:
-            order.append(s)
-            i = head[s]
-            while i >= 0:
-                group_of[i].append(i)
-                i = following[i]
-    return order
+    g, emitted = 0, ends.tolist()
+    while True:
+        # Members found by one of their own group are appended while it is read.
+        for s in emitted:
+            j = s - 1
+            while pointing[j]:
+                pointing[j] = 0
+                h = group[j]
+                if members[h] is None:
+                    members[h] = [j]
+                else:
+                    members[h].append(j)
+                j = previous[j]
+        if g:
+            order += emitted
+            members[g] = None
+        g = above[g]
+        if not g:
+            break
+        emitted = members[g] or ()
+    starts = np.array(order, np.int64)
+    return (starts - np.searchsorted(ends, starts)).tolist()
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -101,17 +140,13 @@ def repeated_starts(pieces: list[bytes], length: int) -> list[np.ndarray]:
     """For each piece, which of its strings of `length` bytes stand elsewhere in the pieces."""
     sizes = np.array([len(p) for p in pieces], np.int64)
     bases = np.concatenate([[0], np.cumsum(sizes)])
+    found = np.zeros(int(bases[-1]), bool)
     order = np.array(lyndon_groups(pieces), np.int64)
-    piece = np.searchsorted(bases, order, "right") - 1
-    long = order + length <= bases[piece + 1]
-    order, joined = order[long], b"".join(pieces)
-    found = np.zeros(len(joined), bool)
-    before, last = b"", -1
-    for s in order.tolist():
-        here = joined[s : s + length]
-        if here == before:
-            found[s] = found[last] = True
-        before, last = here, s
+    order = order[order + length <= bases[np.searchsorted(bases, order, "right")]]
+    joined = b"".join(pieces)
+    strings = [joined[s : s + length] for s in order.tolist()]
+    same = np.array([a == b for a, b in zip(strings, strings[1:])], bool)
+    found[order[1:][same]] = found[order[:-1][same]] = True
     return [found[b : b + max(0, n - length + 1)] for b, n in zip(bases.tolist(), sizes.tolist())]
 
 
@@ -152,21 +187,38 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return row, at - begin, first - begin, last - begin, mix(grams[at])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(first, BATCH_ROWS)
+
+
+def _sections(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Whole texts, or one long text in sections that share no start of a string; each with its place in `data`."""
+    if len(data) <= CHUNK_BYTES:
+        yield 0, data, offsets
+        return
+    for begin in range(0, len(data) - length + 1, CHUNK_BYTES):
+        section = data[begin : begin + CHUNK_BYTES + length - 1]
+        yield begin, section, np.array([0, len(section)])
+
+
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, _, data, offsets in chunks(batch.column("text")):
-                row, at, lo, hi, hashed = anchors(data, offsets, length)
-                rows = pa.array(first + row)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("m1").take(rows),
-                        batch.column("m2").take(rows),
-                        *[pa.array(c.astype(np.int32)) for c in (at, lo, hi)],
-                        pa.array(hashed.view(np.int64)),
-                    ],
-                    names=["m1", "m2", "at", "lo", "hi", "hash"],
-                )
+            for first, _, data, offsets in chunks(batch.column("text"), CHUNK_BYTES):
+                for begin, part, bounds in _sections(data, offsets, length):
+                    row, at, lo, hi, hashed = anchors(part, bounds, length)
+                    rows = pa.array(first + row)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("m1").take(rows),
+                            batch.column("m2").take(rows),
+                            *[pa.array((c + begin).astype(np.int32)) for c in (at, lo, hi)],
+                            pa.array(hashed.view(np.int64)),
+                        ],
+                        names=["m1", "m2", "at", "lo", "hi", "hash"],
+                    )
 
     return run
 
@@ -175,7 +227,7 @@ def _pieces(length: int):
     """The pieces of each text: their anchor's hash, a digest of their bytes, and where they stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             columns: dict[str, list] = {c: [] for c in (*_PIECE, "m1", "m2", "lo", "hi")}
             for m1, m2, text, found in zip(*(batch.column(c) for c in ("m1", "m2", "text", "found"))):
                 raw, m1, m2 = text.as_py().encode(), m1.as_py(), m2.as_py()
@@ -194,7 +246,7 @@ def _piece_bytes(length: int):
     """The wanted pieces of each text with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             for text, wanted in zip(batch.column("text"), batch.column("wanted")):
                 raw, wanted = text.as_py().encode(), wanted.as_py()
                 types = zip(_PIECE, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))
@@ -214,7 +266,7 @@ def _cells(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = (*_PIECE, "start", "first", "last", "core", "d1", "d2", "lo", "hi", "sub")
         types = [*[pa.int64()] * 3, *[pa.int32()] * 4, *[pa.int64()] * 3, *[pa.int32()] * 2, pa.binary()]
-        for batch in batches:
+        for batch in _slices(batches):
             columns: list[list] = [[] for _ in names]
             for row in zip(*(batch.column(c).to_pylist() for c in (*_PIECE, "start", "first", "last", "piece"))):
                 *ident, begin, first, last, piece = row
@@ -289,7 +341,7 @@ def _cut(keep_text: bool):
     """What is left of each text without its covered ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             removed, spans, digests, left = [], [], [], []
             for text, ranges in zip(batch.column("text"), batch.column("ranges")):
                 raw, at, gone, n, kept = text.as_py().encode(), 0, 0, 0, []
