@@ -223,21 +223,38 @@ def _anchor_rows(length: int):
     return run
 
 
+def _lists(column: pa.Array, fields: tuple[str, ...]) -> tuple[list[int], dict[str, np.ndarray]]:
+    """Where each row's list of structs begins and ends, and the fields of all of them as plain arrays."""
+    counts = np.asarray(column.value_lengths())
+    flat = column.flatten()
+    return [0, *np.cumsum(counts).tolist()], {f: np.asarray(flat.field(f)) for f in fields}
+
+
 def _pieces(length: int):
     """The pieces of each text: their anchor's hash, a digest of their bytes, and where they stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            columns: dict[str, list] = {c: [] for c in (*_PIECE, "m1", "m2", "lo", "hi")}
-            for m1, m2, text, found in zip(*(batch.column(c) for c in ("m1", "m2", "text", "found"))):
-                raw, m1, m2 = text.as_py().encode(), m1.as_py(), m2.as_py()
-                for p in found.as_py():
-                    digest = hashlib.blake2b(raw[p["lo"] : p["hi"] + length], digest_size=16).digest()
-                    c1, c2 = (int.from_bytes(digest[i : i + 8], "big", signed=True) for i in (0, 8))
-                    for column, value in zip(columns.values(), (p["hash"], c1, c2, p["at"] - p["lo"], m1, m2, p["lo"], p["hi"])):
-                        column.append(value)
-            types = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns.values(), types)], names=list(columns))
+            bounds, of = _lists(batch.column("found"), ("hash", "at", "lo", "hi"))
+            begins, ends = of["lo"].tolist(), (of["hi"] + length).tolist()
+            digests = []
+            for text, first, last in zip(batch.column("text"), bounds, bounds[1:]):
+                raw = text.as_py().encode()
+                for b, e in zip(begins[first:last], ends[first:last]):
+                    digests.append(hashlib.blake2b(raw[b:e], digest_size=16).digest())
+            halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(bounds)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(of["hash"]),
+                    *[pa.array(halves[:, k].copy()) for k in (0, 1)],
+                    pa.array((of["at"] - of["lo"]).astype(np.int32)),
+                    batch.column("m1").take(rows),
+                    batch.column("m2").take(rows),
+                    *[pa.array(of[c].astype(np.int32)) for c in ("lo", "hi")],
+                ],
+                names=[*_PIECE, "m1", "m2", "lo", "hi"],
+            )
 
     return run
 
@@ -247,11 +264,12 @@ def _piece_bytes(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            for text, wanted in zip(batch.column("text"), batch.column("wanted")):
-                raw, wanted = text.as_py().encode(), wanted.as_py()
-                types = zip(_PIECE, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))
-                columns = [pa.array([p[c] for p in wanted], t) for c, t in types]
-                columns.append(pa.array([raw[p["lo"] : p["hi"] + length] for p in wanted], pa.binary()))
+            bounds, of = _lists(batch.column("wanted"), (*_PIECE, "lo", "hi"))
+            begins, ends = of["lo"].tolist(), (of["hi"] + length).tolist()
+            for text, first, last in zip(batch.column("text"), bounds, bounds[1:]):
+                raw = text.as_py().encode()
+                columns = [pa.array(of[c][first:last]) for c in _PIECE]
+                columns.append(pa.array([raw[b:e] for b, e in zip(begins[first:last], ends[first:last])], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*_PIECE, "piece"])
 
     return run
@@ -343,14 +361,16 @@ def _cut(keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             removed, spans, digests, left = [], [], [], []
-            for text, ranges in zip(batch.column("text"), batch.column("ranges")):
+            bounds, of = _lists(batch.column("ranges"), ("b", "e"))
+            begins, ends = of["b"].tolist(), of["e"].tolist()
+            for text, first, last in zip(batch.column("text"), bounds, bounds[1:]):
                 raw, at, gone, n, kept = text.as_py().encode(), 0, 0, 0, []
-                for r in sorted(ranges.as_py(), key=lambda r: (r["b"], r["e"])):
-                    if r["b"] > at or not n:
-                        kept.append(raw[at : r["b"]])
-                        n, gone, at = n + 1, gone + r["e"] - r["b"], r["e"]
-                    elif r["e"] > at:
-                        gone, at = gone + r["e"] - at, r["e"]
+                for b, e in sorted(zip(begins[first:last], ends[first:last])):
+                    if b > at or not n:
+                        kept.append(raw[at:b])
+                        n, gone, at = n + 1, gone + e - b, e
+                    elif e > at:
+                        gone, at = gone + e - at, e
                 kept.append(raw[at:])
                 rest = b"".join(kept)
                 removed.append(gone)
