@@ -115,24 +115,89 @@ def test_private_patterns_on_odd_strings(spark):
         assert r["base_sha256"] == digest(private(rows[r["doc_id"]]), private_data.KINDS), rows[r["doc_id"]]
 
 
+def _apart(i, n=6):
+    """Words no other row has, so that rows are no near copies."""
+    return " ".join(f"row{i}word{k}" for k in range(n))
+
+
 def test_revealing_terms_are_removed(spark):
-    rows = [(i, "plain words here about nothing in particular") for i in range(60)]
-    rows += [(100 + i, f"call Zanzibor today at a.b@c.org number {i}") for i in range(3)]
+    rows = [(i, f"{_apart(i)} plain words here") for i in range(60)]
+    rows += [(100 + i, f"call {_apart(100 + i)} Zanzibor at a.b@c.org") for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r["doc_id"]: r["text"] for r in private_data.sanitise(docs).collect()}
     assert "<email>" in out[100] and "Zanzibor" not in out[100] and out[0] == rows[0][1]
 
 
 def test_revealing_terms_anywhere_in_the_corpus(spark):
-    rows = [(i, "plain words here about nothing in particular") for i in range(90)]
-    rows += [(100 + i, "Zanzibor " + "plain words " * 40 + "a.b@c.org") for i in range(3)]
+    rows = [(i, f"{_apart(i)} plain words here") for i in range(90)]
+    rows += [(100 + i, f"{_apart(i + 100)} Zanzibor {_apart(i + 200)} a.b@c.org") for i in range(3)]
     rows += [(200, "back to ZANZIBOR, not Zanziborian"), (300, "x" * 79 + " plain a.b@c.org")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r["doc_id"]: r["text"] for r in private_data.sanitise(docs).collect()}
-    assert out[100] == " " + "plain words " * 40 + "<email>"
+    assert out[100] == f"{_apart(100)}  {_apart(200)} <email>"
     assert out[200] == "back to , not Zanziborian" and out[300] == "x" * 79 + " plain <email>" and out[0] == rows[0][1]
 
 
+@pytest.mark.parametrize("copy", ["{0}", "{0} end"])
+def test_copies_reveal_nothing(spark, copy):
+    rows = [(i, f"{_apart(i)} plain words here") for i in range(60)]
+    text = f"{_apart(100, 300)} a.b@c.org"
+    rows += [(100, text), (101, copy.format(text)), (102, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in private_data.private_spans(docs).collect()}
+    assert found[100]["n_email"] == 1 and all(r["n_term"] == 0 for r in found.values())
+
+
+def _terms_by_hand(texts, classes, share, bits, least):
+    """Revealing terms, counted class by class."""
+    terms, entities = defaultdict(set), defaultdict(set)
+    for doc, text in texts.items():
+        spans = private(text)
+        for a, kind, b in spans:
+            entities[kind, text[a:b]].add(classes[doc])
+        for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text):
+            if not any(a < m.end() and m.start() < b for a, _, b in spans):
+                terms[m[0].lower()].add(classes[doc])
+    total, found = len(set(classes.values())), set()
+    for term, held in terms.items():
+        for docs in entities.values():
+            both = len(held & docs)
+            if len(docs) >= least and both >= least and both / len(held) >= share:
+                if math.log2(both / len(held) * total / len(docs)) >= bits:
+                    found.add(term)
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_terms_against_counting_by_hand(spark, seed):
+    rng = np.random.default_rng(seed)
+    names = [f"name{i}" for i in range(12)] + ["é", "李明"]
+    texts = {}
+    for i in range(240):
+        said = [_apart(i, 5), *rng.choice(names, 2)]
+        if rng.random() < 0.4:
+            who = int(rng.integers(6))
+            said += [f"user{who}@mail.example.org", names[who * 2], names[-1] if who == 5 else "x"]
+        texts[i] = " ".join(rng.permutation(said))
+    texts |= {300 + i: texts[i] for i in range(0, 40, 3)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    split = docs.withColumn("w", F.split("text", " "))
+    classes = {r[0]: r[1] for r in split.select("doc_id", private_data._copy_class(F.col("w"), F.col("text"))).collect()}
+    options = {"share": 0.3, "bits": 1.0, "least": 2}
+    expected = _terms_by_hand(texts, classes, **options)
+    assert expected
+    for r in private_data.private_spans(docs, **options).collect():
+        text = texts[r["doc_id"]]
+        spans = [s.split(":") for s in r["spans"].split(",") if s.startswith("term")]
+        patterns = private(text)
+        wanted = [
+            m.span()
+            for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)
+            if m[0].lower() in expected and not any(a < m.end() and m.start() < b for a, _, b in patterns)
+        ]
+        assert [(int(a), int(b)) for _, a, b in spans] == wanted
+
+
 def test_neighbours(spark):
     rows = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").collect()
     ids = np.array([r["vec_id"] for r in rows])
