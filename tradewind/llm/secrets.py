@@ -4,8 +4,8 @@ Patterns find labelled secrets (`assign`), access keys (`access`) and hexadecima
 long mixed tokens (digits and letters, or a capital right behind a small letter) outside of these are
 candidates without a label. Every candidate value is hashed,
 and for every hash the distinct owners and the documents (each its own repository) are counted over
-the whole corpus. A value that several owners hold is a widely copied example; a value with fewer
-owners looks live. Live tokens without a label become spans of the kind `live`; labelled
+the whole corpus. A value that several owners hold, or that very many repositories of few owners hold,
+is a widely copied example; one with fewer of both looks live. Live tokens without a label become spans of the kind `live`; labelled
 spans are always reported, and `redact` takes only live values out of the texts.
 
 Scanning stays in the rows' own tasks; only hashes are shuffled, counted per owner first, so that a
@@ -36,6 +36,7 @@ from tradewind.session import materialize
 
 KINDS = ("assign", "access", "hex", "live")
 COPIED_OWNERS = 3
+COPIED_REPOSITORIES = 25
 TOKEN_BYTES = 20
 TOKEN_ENTROPY = 3.0
 
@@ -157,18 +158,20 @@ def scan(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 
 
 def ownership(scanned: DataFrame, owner: str) -> DataFrame:
-    """(hash, owners, documents) of every candidate value in the corpus."""
+    """(hash, owners, repositories) of every candidate value in the corpus."""
     held = scanned.select(
         F.coalesce(F.col(owner).cast("string"), F.lit("\0")).alias("owner"),
         F.explode(F.array_distinct(F.transform("__found", lambda c: c["hash"]))).alias("hash"),
     )
-    per_owner = held.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("documents"))
+    per_owner = held.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
     return per_owner.groupBy("hash").agg(
-        F.count(F.lit(1)).alias("owners"), F.sum("documents").alias("documents")
+        F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories")
     )
 
 
-def judge(scanned: DataFrame, owner: str, copied_owners: int = COPIED_OWNERS) -> tuple[DataFrame, DataFrame]:
+def judge(
+    scanned: DataFrame, owner: str, copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES
+) -> tuple[DataFrame, DataFrame]:
     """`scanned` written with a `__row` number, and per row with candidates its judged spans.
 
     The second has (__row, judged), an array of (start, kind, end, value_start, value_end, live).
@@ -182,7 +185,7 @@ def judge(scanned: DataFrame, owner: str, copied_owners: int = COPIED_OWNERS) ->
             "__row",
             F.struct(
                 *[F.col(f"c.{n}").alias(n) for n in ("start", "kind", "end", "value_start", "value_end")],
-                (F.col("owners") < copied_owners).alias("live"),
+                ((F.col("owners") < copied_owners) & (F.col("repositories") < copied_repositories)).alias("live"),
             ).alias("span"),
         )
         .groupBy("__row")
