@@ -250,6 +250,13 @@ def test_copied_examples_stay_and_live_values_go(spark):
     assert spans[9]["spans"] == "assign:3:27,live:32:52" and spans[0]["n_copied"] == 1
 
 
+@pytest.mark.parametrize("repositories", [24, 25])
+def test_one_owners_value_in_many_repositories(spark, repositories):
+    rows = [(i, f"note {i} token=Zx81kQ04vB7nMp2sLw93", "one") for i in range(repositories)]
+    found = secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {(r["n_live"], r["n_copied"]) for r in found} == {(1, 0) if repositories < 25 else (0, 1)}
+
+
 def test_live_tokens_with_few_digits(spark):
     tokens = ["Zx8kQwvBnMpRsLwTyUiO", "wJalrXUtnFEMIbK7MDENGbPxRfiCYzEXAMPLEKEY", "QwErTyUiOpAsDfGhJkLz"]
     docs = spark.createDataFrame([(i, f"see {t} here", f"o{i}") for i, t in enumerate(tokens)], "doc_id long, text string, source string")
@@ -471,6 +478,37 @@ def test_alignments_count_together():
     assert decontaminate.matched([(-p, [(p, [])]) for p in range(20)], 38, 31) == (1, True)
 
 
+def _all_common_windows(hits, windows, whole, coverage):
+    pairs = hits.join(windows, ["width", "hash"])
+    return pairs.select("id", "item", (F.col("position") - F.col("item_position")).alias("shift"), "item_position", "slots", "item_slots")
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_leaks_against_all_common_windows(spark, monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    passages = [" ".join(f"w{rng.integers(60)}x" for _ in range(int(rng.integers(4, 14)))) for _ in range(12)]
+    item = lambda: " ".join(rng.choice(passages, int(rng.integers(1, 4))))
+    items = spark.createDataFrame([(i, item()) for i in range(40)], "item_id long, text string")
+    said = lambda: " and ".join(rng.choice(passages, int(rng.integers(1, 5))))
+    docs = spark.createDataFrame([(i, said()) for i in range(80)] + [(None, passages[0])], "doc_id long, text string")
+    found = sorted(map(str, decontaminate.leaks(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "_aligned", _all_common_windows)
+    assert found and found == sorted(map(str, decontaminate.leaks(docs, items).collect()))
+
+
+def test_a_passage_of_many_items_and_documents_is_not_multiplied(spark, monkeypatch):
+    passage = "these ten words are the same in every single question asked"
+    items = [(i, f"{passage} " + " ".join(f"tail{i}of{k}" for k in range(30))) for i in range(30)]
+    docs = [(i, f"note {i} {passage}") for i in range(50)] + [(99, items[7][1])]
+    seen, aligned = [], decontaminate._aligned
+    monkeypatch.setattr(decontaminate, "_aligned", lambda *a: seen.append(aligned(*a)) or seen[0])
+    found = decontaminate.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in found] == [(99, 7)]
+    assert {(r["id"], r["item"]) for r in seen[0].select("id", "item").collect()} == {(99, 7)}
+
+
 def test_verbatim_leaks(spark, texts):
     items = {r["item_id"]: re.findall(r"[^\W_]+", r["text"].lower()) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()}
     found = {(r["doc_id"], r["item_id"]) for r in catalog.queries()["op9_decontaminate"](spark, SF_DIR).collect()}

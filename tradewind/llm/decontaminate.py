@@ -11,9 +11,10 @@ agrees with those before it, else its verbatim windows that do. No window counts
 counts as leaked when these windows cover at least `coverage` of its own.
 
 A filter of fixed size (2**FILTER_BITS places, one megabyte however large the benchmark is) keeps
-document windows that no item has out of the shuffle; the join behind it decides. Hot windows are
-no groups: matches are counted per document, item and alignment, with map-side sums, and the windows of the
-benchmark are de-duplicated to at most one row per item and position.
+document windows that no item has out of the shuffle; the join behind it decides. A document and an
+item meet only through the item's rarer windows, one of which it must have to reach the coverage; windows that many
+items and many documents hold are counted, not multiplied out. Matches are grouped per document, item and alignment,
+which the item bounds.
 
 Defined results: NULL and empty texts match nothing; an item without words, or with a NULL id, matches
 nothing; an item shorter than `window` tokens is one window of its own length; repeated documents
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -240,24 +241,56 @@ def leaks(
     # but the lengths that occur).
     lengths = sized.select(F.explode(F.array("n", "inner")).alias("n"))
     shorter = [r[0] for r in lengths.filter(F.col("n") < window).distinct().collect()]
-    found = None
+    hits = windows = None
     for width in sorted({*shorter, window}):
         short = width < window
         of_width = sized.filter((F.col("n") == width) | (F.col("inner") == width) if short else F.col("n") >= window)
         items = materialize(of_width.select("id", "text").mapInArrow(_find(width, None, short), item_schema), "windows")
         wanted = spark.sparkContext.broadcast(_filter_of(items))
-        hits = texts.mapInArrow(_find(width, wanted), schema)
-        pairs = hits.join(
-            items.select(
-                F.col("id").alias("item"), "hash", F.col("position").alias("item_position"), F.col("slots").alias("item_slots")
-            ),
+        of_items = items.select(
+            F.col("id").alias("item"),
+            F.lit(width).alias("width"),
             "hash",
-        ).select("id", "item", (F.col("position") - F.col("item_position")).alias("shift"), "item_position", "slots", "item_slots")
-        found = pairs if found is None else found.unionByName(pairs)
-    return _consistent(found, sized, window, coverage, doc_id, item_id)
+            F.col("position").alias("item_position"),
+            F.col("slots").alias("item_slots"),
+        )
+        of_docs = texts.mapInArrow(_find(width, wanted), schema).withColumn("width", F.lit(width))
+        hits = of_docs if hits is None else hits.unionByName(of_docs)
+        windows = of_items if windows is None else windows.unionByName(of_items)
+    whole = sized.select(F.col("id").alias("item"), "n", F.greatest(F.col("n") - window + 1, F.lit(1)).alias("n_windows"))
+    pairs = _aligned(materialize(hits, "hits"), windows, whole, coverage)
+    return _consistent(pairs, whole, coverage, doc_id, item_id)
+
 
+def _aligned(hits: DataFrame, windows: DataFrame, whole: DataFrame, coverage: float) -> DataFrame:
+    """(id, item, shift, item_position, slots, item_slots) of the windows common to documents and items that may have leaked.
 
-def _consistent(pairs: DataFrame, sized: DataFrame, window: int, coverage: float, doc_id: str, item_id: str) -> DataFrame:
+    An item that reaches its coverage in a document has more positions there than the commonest ones could give, so it has
+    one of the rest. Only these rarer windows bring documents and items together; a window in many items and many
+    documents is not multiplied out, and no leak is lost.
+    """
+    common = hits.groupBy("width", "hash").agg(F.count(F.lit(1)).alias("hits"))
+    positions = windows.join(common, ["width", "hash"]).groupBy("item", "item_position").agg(F.sum("hits").alias("hits"))
+    least = F.greatest(F.ceil(F.col("n_windows") * coverage - 1e-9), F.lit(1))
+    rarest_first = Window.partitionBy("item").orderBy("hits", "item_position")
+    rare = (
+        positions.join(whole, "item")
+        .withColumn("rank", F.row_number().over(rarest_first))
+        .withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("item")))
+        .filter(F.col("rank") <= F.col("found") - least + 1)
+        .select("item", "item_position")
+    )
+    probes = windows.join(rare, ["item", "item_position"]).select("item", "width", "hash").distinct()
+    met = hits.select("id", "width", "hash").distinct().join(probes, ["width", "hash"]).select("id", "item").distinct()
+    asked = materialize(met, "met").join(windows, "item").alias("a")
+    there = hits.alias("h")
+    same = F.col("a.id").eqNullSafe(F.col("h.id")) & (F.col("a.hash") == F.col("h.hash")) & (F.col("a.width") == F.col("h.width"))
+    return asked.join(there, same).select(
+        "a.id", "item", (F.col("position") - F.col("item_position")).alias("shift"), "item_position", "slots", "item_slots"
+    )
+
+
+def _consistent(pairs: DataFrame, whole: DataFrame, coverage: float, doc_id: str, item_id: str) -> DataFrame:
     """Weigh the alignments of each document and item that lie near each other.
 
     Distances are dealt into buckets as wide as the item is long, each with the next one, so any near ones meet in
@@ -266,7 +299,6 @@ def _consistent(pairs: DataFrame, sized: DataFrame, window: int, coverage: float
     aligned = pairs.groupBy("id", "item", "shift").agg(
         F.collect_set(F.struct("item_position", F.arrays_zip("item_slots", "slots").alias("mapped"))).alias("windows")
     )
-    whole = sized.select(F.col("id").alias("item"), "n", F.greatest(F.col("n") - window + 1, F.lit(1)).alias("n_windows"))
     bucket = F.floor(F.col("shift") / F.col("n"))
     near = (
         aligned.join(whole, "item")
