@@ -333,6 +333,51 @@ def test_licence_labels_without_the_word_licensed(spark):
     assert found == ["apache,apache-2.0", "cc-by", "bsd", "creative-commons", "", ""]
 
 
+def test_licence_bodies(spark):
+    mit = (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation '
+        'files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, '
+        "modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software"
+    )
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    apache = "you may not use this file except in compliance with the License.\n# You may obtain a copy at\n#   http://www.apache.org/licenses/LICENSE-2.0"
+    rows = [
+        "x " * 3 + mit, "Own words. " + bsd + " these hold", "SPDX-License-Identifier: Apache-2.0", "under the MIT licence", "Apache License v2.0",
+        "Permission is hereby granted, free of charge, to park here.", "binary forms in use and source redistribution",
+        apache, "spdx identifier license mit", "either version 3 of the license plate",
+    ]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = [r["labels"] for r in licenses.license_scan(docs).orderBy("doc_id").collect()]
+    assert found == ["mit-text", "bsd", "apache-2.0", "mit", "apache,apache-2.0", "", "", "", "", ""]
+
+
+def _labels_by_hand(words, templates):
+    """Labels of all templates that stand anywhere with their key whole and enough of their words in place."""
+    found = set()
+    for t in templates:
+        text, key = t.text.split(), t.key.split()
+        at = next(i for i in range(len(text)) if text[i : i + len(key)] == key)
+        for i in range(len(words) - len(key) + 1):
+            if words[i : i + len(key)] == key:
+                same = sum(0 <= i - at + k < len(words) and words[i - at + k] == w for k, w in enumerate(text))
+                if same / len(text) >= licenses.LEAST_SHARE:
+                    found.add(t.label)
+    return ",".join(sorted(found))
+
+
+def test_licence_labels_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(150):
+        words = " ".join(t.text for t in (licenses.TEMPLATES[k] for k in rng.integers(0, len(licenses.TEMPLATES), 2))).split()
+        for _ in range(int(rng.integers(0, 6))):
+            words[int(rng.integers(len(words)))] = "other"
+        rows.append(" ".join(words[int(rng.integers(0, 4)) :]))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for r in licenses.license_scan(docs).collect():
+        assert r["labels"] == _labels_by_hand(rows[r["doc_id"]].split(), licenses.TEMPLATES), rows[r["doc_id"]]
+
+
 def near_groups(texts, width):
     sets = {}
     for d, t in texts.items():

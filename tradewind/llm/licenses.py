@@ -1,6 +1,7 @@
 """License scans with a positional index of rare licence words.
 
-Templates are short licence texts. The document frequency of every template word is counted over the
+Templates are licence lines, and paragraphs of whole licences or of their notices, so that a file that leaves one out or
+puts its own words between them is still found by the others. The document frequency of every template word is counted over the
 corpus; a template is looked up by the rarest word of its key, its *anchor*. An anchor found in a file gives the relative
 position at which the template would have to lie; the postings of all template words in the file are
 intersected at that position, and the template holds if its mandatory key phrase stands there whole and
@@ -53,6 +54,68 @@ TEMPLATES = (
     Template("bsd", "licensed under the bsd 3 clause license", "bsd 3 clause"),
     Template("mpl-2.0", "subject to the terms of the mozilla public license version 2 0", "mozilla public license"),
     Template("isc", "released under the isc license", "isc license"),
+    Template("mit", "mit licence", "mit licence"),
+    Template("apache-2.0", "apache license v2 0", "apache license v2 0"),
+    Template("mit-text", "spdx license identifier mit", "spdx license identifier mit"),
+    Template("apache-2.0", "spdx license identifier apache 2 0", "spdx license identifier apache 2 0"),
+    Template("gpl-2.0", "spdx license identifier gpl 2 0", "spdx license identifier gpl 2 0"),
+    Template("gpl-3.0", "spdx license identifier gpl 3 0", "spdx license identifier gpl 3 0"),
+    Template("bsd", "spdx license identifier bsd", "spdx license identifier bsd"),
+    Template("mpl-2.0", "spdx license identifier mpl 2 0", "spdx license identifier mpl 2 0"),
+    Template("isc", "spdx license identifier isc", "spdx license identifier isc"),
+    Template(
+        "mit-text",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+        "documentation files the software to deal in the software without restriction including without limitation the "
+        "rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+        "persons to whom the software is furnished to do so subject to the following conditions",
+        "permission is hereby granted free of charge",
+    ),
+    Template(
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+        "following conditions are met",
+        "redistribution and use in source and binary forms",
+    ),
+    Template(
+        "bsd",
+        "may be used to endorse or promote products derived from this software without specific prior written permission",
+        "endorse or promote products derived from this software",
+    ),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+        "granted provided that the above copyright notice and this permission notice appear in all copies",
+        "for any purpose with or without fee is hereby granted",
+    ),
+    Template(
+        "apache-2.0",
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at http "
+        "www apache org licenses license 2 0",
+        "apache org licenses license 2 0",
+    ),
+    Template(
+        "gpl-2.0",
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the "
+        "free software foundation either version 2 of the license or at your option any later version",
+        "either version 2 of the license",
+    ),
+    Template(
+        "gpl-3.0",
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the "
+        "free software foundation either version 3 of the license or at your option any later version",
+        "either version 3 of the license",
+    ),
+    Template(
+        "mpl-2.0",
+        "this source code form is subject to the terms of the mozilla public license v 2 0",
+        "mozilla public license v 2 0",
+    ),
+    Template(
+        "unlicense",
+        "this is free and unencumbered software released into the public domain",
+        "free and unencumbered software",
+    ),
 )
 
 
