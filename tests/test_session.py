@@ -6,7 +6,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from tradewind.session import discard, materialize, scratch, shared_dir, side_by_side
+from tradewind.session import configure, discard, materialize, scratch, shared_dir, side_by_side
 
 
 def folder(df):
@@ -85,3 +85,18 @@ def test_a_failed_step_stops_the_others(spark):
     with pytest.raises(LookupError):
         side_by_side(spark, "test", [slow, fails, lambda: started.append(1)], at_once=2)
     assert spark.range(3).count() == 3
+
+
+def test_merged_partitions_stay_small_and_the_width_follows_the_input(spark):
+    width, both = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = {key: spark.conf.get(key) for key in (width, both)}
+    try:
+        configure(spark, 6 * 2**30)
+        assert int(spark.conf.get(width)) == 384
+        spark.conf.set(both, "false")  # as with fewer cores than the data needs tasks
+        keys = spark.range(4_000_000, numPartitions=8).selectExpr("xxhash64(id) key").distinct()
+        tasks = keys.rdd.getNumPartitions()
+        assert 4 <= tasks < 384  # 32 MB of keys, merged, but not into one task
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)

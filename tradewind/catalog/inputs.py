@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tradewind.plans import gold, marts, silver, staging
 from tradewind.session import configure
+from tradewind.sources import Lakehouse
 
 
 def _days(column) -> F.Column:
@@ -22,8 +23,8 @@ class Inputs:
     """Raw, silver, gold, staging and mart frames of one scale folder, each built when first used."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = configure(spark)
         self.sf_dir = sf_dir.rstrip("/")
+        self.spark = configure(spark, Lakehouse(spark, self.sf_dir).input_bytes(self.sf_dir))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -16,12 +16,17 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+# Of stored input, whose rows take many times the room once they are sorted and hashed.
+SHUFFLE_PARTITION_BYTES = 16 * 1024 * 1024
 
 # Splitting a hot join partition pays for itself even when a later aggregate on the
 # same key then needs its own exchange, hence the forced skew join.
 _RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Small partitions are merged by their compressed size. Keys compress a hundredfold, and a task may
+    # sort and hash them for several joins, so what is merged is kept small whatever the table's size.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
@@ -37,7 +42,7 @@ def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSessi
     for key, value in _RUNTIME_CONF.items():
         spark.conf.set(key, value)
     if input_bytes is not None:
-        wanted = math.ceil(input_bytes / TARGET_PARTITION_BYTES)
+        wanted = math.ceil(input_bytes / SHUFFLE_PARTITION_BYTES)
         if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
             spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
     return spark
