@@ -1,3 +1,5 @@
+import gzip
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,3 +258,43 @@ def test_nothing_is_inserted_twice_without_a_whole_key(spark, lake):
     assert rows(lake.read("bronze", "t")) == sorted(first, key=repr)
     lake.insert_new("bronze", "t", frame(spark, [(1, None, "new"), (1, 2, "known")], schema), ["a", "b"])
     assert rows(lake.read("bronze", "t")) == sorted([*first, (1, None, "new")], key=repr)
+
+
+def test_files_are_compared_by_keys_and_give_the_same_rows(spark, lake, tmp_path):
+    raw, plain = tmp_path / "raw", Lakehouse(spark, f"file:{tmp_path}/plain")
+    raw.mkdir()
+
+    def deliver(name, *lines):
+        (raw / f"{name}.csv").write_text("\n".join(["k,v", *lines]) + "\n")
+
+    def ingest():
+        scan = read_csv(spark, f"file:{raw}")
+        lake.insert_new("bronze", "t", scan, ["k"], from_files=True)
+        plain.insert_new("bronze", "t", scan, ["k"])
+        assert rows(lake.read("bronze", "t")) == rows(plain.read("bronze", "t"))
+        return scan
+
+    deliver("known", "1,a", "2,b", "2,copy")
+    ingest()
+    before = lake.read("bronze", "t")
+    deliver("new", "3,c", "3,again")
+    deliver("both", "1,x", "4,d")
+    deliver("nameless", ",n", "5,e")
+    deliver("empty")
+    scan = read_csv(spark, f"file:{raw}")
+    whole, mixed = lake._by_file(before, scan, ["k"], F.col("k").isNull())
+    assert rows(whole) == [("3", "again"), ("3", "c")]
+    assert {r["v"] for r in mixed.collect()} == {"x", "d", "n", "e"}
+    ingest()
+    assert {r["v"] for r in lake.read("bronze", "t").collect()} == {"a", "b", "copy", "c", "again", "d", "n", "e"}
+    ingest()
+    assert lake.row_counts["bronze.t"] == 0
+
+
+def test_packed_text_counts_as_what_it_unpacks_to(lake, tmp_path):
+    folder = tmp_path / "raw"
+    (folder / "a.csv").mkdir(parents=True)
+    (folder / "b.csv").write_text("x" * 100)
+    packed = folder / "a.csv" / "part-0.csv.gz"
+    packed.write_bytes(gzip.compress(b"k,v\n" * 100))
+    assert lake.input_bytes(f"file:{folder}") == 100 + 4 * packed.stat().st_size

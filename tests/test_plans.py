@@ -161,3 +161,15 @@ def test_status_filter_reaches_the_scan(spark, tmp_path):
 
     text = plan(marts.fct_orders(stg_fact_orders(stored)))
     assert "EqualTo(order_status,delivered)" in text
+
+
+def test_product_sums_with_months_move_the_items_twice(spark, small_partitions):
+    """By order for months and sums, by product for the categories; joined afterwards, months took a third time."""
+    i = spark.range(100).selectExpr("id % 40 order_id", "id % 7 product_id", "1.0D price", "0.5D freight_value")
+    p = spark.range(7).selectExpr("id product_id", "'toys' product_category_name")
+    t = spark.createDataFrame([("toys", "games")], "product_category_name string, product_category_name_english string")
+    months = spark.range(30).selectExpr("id order_id", "2018 order_year", "cast(id % 12 as int) order_month")
+    got, after = gold.dim_products(i, p, t, months), gold.dim_products(i, p, t).join(months, "order_id", "left")
+    assert got.columns == after.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, after.collect()))
+    assert plan(got).count("Exchange hashpartitioning") < plan(after).count("Exchange hashpartitioning")

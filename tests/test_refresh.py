@@ -260,6 +260,36 @@ def test_an_order_that_comes_after_its_items(spark, tmp_path):
         assert contents(step, "mart", table) == contents(whole, "mart", table), table
 
 
+def test_many_touched_orders_are_not_picked_from_whole_tables(spark, tmp_path, monkeypatch):
+    """Where most orders are touched and too many to broadcast, tables are built anew, with the same rows."""
+    step, whole = (Lakehouse(spark, f"file:{tmp_path}/{name}") for name in ("step", "whole"))
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    refresh.refresh(spark, write(tmp_path / "raw", base()), step.root, with_themes=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with monkeypatch.context() as patched:
+            patched.setattr(Lakehouse, "merge", forbid_gold(Lakehouse.merge))
+            patched.setattr(refresh.marts, "agg_category_sales", lambda *a, **k: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                refresh.refresh(spark, write(tmp_path / "raw", later()), step.root, with_themes=False)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    refresh.refresh(spark, write(tmp_path / "raw", later()), step.root, with_themes=False)
+    refresh.refresh(spark, write(tmp_path / "raw2", later()), whole.root, with_themes=False)
+    for table in GOLD:
+        assert contents(step, "gold", table) == contents(whole, "gold", table), table
+    for table in MART_KEYS:
+        assert contents(step, "mart", table) == contents(whole, "mart", table), table
+
+
+def forbid_gold(merge):
+    def checked(lake, layer, *args, **options):
+        assert layer != "gold"
+        return merge(lake, layer, *args, **options)
+
+    return checked
+
+
 def test_rerun_changes_nothing_and_rewrites_no_gold(spark, tmp_path):
     lake, raw_dir = Lakehouse(spark, f"file:{tmp_path}/lake"), write(tmp_path / "raw", base())
     refresh.refresh(spark, raw_dir, lake.root, with_themes=False)
