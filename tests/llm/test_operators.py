@@ -462,6 +462,45 @@ def test_repeats_around_one_common_core(spark, monkeypatch):
     assert found == expected
 
 
+def test_repeats_sort_a_sign_for_each_core(spark, monkeypatch):
+    """Only the bytes beside a core are sorted with it, also where flanks agree and cores do not."""
+    rng = np.random.default_rng(31)
+    letters = lambda n: "".join(chr(c) for c in rng.integers(97, 123, n))
+    cores, flanks, length = [letters(134) for _ in range(4)], [letters(70) for _ in range(5)], 200
+    cores += [c[:66] + "\u00e9" + c[67:] for c in cores]
+    raw = [(letters(i % 40) + flanks[i % 5] + cores[i % 8] + flanks[i // 8 % 5][: 40 + i % 30] + letters(30)).encode() for i in range(90)]
+    seen = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
+    expected = {}
+    for d, b in enumerate(raw):
+        covered = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                covered[i : i + length] = True
+        expected[d] = int(covered.sum())
+    assert 0 < sum(expected.values()) < sum(map(len, raw))
+    sorted_bytes, write = [], repeats.materialize
+
+    def watched(df, label):
+        written = write(df, label)
+        if label == "kinds":
+            sorted_bytes.append(written.agg({"bytes": "max"}).first()[0])
+        return written
+
+    monkeypatch.setattr(repeats, "materialize", watched)
+    docs = spark.createDataFrame([(i, b.decode()) for i, b in enumerate(raw)], "doc_id long, text string")
+    found = {r["doc_id"]: r["n_removed"] for r in repeats.repeat_counts(docs).collect()}
+    assert found == expected
+    assert max(sorted_bytes) <= length - repeats.GRAM + repeats.SIGN_BYTES
+
+
+def test_signs_keep_cores_apart():
+    cores = np.array([[5, 1], [5, 1], [5, 2], [-7, 1]] + [[k, 9] for k in range(300)])
+    pieces = repeats.signed(cores, [3] * len(cores), [b"abcdef"] * len(cores))
+    assert all(len(p) == 6 + repeats.SIGN_BYTES and p.count(255) == 1 for p in pieces)
+    found = [bool(f.any()) for f in repeats.repeated_starts(pieces, 5 + repeats.SIGN_BYTES)]
+    assert found == [True, True] + [False] * 302
+
+
 def test_suffix_order():
     rng = np.random.default_rng(5)
     for _ in range(30):

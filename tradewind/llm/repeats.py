@@ -13,7 +13,9 @@ that stands twice repeats whole.
 What is left, pieces that share an anchor but differ, is cut into *cells* by the place the anchor has in a string:
 first the near and the far half of the places. All strings of a cell have a core of the text around the anchor
 in common, so equal strings have equal cores. Cells alone with their core repeat nothing, equal cells repeat whole,
-and cells that differ are dealt into buckets by core and suffix-sorted there. Where very many
+and cells that differ are dealt into buckets by core and suffix-sorted there. Every string of a cell holds the whole
+core, so for sorting a short *sign* that no text contains stands in its place: strings with the sign
+are equal exactly when those with the core are. Where very many
 different cells have one core, they are halved again, down to single strings, so that no bucket is unbounded.
 
 Defined results: NULL and empty texts have no bytes; a text shorter than `length` keeps all; equal texts of at
@@ -38,9 +40,12 @@ LENGTH = 200
 GRAM = 64
 # Memory of a Python worker follows these: bytes sorted at once, bytes whose anchors are sought at once, rows of a batch.
 BUCKET_BYTES = 1 << 17
+TASK_BUCKETS = 8
 CORE_BYTES = 1 << 17
 CHUNK_BYTES = 1 << 18
 BATCH_ROWS = 1000
+# Stands for a core while a bucket is sorted: a byte that UTF-8 never has, and the core's number in digits below it.
+SIGN_BYTES = 4
 _PLACE = np.uint64((1 << 24) - 1)
 _PIECE = ("hash", "c1", "c2", "a")
 
@@ -303,9 +308,20 @@ def _cells(length: int):
     return run
 
 
+def signed(cores: np.ndarray, at: list[int], flanks: list[bytes]) -> list[bytes]:
+    """The flanks of each cell with the sign of its core (a row of `cores`) between them, `at` bytes from the left."""
+    numbers = np.unique(cores, axis=0, return_inverse=True)[1].ravel().tolist()
+    signs = [bytes((255, n // 255**2, n // 255 % 255, n % 255)) for n in range(max(numbers) + 1)]
+    return [flank[:a] + signs[n] + flank[a:] for n, a, flank in zip(numbers, at, flanks)]
+
+
 def _sort_bucket(length: int):
+    """`length` is that of a string with the sign."""
+
     def run(table: pa.Table) -> pa.Table:
-        found = repeated_starts(table.column("sub").to_pylist(), length)
+        cores = np.stack([table.column(c).to_numpy() for c in ("core", "hash")], axis=1)
+        pieces = signed(cores, table.column("at").to_pylist(), table.column("flanks").to_pylist())
+        found = repeated_starts(pieces, length)
         runs = [[{"s": s, "e": e} for s, e in _runs(f)] for f in found]
         kept = table.select(["core", "d1", "d2"]).combine_chunks()
         return kept.append_column("runs", pa.array(runs, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))))
@@ -326,10 +342,13 @@ def _repeats_within(unsure: DataFrame, length: int, core_bytes: int = CORE_BYTES
     """(hash, c1, c2, a, s, e): starts s..e, in pieces that differ, of strings that another of these pieces has too."""
     schema = ", ".join([*[f"{c} long" for c in _PIECE[:3]], "a int, start int, first int, last int, core long, d1 long, d2 long, lo int, hi int, sub binary"])
     rows = unsure.select(*_PIECE, F.lit(0).alias("start"), F.lit(0).alias("first"), F.lit(length - GRAM).alias("last"), "piece")
-    answers = None
+    answers, places = None, length - GRAM + 1
     while True:
+        # All cores of this round have so many bytes at least; of a core one longer, a byte stays.
+        places = -(-places // 2)
+        hidden = length - places + 1
         cells = materialize(_halved(rows).mapInArrow(_cells(length), schema), "cells")
-        kinds = materialize(cells.groupBy("core", "d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("sub")).alias("bytes")), "kinds")
+        kinds = materialize(cells.groupBy("core", "d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("sub") - hidden + SIGN_BYTES).alias("bytes")), "kinds")
         cores = materialize(
             kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.sum("bytes").alias("bytes")).filter("kinds > 1"), "cores"
         )
@@ -338,11 +357,16 @@ def _repeats_within(unsure: DataFrame, length: int, core_bytes: int = CORE_BYTES
         small = cells.join(cores.filter(F.col("bytes") <= core_bytes).select("core"), "core", "left_semi")
         size = cores.filter(F.col("bytes") <= core_bytes).agg(F.sum("bytes")).first()[0] or 0
         buckets = max(1, -(-size // BUCKET_BYTES))
+        at = F.col("a") - F.col("first") - F.col("lo")  # where the core begins in `sub`
+        flanks = F.concat(F.substring("sub", F.lit(1), at), F.substring("sub", at + 1 + hidden, F.octet_length("sub")))
         runs = materialize(
-            small.select("core", "d1", "d2", "sub")
+            small.select("core", "hash", "d1", "d2", at.alias("at"), flanks.alias("flanks"))
             .dropDuplicates(["core", "d1", "d2"])
-            .groupBy(F.pmod("core", F.lit(buckets)).alias("bucket"))
-            .applyInArrow(_sort_bucket(length), "core long, d1 long, d2 long, runs array<struct<s:int,e:int>>")
+            .withColumn("bucket", F.pmod("core", F.lit(buckets)))
+            # By the bytes to sort: stored, they are too few to keep all cores busy.
+            .repartition(-(-buckets // TASK_BUCKETS), "bucket")
+            .groupBy("bucket")
+            .applyInArrow(_sort_bucket(length - hidden + SIGN_BYTES), "core long, d1 long, d2 long, runs array<struct<s:int,e:int>>")
             .filter(F.size("runs") > 0),
             "runs",
         )
