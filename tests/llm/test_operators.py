@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tradewind import session
 from tradewind.llm import catalog, decontaminate, licenses, mixing, near_dedup, neighbours, ppm, private_data, repeats, secrets, toxicity
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -493,6 +495,33 @@ def test_repeats_sort_a_sign_for_each_core(spark, monkeypatch):
     assert max(sorted_bytes) <= length - repeats.GRAM + repeats.SIGN_BYTES
 
 
+def test_repeats_remove_what_was_read(spark, tmp_path, monkeypatch):
+    """Tables go once the next is written, also those of cores halved again."""
+    rng = np.random.default_rng(12)
+    letters = lambda n: "".join(chr(c) for c in rng.integers(97, 123, n))
+    core, ends = letters(150), [letters(int(n)) for n in rng.integers(0, 60, 12)]
+    raw = [letters(90) + ends[i % 12] + core + ends[i * 7 % 11] + letters(90) for i in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*raw, raw[0]])], "doc_id long, text string")
+    expected = sorted(repeats.repeat_counts(docs).collect())
+    standing = lambda: Counter(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir())
+    rounds, halve, write = [], repeats._repeats_within, repeats.materialize
+
+    def watched(df, label):
+        if label == "kinds":
+            rounds.append(standing())
+        return write(df, label)
+
+    monkeypatch.setattr(repeats, "materialize", watched)
+    monkeypatch.setattr(repeats, "_repeats_within", lambda unsure, n: halve(unsure, n, core_bytes=300))
+    monkeypatch.setattr(session, "new_shared_path", lambda _, label: f"file:{tmp_path}/{label}-{uuid.uuid4().hex}")
+    found = repeats.repeat_counts(docs)
+    assert len(rounds) > 1
+    for before, now in enumerate(rounds):
+        assert now == Counter(["rows", "texts", "pieces", "classes", "wanted", "cells"] + ["parts"] * before)
+    assert standing() == Counter(["rows", "answers"] + ["parts"] * len(rounds))
+    assert sorted(found.collect()) == sorted(found.collect()) == expected
+
+
 def test_signs_keep_cores_apart():
     cores = np.array([[5, 1], [5, 1], [5, 2], [-7, 1]] + [[k, 9] for k in range(300)])
     pieces = repeats.signed(cores, [3] * len(cores), [b"abcdef"] * len(cores))

@@ -2,11 +2,13 @@
 
 import os
 import threading
+import time
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
 
-from tradewind.session import configure, discard, materialize, scratch, shared_dir, side_by_side
+from tradewind.session import configure, discard, materialize, scratch, shared_dir, shuffles_removed, side_by_side
 
 
 def folder(df):
@@ -56,6 +58,25 @@ def test_scratch_removes_the_tables_of_a_job_and_of_its_steps(spark):
     assert not os.path.exists(folder(broken))
 
 
+def test_shuffles_go_with_their_query(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    shuffled = lambda: {f for d in folders for f in Path(d.getPath()).rglob("shuffle_*.data")}
+    setting, held = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shuffled()
+    before = spark.conf.get(setting, None)
+    counts = spark.range(100_000).selectExpr("id % 9 k").groupBy("k").count()
+    with shuffles_removed(spark):
+        written = materialize(counts, "counts")
+        with shuffles_removed(spark):
+            assert counts.count() == 9
+        again = materialize(counts, "counts")
+    assert spark.conf.get(setting, None) == before
+    until = time.time() + 20
+    while shuffled() - held and time.time() < until:  # Spark removes them a moment later
+        time.sleep(0.1)
+    assert not shuffled() - held
+    assert sorted(written.collect()) == sorted(again.collect()) == sorted(counts.collect())
+
+
 def test_steps_run_side_by_side_in_groups_of_their_own(spark):
     together = threading.Barrier(3, timeout=60)
     context = spark.sparkContext

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.llm.bytetext import Hashes, chunks, mix
-from tradewind.session import discard, materialize
+from tradewind.session import discard, materialize, shuffles_removed
 
 LENGTH = 200
 GRAM = 64
@@ -48,6 +49,8 @@ BATCH_ROWS = 1000
 SIGN_BYTES = 4
 _PLACE = np.uint64((1 << 24) - 1)
 _PIECE = ("hash", "c1", "c2", "a")
+# For tables as large as the texts, or with a row for each anchor or piece; each goes once the next is written.
+_packed = partial(materialize, compression="zstd")
 
 
 def lyndon_groups(pieces: list[bytes]) -> list[int]:
@@ -342,12 +345,13 @@ def _repeats_within(unsure: DataFrame, length: int, core_bytes: int = CORE_BYTES
     """(hash, c1, c2, a, s, e): starts s..e, in pieces that differ, of strings that another of these pieces has too."""
     schema = ", ".join([*[f"{c} long" for c in _PIECE[:3]], "a int, start int, first int, last int, core long, d1 long, d2 long, lo int, hi int, sub binary"])
     rows = unsure.select(*_PIECE, F.lit(0).alias("start"), F.lit(0).alias("first"), F.lit(length - GRAM).alias("last"), "piece")
-    answers, places = None, length - GRAM + 1
+    answers, places, read = [], length - GRAM + 1, ()
     while True:
         # All cores of this round have so many bytes at least; of a core one longer, a byte stays.
         places = -(-places // 2)
         hidden = length - places + 1
-        cells = materialize(_halved(rows).mapInArrow(_cells(length), schema), "cells")
+        cells = _packed(_halved(rows).mapInArrow(_cells(length), schema), "cells")
+        discard(*read)
         kinds = materialize(cells.groupBy("core", "d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("sub") - hidden + SIGN_BYTES).alias("bytes")), "kinds")
         cores = materialize(
             kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.sum("bytes").alias("bytes")).filter("kinds > 1"), "cores"
@@ -372,10 +376,13 @@ def _repeats_within(unsure: DataFrame, length: int, core_bytes: int = CORE_BYTES
         )
         single = cells.select(*_PIECE, "core", "d1", "d2", "lo", "hi").join(runs, ["core", "d1", "d2"]).select(*_PIECE, "lo", F.explode("runs").alias("r"))
         single = single.select(*_PIECE, (F.col("lo") + F.col("r.s")).alias("s"), (F.col("lo") + F.col("r.e")).alias("e"))
-        answers = equal.unionByName(single) if answers is None else answers.unionByName(equal).unionByName(single)
+        answers.append(_packed(equal.unionByName(single), "parts"))
+        discard(kinds, runs)
+        read = (cells, cores)
         wide = cores.filter(F.col("bytes") > core_bytes).select("core")
         if not wide.limit(1).count():
-            return answers
+            discard(*read)
+            return reduce(DataFrame.unionByName, answers)
         rows = cells.join(wide, "core", "left_semi").select(*_PIECE, "start", "first", "last", F.col("sub").alias("piece"))
 
 
@@ -415,61 +422,74 @@ def _marked(docs: DataFrame, text_col: str) -> list:
 
 
 def covered_texts(docs: DataFrame, text_col: str, length: int, keep_text: bool) -> DataFrame:
-    """(m1, m2, gone, spans, digest, left) of every different text in which a string repeats."""
+    """(m1, m2, gone, spans, digest, left) of every different text in which a string repeats, written."""
     # Copies of a text are one text here; all tables joined below are written first, so that Spark can split hot keys.
-    texts = materialize(
+    texts = _packed(
         docs.select(*_marked(docs, text_col)).filter(F.octet_length("text") >= length).dropDuplicates(["m1", "m2"]), "texts"
     )
-    found = materialize(
+    found = _packed(
         texts.mapInArrow(_anchor_rows(length), "m1 long, m2 long, at int, lo int, hi int, hash long"), "anchors"
     )
     place = F.xxhash64("m1", "m2", "at")
     twice = found.groupBy("hash").agg(F.min(place).alias("one"), F.max(place).alias("other")).filter("one != other")
     twice = materialize(twice.select("hash"), "twice")
-    per_text = (
+    # Lists of a text are written before its text is moved to them: texts and anchors are never shuffled at one time.
+    per_text = _packed(
         found.join(twice, "hash")
         .groupBy("m1", "m2")
-        .agg(F.collect_list(F.struct("lo", "hi", "at", "hash")).alias("found"))
+        .agg(F.collect_list(F.struct("lo", "hi", "at", "hash")).alias("found")),
+        "found",
     )
-    pieces = materialize(
+    discard(found, twice)
+    pieces = _packed(
         texts.join(per_text, ["m1", "m2"]).mapInArrow(
             _pieces(length), "hash long, c1 long, c2 long, a int, m1 long, m2 long, lo int, hi int"
         ),
         "pieces",
     )
-    discard(found, twice)
+    discard(per_text)
     # One standing place of each different piece is enough to fetch its bytes from.
     classes = pieces.groupBy(*_PIECE).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("m1", "m2", "lo", "hi")).alias("one"))
-    classes = materialize(classes, "classes")
+    classes = _packed(classes, "classes")
     several = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("hash")
     several = materialize(several, "several")
     wanted = classes.join(several, "hash", "left_semi").select(*_PIECE, "one.*")
-    wanted = wanted.groupBy("m1", "m2").agg(F.collect_list(F.struct(*_PIECE, "lo", "hi")).alias("wanted"))
+    wanted = _packed(wanted.groupBy("m1", "m2").agg(F.collect_list(F.struct(*_PIECE, "lo", "hi")).alias("wanted")), "wanted")
+    discard(several)
     unsure = texts.join(wanted, ["m1", "m2"]).mapInArrow(_piece_bytes(length), "hash long, c1 long, c2 long, a int, piece binary")
     whole = classes.filter("n > 1").select(*_PIECE)
     ranges = pieces.join(whole, list(_PIECE), "left_semi").select("m1", "m2", F.col("lo").alias("b"), (F.col("hi") + length).alias("e"))
-    parts = materialize(_repeats_within(unsure, length), "parts")
+    parts = _repeats_within(unsure, length)
+    discard(wanted)
     single = pieces.join(parts, list(_PIECE))
     ranges = ranges.unionByName(
         single.select("m1", "m2", (F.col("lo") + F.col("s")).alias("b"), (F.col("lo") + F.col("e") + length).alias("e"))
     )
-    per_text = ranges.groupBy("m1", "m2").agg(F.collect_list(F.struct("b", "e")).alias("ranges"))
-    return texts.join(per_text, ["m1", "m2"]).mapInArrow(
-        _cut(keep_text), "m1 long, m2 long, gone long, spans long, digest string, left string"
+    per_text = _packed(ranges.groupBy("m1", "m2").agg(F.collect_list(F.struct("b", "e")).alias("ranges")), "ranges")
+    discard(pieces, classes)
+    covered = _packed(
+        texts.join(per_text, ["m1", "m2"]).mapInArrow(
+            _cut(keep_text), "m1 long, m2 long, gone long, spans long, digest string, left string"
+        ),
+        "covered",
     )
+    discard(texts, per_text)
+    return covered
 
 
 def repeat_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     m1, m2, text = _marked(docs, text_col)
-    rows = materialize(
-        docs.select(docs[id_col].alias("id"), m1, m2, F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha")),
-        "rows",
-    )
-    copied = rows.filter(F.col("n_bytes") >= length).groupBy("m1", "m2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m1", "m2", F.lit(True).alias("copied"))
-    covered = covered_texts(docs, text_col, length, False)
-    # Written first, so that Spark can split the rows of a text with very many copies.
-    answers = materialize(copied.join(covered, ["m1", "m2"], "full"), "answers")
+    with shuffles_removed(docs.sparkSession):
+        rows = materialize(
+            docs.select(docs[id_col].alias("id"), m1, m2, F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha")),
+            "rows",
+        )
+        copied = rows.filter(F.col("n_bytes") >= length).groupBy("m1", "m2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m1", "m2", F.lit(True).alias("copied"))
+        covered = covered_texts(docs, text_col, length, False)
+        # Written first, so that Spark can split the rows of a text with very many copies.
+        answers = materialize(copied.join(covered, ["m1", "m2"], "full"), "answers")
+        discard(covered)
     joined = rows.join(answers, ["m1", "m2"], "left")
     pick = lambda whole, part, rest: F.when(F.col("copied"), whole).otherwise(F.coalesce(part, rest))
     return joined.select(

@@ -83,6 +83,26 @@ def materialize(df: DataFrame, label: str, compression: str | None = None) -> Da
     return written
 
 
+_REMOVES_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within, a query's shuffle files go when it has ended, not when the driver next collects its garbage.
+
+    For steps that write one large table after another. A DataFrame that is run twice within shuffles twice.
+    """
+    before = spark.conf.get(_REMOVES_SHUFFLES, None)
+    spark.conf.set(_REMOVES_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_REMOVES_SHUFFLES)
+        else:
+            spark.conf.set(_REMOVES_SHUFFLES, before)
+
+
 # Tables of the job this thread works for; None outside of `scratch`.
 _job_tables: ContextVar[list[DataFrame] | None] = ContextVar("job_tables", default=None)
 
