@@ -298,3 +298,15 @@ def test_packed_text_counts_as_what_it_unpacks_to(lake, tmp_path):
     packed = folder / "a.csv" / "part-0.csv.gz"
     packed.write_bytes(gzip.compress(b"k,v\n" * 100))
     assert lake.input_bytes(f"file:{folder}") == 100 + 4 * packed.stat().st_size
+
+
+def test_a_partition_gets_few_files_however_many_tasks_write_it(spark, lake):
+    months = (F.col("id") % 5).alias("month")
+    rows = spark.range(0, 4_000, 1, 8).select("id", months)
+    stored = lake.replace("gold", "t", rows, ["month"])
+    assert len(stored.inputFiles()) == 5
+    stored = lake.merge("gold", "t", rows.filter("id % 7 = 0").withColumn("more", F.lit(1)), ["id"], partition_by=["month"])
+    assert len(stored.inputFiles()) == 5 and stored.count() == 4_000
+    # Rows read from a table with these partitions lie together already, and are not moved again.
+    copy = lake.replace("mart", "t", stored.filter("id % 2 = 0"), ["month"], gather=False)
+    assert len(copy.inputFiles()) <= 10 and sorted(copy.collect()) == sorted(stored.filter("id % 2 = 0").collect())
