@@ -7,10 +7,11 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from tests.compare import scale_problem
+from tests.compare import plan, scale_problem
 from tradewind.operators import distance_sums, mean_silhouette, silhouette, silhouettes
 from tradewind.plans import themes
 from tradewind.schemas import CLUSTER_SCHEMA
+from tradewind.sources import Lakehouse
 
 REVIEWS = "review_id string, order_id string, review_score double, review_text string, review_creation_date timestamp"
 TOPICS = {
@@ -333,3 +334,14 @@ def test_vectors_survive_storage(spark):
     stored = themes.materialize(df, "test-vectors")
     left, right = (d.select("review_id", vector_to_array("vector").alias("v")).orderBy("review_id").collect() for d in (df, stored))
     assert left == right
+
+
+def test_the_first_batch_is_not_moved_to_look_for_clusters(spark, tmp_path):
+    """There are none yet, so texts must not be shuffled for the join with them."""
+    lake = Lakehouse(spark, f"file:{tmp_path}/lake")
+    reviews = spark.range(0, 100, 1, 4).select(
+        *(F.col("id").cast("string").alias(c) for c in ("review_id", "order_id", "review_score", "review_creation_date")),
+        F.lit("long enough a text").alias("review_text"),
+    )
+    batch = themes.next_batch(reviews, lake.read_or_empty("mart", "review_clusters", CLUSTER_SCHEMA))
+    assert batch.count() == 100 and "Exchange" not in plan(batch)
